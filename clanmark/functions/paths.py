@@ -14,7 +14,7 @@ TEMPORARY = "temp-uploads"
 RESULTS = "clustering-results"
 DNS_NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
 
-API_ID = r"^[\p{IsAlphabetic}\p{Mn}\p{Mc}\p{Nd}\p{Nl}\p{No}_\-.@]{1,64}$"
+API_ID = r"^[\p{L}\p{N}_\-.@]{1,64}$"
 PATH_ID = r"^[a-zA-Z0-9_-]+$"
 
 
@@ -65,7 +65,6 @@ def clean_filename(name: Column) -> Column:
     Leading dots belong to the stem: ``.hidden`` has no extension.
     """
     extension = F.regexp_extract(name, r"^.*[^./][^/]*?(\.[^./]*)$", 1)
-    extension = F.when(F.regexp_replace(name, r"^.*/", "").rlike(r"^\.+[^.]*$"), F.lit("")).otherwise(extension)
     stem = F.substring(name, F.lit(1), F.length(name) - F.length(extension))
     cleaned = F.concat(clean_path_component(stem), F.coalesce(F.nullif(extension, F.lit("")), F.lit(".jpg")))
     return F.when(name.isNull() | (name == ""), F.lit("file.jpg")).otherwise(cleaned)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clanmark.functions.vectors import is_finite, l2_normalize, unit_centroids
-from clanmark.operators.numbering import first_per, number_rows
+from clanmark.operators.numbering import number_rows, rank_within
 from clanmark.operators.similarity import argmax_match, similarity_cross_join
 
 STRATEGIES = ("centroid", "vote")
@@ -262,7 +262,7 @@ def search_profile_all_clusters(found: DataFrame, cluster: str) -> DataFrame:
         F.sum("matches_count").alias("total_matches"), F.count(F.lit(1)).alias("matching_clusters")
     )
     order = [F.desc("best_similarity"), F.asc(cluster)]
-    return first_per(found, ["user_id"], order, 1 << 30, "rank").join(totals, "user_id")
+    return rank_within(found, ["user_id"], order).join(totals, "user_id")
 
 
 def filter_points(

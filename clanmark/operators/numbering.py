@@ -31,3 +31,15 @@ def first_per(df: DataFrame, keys: list[str], order: list[Column], k: int = 1, n
     ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     kept = ranked.where(F.col(rank) <= k)
     return kept if name else kept.drop(rank)
+
+
+def rank_within(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """``df`` plus its rank per key, for keys of any size.
+
+    Rows are numbered over the whole table in (keys, order); the rank is the distance to
+    the first number of the key, so a hot key is ranked by many tasks.
+    """
+    numbered = number_rows(df, [*[F.asc(k) for k in keys], *order], "_no")
+    first = numbered.groupBy(*keys).agg(F.min("_no").alias("_first"))
+    ranked = numbered.join(first, keys)
+    return ranked.withColumn(name, F.col("_no") - F.col("_first") + 1).drop("_no", "_first")

@@ -8,7 +8,7 @@ cluster or run is combined in its map tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clanmark.functions.quality import owner_score
@@ -201,14 +201,14 @@ def run_status_top(clusters: DataFrame, members: DataFrame, k: int = 5, samples:
 
 
 def run_history(runs: DataFrame, assignments: DataFrame) -> DataFrame:
-    """Runs newest first per bucket, with their assignment counts and a ``latest`` flag."""
+    """Runs newest first per bucket, with their assignment counts and an ``is_latest`` flag."""
     counts = assignments.groupBy("run_id").agg(_n("_a"))
-    joined = runs.join(counts, "run_id", "left")
-    newest = Window.partitionBy("bucket", "sub_bucket").orderBy(F.desc("ts"), F.asc("run_id"))
-    recency = F.row_number().over(newest)
-    return joined.withColumns(
-        {"assignments_count": F.coalesce("_a", F.lit(0)), "recency": recency, "is_latest": recency == 1}
-    ).drop("_a")
+    newest = latest_run(runs).select("run_id", F.lit(True).alias("_l"))
+    joined = runs.join(counts, "run_id", "left").join(newest, "run_id", "left")
+    flagged = joined.withColumns(
+        {"assignments_count": F.coalesce("_a", F.lit(0)), "is_latest": F.coalesce("_l", F.lit(False))}
+    ).drop("_a", "_l")
+    return flagged.orderBy("bucket", "sub_bucket", F.desc("ts"), "run_id")
 
 
 def latest_run(runs: DataFrame) -> DataFrame:
