@@ -10,7 +10,7 @@ from clanmark.registry import inputs as I
 from clanmark.registry.base import query
 from clanmark.sources import assets as A
 from clanmark.sources import tables as S
-from clanmark.sources.workspace import work_folder
+from clanmark.sources.workspace import fresh_path
 
 IS_IMAGE = r"regexp_matches(lower(key), '\.(jpg|jpeg|png|webp|bmp|tiff)$')"
 LISTED = f"""SELECT event_id, key FROM asset_keys
@@ -106,7 +106,7 @@ def asset_paths(spark, d):
 @query(
     "surrogate_user_id",
     """SELECT event_id, coalesce('user_' || md5(coalesce(nullif(email, ''), nullif(name, '')))[1:12], 'random') AS hashed,
- 'user_' || epoch_ms(ts) AS stamped FROM names""",
+ 'user_' || (epoch_us(ts) // 1000) AS stamped FROM names""",
 )
 def surrogate_user_id(spark, d):
     hashed = P.surrogate_user_id(F.col("email"), F.col("name"))
@@ -174,7 +174,7 @@ def run_table_name(spark, d):
     "SELECT run_id, detection_id, cluster_id, asset_id, round(confidence, 6) AS confidence, is_owner FROM members",
 )
 def write_detections(spark, d):
-    path = f"{work_folder(spark)}/stored-detections-{abs(hash(d))}"
+    path = fresh_path(spark, "stored-detections")
     S.write_detections(I.members(spark, d), path)
     columns = ["run_id", "detection_id", "cluster_id", "asset_id", "confidence", "is_owner"]
     return S.read_table(spark, path).select(*columns)
@@ -186,7 +186,7 @@ def write_detections(spark, d):
  multi_cluster_assets, max_clusters_per_asset, round(avg_clusters_per_asset, 6) AS avg_clusters_per_asset FROM runs""",
 )
 def write_run(spark, d):
-    path = f"{work_folder(spark)}/stored-runs-{abs(hash(d))}"
+    path = fresh_path(spark, "stored-runs")
     S.write_partitioned(I.runs(spark, d), path, ["bucket", "sub_bucket"])
     return S.read_table(spark, path).drop("bucket", "sub_bucket", "ts")
 
@@ -216,7 +216,7 @@ DIGEST = "sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(detection_id
     f"SELECT run_id, detection_id, person_id, {UUID5} AS point_id FROM (SELECT *, {DIGEST} AS h FROM members)",
 )
 def write_vectors(spark, d):
-    path = f"{work_folder(spark)}/stored-vectors-{abs(hash(d))}"
+    path = fresh_path(spark, "stored-vectors")
     S.write_vectors(I.members(spark, d), path)
     return S.read_table(spark, path).select("run_id", "detection_id", "person_id", "point_id")
 

@@ -30,9 +30,14 @@ def work_folder(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new path in the work folder."""
+    return f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once to the work folder and return a reader of that table."""
     spark = df.sparkSession
-    path = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
