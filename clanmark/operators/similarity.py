@@ -20,7 +20,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clanmark.sources.workspace import materialize
+
 UNIT_ROWS = 4096
 MAX_PIVOTS = 2048
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -89,16 +92,21 @@ class Layout:
     visit_rows: np.ndarray | None = None
     unit_rows: int = UNIT_ROWS
     forest: bool = False
+    own_pivot_only: bool = False
 
-    @property
-    def theta(self) -> float:
-        return math.acos(max(-1.0, min(1.0, self.threshold)))
-
-    @property
+    @cached_property
     def ring_edges(self) -> np.ndarray:
         """Two rings up to theta (the core: rows within the threshold), then wider ones."""
-        beyond = np.arange(self.theta, math.pi, max(self.theta / 2, 0.2))
-        return np.concatenate([[0.0, self.theta / 2], beyond, [math.pi + ANGLE_SLACK]])
+        end = [math.pi + ANGLE_SLACK]
+        if self.threshold <= 0:
+            return np.concatenate([np.arange(0, math.pi, 0.2), end])
+        theta = math.acos(min(1.0, self.threshold))
+        return np.concatenate([[0.0, theta / 2], np.arange(theta, math.pi, max(theta / 2, 0.2)), end])
+
+    @cached_property
+    def gaps(self) -> np.ndarray:
+        """Distance of every two pivots."""
+        return np.sqrt(np.maximum(2 - 2 * (self.pivots @ self.pivots.T), 0))
 
     @property
     def rings(self) -> int:
@@ -108,9 +116,7 @@ class Layout:
     def cells(self) -> int:
         return self.rings * (1 if self.pivots is None else len(self.pivots))
 
-    def chunks(self, rows: np.ndarray | None) -> np.ndarray:
-        if rows is None:
-            return np.ones(self.cells, dtype=np.int64)
+    def chunks(self, rows: np.ndarray) -> np.ndarray:
         return np.ceil(rows / self.unit_rows).astype(np.int64)
 
     def is_core(self, sims: np.ndarray) -> np.ndarray:
@@ -123,38 +129,46 @@ class Layout:
         sims = matrix @ self.pivots.T
         nearest = sims.argmax(axis=1)
         best = sims[np.arange(len(matrix)), nearest]
-        ring = np.searchsorted(self.ring_edges, np.arccos(np.clip(best, -1, 1)), "right") - 1
-        # rings 0 and 1 hold exactly the rows within the threshold of their pivot
-        ring = np.where(self.is_core(best), np.minimum(ring, 1), np.maximum(ring, 2))
+        ring = np.searchsorted(self.ring_edges, _angles(best), "right") - 1
+        if self.threshold > 0:
+            # rings 0 and 1 hold exactly the rows within the threshold of their pivot
+            ring = np.where(self.is_core(best), np.minimum(ring, 1), np.maximum(ring, 2))
         return nearest * self.rings + ring, sims
 
     def visits(
-        self, homes: np.ndarray, sims: np.ndarray, within_one_table: bool
+        self, homes: np.ndarray, sims: np.ndarray, one_table: bool, bounds: np.ndarray | None = None
     ) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell) of every visit; each pair of one table meets exactly once."""
-        n, count = sims.shape
-        theta = self.theta + ANGLE_SLACK
-        angles = np.arccos(np.clip(sims, -1, 1))
-        possible = np.ones((n, count), dtype=bool)
-        if self.theta < math.pi / 2:
-            nearest = sims.argmax(axis=1)
+        """(row, cell) of every visit; each pair of one table meets exactly once.
+
+        ``bounds`` raises the similarity that a partner of a row must have.
+        """
+        n, edges = len(sims), self.ring_edges
+        bound = np.full(n, self.threshold) if bounds is None else np.maximum(bounds, self.threshold)
+        theta, nearest = _angles(bound), homes // self.rings
+        if self.own_pivot_only:
+            rows, pivots = np.arange(n), nearest
+        else:
             margin = sims[np.arange(n), nearest][:, None] - sims
-            gap = np.sqrt(np.maximum(2 - 2 * (self.pivots @ self.pivots.T), 0))[nearest]
-            possible = margin <= gap * math.sin(self.theta) + SLACK
-        low, high = self.ring_edges[:-1], self.ring_edges[1:]
-        near = angles[:, :, None]
-        mask = possible[:, :, None] & (near <= high + theta) & (near >= low - theta)
-        mask &= (self.home_rows > 0).reshape(1, count, self.rings)
+            reach = np.where(theta < math.pi / 2, np.sin(theta), 1.0)[:, None]
+            rows, pivots = np.nonzero(margin <= self.gaps[nearest] * reach + SLACK)
+        angle, width = _angles(sims[rows, pivots]), theta[rows] + ANGLE_SLACK
+        first = np.searchsorted(edges[1:], angle - width, "left")
+        last = np.searchsorted(edges[:-1], angle + width, "right") - 1
         if self.forest:
             # rows within the threshold of a pivot are tied to it, so its core is reached
-            mask[:, :, :2] &= ~self.is_core(sims)[:, :, None]
-        rows, cells = np.nonzero(mask.reshape(n, -1))
-        if within_one_table:
+            first = np.where(self.is_core(sims[rows, pivots]), np.maximum(first, 2), first)
+        picked, step = _expand(np.maximum(last - first + 1, 0))
+        rows, cells = rows[picked], pivots[picked] * self.rings + first[picked] + step
+        keep = self.home_rows[cells] > 0
+        if one_table:
             own = homes[rows]
             even = (own + cells) % 2 == 0
-            keep = (own != cells) & (even == (cells < own))
-            rows, cells = rows[keep], cells[keep]
-        return rows, cells
+            keep &= (own != cells) & (even == (cells < own))
+        return rows[keep], cells[keep]
+
+
+def _angles(sims: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(sims, -1, 1))
 
 
 def _sample_pivots(df: DataFrame, key: str, vector: str, rows: int, count: int) -> tuple:
@@ -174,71 +188,84 @@ def _sample_pivots(df: DataFrame, key: str, vector: str, rows: int, count: int)
     return matrix[chosen], tuple(ids[i] for i in chosen)
 
 
-def _cell_counts(df: DataFrame, vector: str, layout: Layout, visiting: bool, one_table: bool):
-    """Rows per cell: homes, or visits given the occupied cells (cells x 1 result)."""
+def _cell_counts(
+    df: DataFrame, vector: str, layout: Layout, visiting: bool, one_table: bool, bound: str | None = None
+) -> np.ndarray:
+    """Rows per cell: homes, or visits given the occupied cells."""
     shared = df.sparkSession.sparkContext.broadcast(layout)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shared.value
         totals = np.zeros(plan.cells, dtype=np.int64)
         for batch in batches:
-            matrix, _ = unit_rows(batch.column(0))
-            for part in _slices(matrix, plan):
-                homes, sims = plan.homes(part)
-                cells = plan.visits(homes, sims, one_table)[1] if visiting else homes
+            matrix, kept = unit_rows(batch.column(0))
+            bounds = np.asarray(batch.column(1))[kept] if bound else None
+            for span in _slices(len(matrix), plan):
+                homes, sims = plan.homes(matrix[span])
+                part = bounds[span] if bound else None
+                cells = plan.visits(homes, sims, one_table, part)[1] if visiting else homes
                 totals += np.bincount(cells, minlength=plan.cells)
         used = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(totals[used])], ["cell", "n"])
 
-    counted = df.select(vector).mapInArrow(count, "cell long, n long")
+    columns = [vector, bound] if bound else [vector]
+    counted = df.select(*columns).mapInArrow(count, "cell long, n long")
     result = np.zeros(layout.cells, dtype=np.int64)
     for row in counted.groupBy("cell").agg(F.sum("n").alias("n")).collect():
         result[row["cell"]] = row["n"]
     return result
 
 
-def _slices(matrix: np.ndarray, layout: Layout) -> Iterator[np.ndarray]:
-    step = len(matrix) if layout.pivots is None else max(1, SCRATCH_ELEMENTS // layout.cells)
-    for start in range(0, len(matrix), max(step, 1)):
-        yield matrix[start : start + step]
+def _slices(rows: int, layout: Layout) -> Iterator[slice]:
+    step = rows if layout.pivots is None else SCRATCH_ELEMENTS // len(layout.pivots)
+    for start in range(0, rows, max(step, 1)):
+        yield slice(start, start + max(step, 1))
 
 
-def plan_layout(
-    homes: DataFrame,
-    key: str,
-    vector: str,
-    threshold: float,
-    visitors: DataFrame | None = None,
-    visitor_vector: str | None = None,
-    forest: bool = False,
-    unit_rows_limit: int = UNIT_ROWS,
-    pivots: int | None = None,
-) -> Layout:
-    """Choose pivots and chunk counts from row counts; all driver state is bounded."""
-    base = dict(threshold=threshold, unit_rows=unit_rows_limit, forest=forest)
+def _place(
+    homes: DataFrame, key: str, vector: str, threshold: float, unit_rows_limit: int, pivots: int | None, forest: bool
+) -> tuple[DataFrame, Layout]:
+    """The home table and its layout: pivots from a sample, rows per cell from one pass.
+
+    All driver state is bounded by pivots x rings.  A table that needs pivots is read
+    several times, so it is written once with the two columns in use.
+    """
     rows = homes.count()
-    one_table = visitors is None
-    if pivots is None:
-        pivots = min(rows // unit_rows_limit, MAX_PIVOTS)
-    if pivots > 1:
-        matrix, ids = _sample_pivots(homes, key, vector, rows, pivots)
+    layout = Layout(threshold, unit_rows=unit_rows_limit, forest=forest)
+    count = min(rows // unit_rows_limit, MAX_PIVOTS) if pivots is None else pivots
+    if count > 1:
+        homes = materialize(homes.select(key, vector), "vectors")
+        matrix, ids = _sample_pivots(homes, key, vector, rows, count)
         if len(matrix) > 1:
-            base.update(pivots=matrix, pivot_ids=ids)
-            home_rows = _cell_counts(homes, vector, Layout(**base), False, one_table)
-            known = Layout(**base, home_rows=home_rows)
-            seen = homes if one_table else visitors
-            column = vector if one_table else visitor_vector
-            visit_rows = _cell_counts(seen, column, known, True, one_table)
-            return Layout(**base, home_rows=home_rows, visit_rows=visit_rows)
-    visiting = 0 if one_table else visitors.count()
-    return Layout(**base, home_rows=np.array([rows]), visit_rows=np.array([visiting]))
+            layout = replace(layout, pivots=matrix, pivot_ids=ids)
+            return homes, replace(layout, home_rows=_cell_counts(homes, vector, layout, False, True))
+    return homes, replace(layout, home_rows=np.array([rows]))
+
+
+def _visited(
+    visitors: DataFrame, vector: str, layout: Layout, one_table: bool, bound: str | None = None
+) -> Layout:
+    """The layout with the number of visits per cell."""
+    if layout.pivots is None:
+        return replace(layout, visit_rows=np.array([0 if one_table else visitors.count()]))
+    return replace(layout, visit_rows=_cell_counts(visitors, vector, layout, True, one_table, bound))
+
+
+def _one_table(
+    df: DataFrame, key: str, vector: str, threshold: float, forest: bool = False,
+    unit_rows_limit: int = UNIT_ROWS, pivots: int | None = None,
+) -> tuple[DataFrame, Layout, DataFrame]:
+    """(table, layout, rows spread over the units) of a self-join."""
+    df, layout = _place(df, key, vector, threshold, unit_rows_limit, pivots, forest)
+    layout = _visited(df, vector, layout, True)
+    return df, layout, _spread(df, key, vector, layout, as_home=True, one_table=True)
 
 
 # ---------------------------------------------------------------- spreading rows over units
 
 
 def _spread(
-    df: DataFrame, key: str, vector: str, layout: Layout, as_home: bool, one_table: bool
+    df: DataFrame, key: str, vector: str, layout: Layout, as_home: bool, one_table: bool, bound: str | None = None
 ) -> DataFrame:
     """One row per (row, work unit it takes part in)."""
     spark = df.sparkSession
@@ -263,10 +290,9 @@ def _spread(
             matrix, kept = unit_rows(batch.column(1))
             ids = batch.column(0).take(pa.array(kept))
             salt = np.asarray(batch.column(2))[kept]
-            done = 0
-            for part in _slices(matrix, plan):
-                span = slice(done, done + len(part))
-                done += len(part)
+            bounds = np.asarray(batch.column(3))[kept] if bound else None
+            for span in _slices(len(matrix), plan):
+                part = matrix[span]
                 homes, sims = plan.homes(part)
                 blocks = []
                 if as_home:
@@ -275,7 +301,7 @@ def _spread(
                     if plan.pivots is None:
                         rows, cells = np.arange(len(part)), homes
                     else:
-                        rows, cells = plan.visits(homes, sims, one_table)
+                        rows, cells = plan.visits(homes, sims, one_table, bounds[span] if bound else None)
                     blocks.append(_visit_units(rows, cells, salt[span], home_chunks, visit_chunks))
                 for rows, cell, left, right, side in blocks:
                     for start in range(0, len(rows), 8192):
@@ -293,7 +319,8 @@ def _spread(
                             names,
                         )
 
-    hashed = df.select(key, vector, F.pmod(F.xxhash64(key), F.lit(1 << 40)).alias("_h"))
+    salt = F.pmod(F.xxhash64(key), F.lit(1 << 40)).alias("_h")
+    hashed = df.select(key, vector, salt, *([bound] if bound else []))
     return hashed.mapInArrow(spread, schema)
 
 
@@ -356,10 +383,7 @@ Kernel = Callable[[pa.Table], pa.Table]
 def _pairs_kernel(threshold: float, strict: bool, ordered: bool) -> Kernel:
     def kernel(table: pa.Table) -> pa.Table:
         ids, values, left, right, own = _sides(table)
-        parts = list(_hits(values, left, right, own, threshold, strict))
-        i = np.concatenate([p[0] for p in parts] or [np.empty(0, dtype=np.int64)])
-        j = np.concatenate([p[1] for p in parts] or [np.empty(0, dtype=np.int64)])
-        sims = np.concatenate([p[2] for p in parts] or [np.empty(0)])
+        i, j, sims = _joined(list(_hits(values, left, right, own, threshold, strict)))
         a, b = ids.take(pa.array(i)), ids.take(pa.array(j))
         if ordered:
             swap = pc.greater(a, b)
@@ -455,8 +479,7 @@ def similarity_self_join(
 ) -> DataFrame:
     """All pairs (a, b, similarity) with a < b and cosine >= ``threshold`` (> if strict)."""
     _check_threshold(threshold)
-    layout = plan_layout(df, key, vector, threshold, **layout_options)
-    spread = _spread(df, key, vector, layout, as_home=True, one_table=True)
+    _, _, spread = _one_table(df, key, vector, threshold, **layout_options)
     kind = df.schema[key].dataType
     return _run_units(
         spread, _pairs_kernel(threshold, strict, ordered=True), _pair_schema(kind, kind, ("a", "b"))
@@ -468,8 +491,7 @@ def neighbour_counts(
 ) -> DataFrame:
     """(id, n): other rows within the threshold, without writing out the pairs."""
     _check_threshold(threshold)
-    layout = plan_layout(df, key, vector, threshold, **layout_options)
-    spread = _spread(df, key, vector, layout, as_home=True, one_table=True)
+    _, _, spread = _one_table(df, key, vector, threshold, **layout_options)
     schema = T.StructType(
         [T.StructField("id", df.schema[key].dataType), T.StructField("n", T.LongType())]
     )
@@ -487,8 +509,7 @@ def similarity_forest(
     and are not compared with each other: a group of near copies costs one edge per row.
     """
     _check_threshold(threshold)
-    layout = plan_layout(df, key, vector, threshold, forest=True, **layout_options)
-    spread = _spread(df, key, vector, layout, as_home=True, one_table=True)
+    df, layout, spread = _one_table(df, key, vector, threshold, forest=True, **layout_options)
     kind = df.schema[key].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
     edges = _run_units(spread, _forest_kernel(threshold, False), schema)
@@ -503,16 +524,15 @@ def similarity_forest(
             matrix, kept = unit_rows(batch.column(1))
             ids = batch.column(0).take(pa.array(kept))
             centres = pa.array(list(plan.pivot_ids), ids.type)
-            together, done = none, 0
-            for part in _slices(matrix, plan):
-                sims = part @ plan.pivots.T
+            together = none
+            for span in _slices(len(matrix), plan):
+                sims = matrix[span] @ plan.pivots.T
                 core = plan.is_core(sims)
                 rows = np.flatnonzero(core.any(axis=1))
                 nearest = sims.argmax(axis=1)
                 tie, other = np.nonzero(core)
                 together = merge_labels(together, nearest[tie], other)
-                a, b = ids.take(pa.array(rows + done)), centres.take(pa.array(nearest[rows]))
-                done += len(part)
+                a, b = ids.take(pa.array(rows + span.start)), centres.take(pa.array(nearest[rows]))
                 yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
             child = np.flatnonzero(together != none)
             a, b = centres.take(pa.array(child)), centres.take(pa.array(together[child]))
@@ -531,24 +551,48 @@ def similarity_cross_join(
     right_vector: str,
     threshold: float,
     strict: bool = False,
-    **layout_options,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    unit_rows_limit: int = UNIT_ROWS,
+    pivots: int | None = None,
 ) -> DataFrame:
-    """All (left, right) pairs of two tables with cosine over the threshold."""
+    """All (a, b, similarity) of two tables with cosine over the threshold.
+
+    A right table under ``broadcast_bytes`` is broadcast after its size was checked;
+    beyond that the left rows visit the cells of the right table that can hold a partner.
+    """
     _check_threshold(threshold)
-    spread = _cross_spread(
-        left, right, left_key, left_vector, right_key, right_vector, threshold, layout_options
-    )
     schema = _pair_schema(
         left.schema[left_key].dataType, right.schema[right_key].dataType, ("a", "b")
     )
-    return _run_units(_common_ids(spread), _cross_pairs_kernel(threshold, strict), schema)
+    if _fits_broadcast(right, right_key, right_vector, broadcast_bytes):
 
+        def pick(l_matrix: np.ndarray, r_matrix: np.ndarray):
+            parts = list(
+                _hits(np.concatenate([l_matrix, r_matrix]), np.arange(len(l_matrix)),
+                      len(l_matrix) + np.arange(len(r_matrix)), False, threshold, strict)
+            )
+            i, j, sims = _joined(parts)
+            return i, j - len(l_matrix), sims
+
+        return _by_broadcast(left, right, left_key, left_vector, right_key, right_vector, pick, schema)
+    right, layout = _place(right, right_key, right_vector, threshold, unit_rows_limit, pivots, False)
+    layout = _visited(left, left_vector, layout, False)
+    spread = _two_tables(left, right, left_key, left_vector, right_key, right_vector, layout)
+    return _run_units(spread, _cross_pairs_kernel(threshold, strict), schema)
+
+
+def _joined(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if not parts:
+        none = np.empty(0, dtype=np.int64)
+        return none, none, np.empty(0)
+    i, j, sims = (np.concatenate(column) for column in zip(*parts))
+    return i, j, sims
 
-def _cross_spread(left, right, left_key, left_vector, right_key, right_vector, threshold, options):
-    layout = plan_layout(right, right_key, right_vector, threshold, left, left_vector, **options)
-    visiting = _spread(left, left_key, left_vector, layout, as_home=False, one_table=False)
-    at_home = _spread(right, right_key, right_vector, layout, as_home=True, one_table=False)
-    return visiting, at_home
+
+def _two_tables(left, right, left_key, left_vector, right_key, right_vector, layout, bound=None):
+    visiting = _spread(left, left_key, left_vector, layout, False, False, bound)
+    at_home = _spread(right, right_key, right_vector, layout, True, False)
+    return _common_ids((visiting, at_home))
 
 
 def _common_ids(sides: tuple[DataFrame, DataFrame]) -> DataFrame:
@@ -576,10 +620,7 @@ def _cross_sides(table: pa.Table):
 def _cross_pairs_kernel(threshold: float, strict: bool) -> Kernel:
     def kernel(table: pa.Table) -> pa.Table:
         l_ids, r_ids, values, left, right = _cross_sides(table)
-        parts = list(_hits(values, left, right, False, threshold, strict))
-        i = np.concatenate([p[0] for p in parts] or [np.empty(0, dtype=np.int64)])
-        j = np.concatenate([p[1] for p in parts] or [np.empty(0, dtype=np.int64)])
-        sims = np.concatenate([p[2] for p in parts] or [np.empty(0)])
+        i, j, sims = _joined(list(_hits(values, left, right, False, threshold, strict)))
         return pa.table(
             [l_ids.take(pa.array(i)), r_ids.take(pa.array(j)), pa.array(sims)],
             names=["a", "b", "similarity"],
@@ -644,38 +685,66 @@ def top_matches(
     threshold: float | None = None,
     strict: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
-    **layout_options,
+    unit_rows_limit: int = UNIT_ROWS,
+    pivots: int | None = None,
 ) -> DataFrame:
     """(a, b, similarity, rank): the k most similar right rows of every left row.
 
-    A right table under ``broadcast_bytes`` is broadcast after its size was checked and
-    the left table is read once without a shuffle.  A larger one is joined through the
-    work units; each unit keeps its own k best before the final ranking.
+    Ties go to the lower right id.  A right table under ``broadcast_bytes`` is broadcast
+    after its size was checked and the left table is read once without a shuffle.
+    Beyond that both tables meet in work units, in two exact steps: the k best around a
+    row's own pivot bound its k-th best similarity from below, and with that bound the
+    row visits only the cells that can still improve it.
     """
-    pair_type = _pair_schema(
+    schema = _pair_schema(
         left.schema[left_key].dataType, right.schema[right_key].dataType, ("a", "b")
     )
+    names = (left_key, left_vector, right_key, right_vector)
     if _fits_broadcast(right, right_key, right_vector, broadcast_bytes):
-        best = _top_by_broadcast(
-            left, right, left_key, left_vector, right_key, right_vector, k, threshold, strict, pair_type
-        )
+        pick = _picker(k, threshold, strict)
+        best = _by_broadcast(left, right, *names, pick, schema)
         if k == 1:
             return best.withColumn("rank", F.lit(1))
-    else:
-        bound = -1.0 if threshold is None else threshold
-        if bound <= 0:
-            layout_options = {**layout_options, "pivots": 0}
-        spread = _cross_spread(
-            left, right, left_key, left_vector, right_key, right_vector, bound, layout_options
+        return _ranked(best, k)
+    floor = -1.0 if threshold is None else threshold
+    right, layout = _place(right, right_key, right_vector, floor, unit_rows_limit, pivots, False)
+    bound = None
+    if layout.pivots is not None:
+        near = _visited(left, left_vector, replace(layout, own_pivot_only=True), False)
+        first = _run_units(_two_tables(left, right, *names, near), _top_kernel(k, None, False), schema)
+        kth = _ranked(first, k).where(F.col("rank") == k).select(
+            F.col("a").alias(left_key), F.col("similarity").alias("_bound")
         )
-        best = _run_units(_common_ids(spread), _top_kernel(k, threshold, strict), pair_type)
+        bounded = left.select(left_key, left_vector).join(kth, left_key, "left")
+        left = materialize(bounded.withColumn("_bound", F.coalesce("_bound", F.lit(-1.0))), "bounds")
+        bound = "_bound"
+    layout = _visited(left, left_vector, layout, False, bound)
+    spread = _two_tables(left, right, *names, layout, bound)
+    return _ranked(_run_units(spread, _top_kernel(k, threshold, strict), schema), k)
+
+
+def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _top_by_broadcast(
-    left, right, left_key, left_vector, right_key, right_vector, k, threshold, strict, schema
-):
+def _picker(k: int, threshold: float | None, strict: bool):
+    def pick(l_matrix: np.ndarray, r_matrix: np.ndarray):
+        if k == 1 and len(r_matrix) and len(l_matrix):
+            where, sims = best_of(l_matrix, r_matrix)
+            picked = np.arange(len(l_matrix))
+        else:
+            picked, where, sims = top_of(l_matrix, r_matrix, k)
+        if threshold is not None:
+            ok = sims > threshold if strict else sims >= threshold
+            picked, where, sims = picked[ok], where[ok], sims[ok]
+        return picked, where, sims
+
+    return pick
+
+
+def _by_broadcast(left, right, left_key, left_vector, right_key, right_vector, pick, schema) -> DataFrame:
+    """``pick`` between every batch of the left table and the whole right one, in id order."""
     table = right.select(right_key, right_vector).toArrow()
     matrix, kept = unit_rows(table.column(1))
     ids = table.column(0).combine_chunks().take(pa.array(kept))
@@ -686,24 +755,11 @@ def _top_by_broadcast(
         r_ids, r_matrix = shared.value
         for batch in batches:
             l_matrix, rows = unit_rows(batch.column(1))
-            if not len(rows):
+            if not len(rows) or not len(r_matrix):
                 continue
-            if k == 1 and len(r_matrix):
-                where, sims = best_of(l_matrix, r_matrix)
-                picked = np.arange(len(rows))
-            else:
-                picked, where, sims = top_of(l_matrix, r_matrix, k)
-            if threshold is not None:
-                ok = sims > threshold if strict else sims >= threshold
-                picked, where, sims = picked[ok], where[ok], sims[ok]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(rows[picked])),
-                    r_ids.take(pa.array(where)),
-                    pa.array(sims),
-                ],
-                ["a", "b", "similarity"],
-            )
+            picked, where, sims = pick(l_matrix, r_matrix)
+            a, b = batch.column(0).take(pa.array(rows[picked])), r_ids.take(pa.array(where))
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(sims)], ["a", "b", "similarity"])
 
     return left.select(left_key, left_vector).mapInArrow(match, schema)
 
@@ -735,24 +791,25 @@ def knn_search(
     vector: str,
     k: int = 10,
     broadcast_bytes: int = BROADCAST_BYTES,
+    unit_rows_limit: int = UNIT_ROWS,
+    pivots: int | None = None,
 ) -> DataFrame:
     """(query, neighbour, similarity, rank): the k nearest rows of ``vectors``.
 
     The query side is the small one: under ``broadcast_bytes`` it is broadcast and every
-    task keeps the k best per query of its rows, otherwise both tables meet in units.
+    task keeps the k best per query of its rows; otherwise see ``top_matches``.
     """
-    pair_type = _pair_schema(
-        queries.schema[query_key].dataType, vectors.schema[key].dataType, ("a", "b")
-    )
     if _fits_broadcast(queries, query_key, query_vector, broadcast_bytes):
-        best = _knn_by_broadcast(queries, vectors, query_key, query_vector, key, vector, k, pair_type)
+        schema = _pair_schema(
+            queries.schema[query_key].dataType, vectors.schema[key].dataType, ("a", "b")
+        )
+        best = _knn_by_broadcast(queries, vectors, query_key, query_vector, key, vector, k, schema)
+        ranked = _ranked(best, k)
     else:
-        spread = _cross_spread(
-            queries, vectors, query_key, query_vector, key, vector, -1.0, {"pivots": 0}
+        ranked = top_matches(
+            queries, vectors, query_key, query_vector, key, vector, k,
+            broadcast_bytes=broadcast_bytes, unit_rows_limit=unit_rows_limit, pivots=pivots,
         )
-        best = _run_units(_common_ids(spread), _top_kernel(k, None, False), pair_type)
-    order = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.withColumnsRenamed({"a": "query", "b": "neighbour"})
 
 
@@ -764,6 +821,7 @@ def _knn_by_broadcast(queries, vectors, query_key, query_vector, key, vector, k,
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_ids, q_matrix = shared.value
+        best = None  # the k best per query of this task: (query, neighbour id, similarity)
         for batch in batches:
             v_matrix, rows = unit_rows(batch.column(1))
             if not len(rows) or not len(q_matrix):
@@ -771,9 +829,22 @@ def _knn_by_broadcast(queries, vectors, query_key, query_vector, key, vector, k,
             neighbours = batch.column(0).take(pa.array(rows))
             order = np.asarray(pc.sort_indices(neighbours))
             picked, where, sims = top_of(q_matrix, v_matrix[order], k)
-            yield pa.RecordBatch.from_arrays(
-                [q_ids.take(pa.array(picked)), neighbours.take(pa.array(order[where])), pa.array(sims)],
-                ["a", "b", "similarity"],
+            found = pa.table(
+                [pa.array(picked), neighbours.take(pa.array(order[where])), pa.array(sims)],
+                names=["q", "b", "s"],
             )
+            best = found if best is None else _keep_best(pa.concat_tables([best, found]), k)
+        if best is not None:
+            a = q_ids.take(best.column("q").combine_chunks())
+            columns = [a, best.column("b").combine_chunks(), best.column("s").combine_chunks()]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "similarity"])
 
     return vectors.select(key, vector).mapInArrow(search, schema)
+
+
+def _keep_best(table: pa.Table, k: int) -> pa.Table:
+    """The k best rows per query of a (q, b, s) table."""
+    ordered = table.sort_by([("q", "ascending"), ("s", "descending"), ("b", "ascending")])
+    q = np.asarray(ordered.column("q").combine_chunks())
+    starts = np.searchsorted(q, q, "left")
+    return ordered.take(pa.array(np.flatnonzero(np.arange(len(q)) - starts < k)))
