@@ -1,13 +1,14 @@
 """Exact cosine joins over vector tables.
 
 Rows are laid over *work units* of bounded size and each unit is one matrix product
-inside a task.  Small inputs make a single unit.  Larger ones are partitioned around
+inside a task.  Small inputs make a single unit; the size grows with the rows per core,
+since larger units mean fewer copies in the shuffle.  Larger ones are partitioned around
 pivots sampled from the data: a row lives in the cell (nearest pivot, angle ring) and
 also visits the cells that can hold a partner.  Two bounds decide that, both exact on
 the unit sphere where the angle is a metric:
 
-* triangle inequality: a ring with angles [lo, hi] around pivot p can only hold
-  partners of x if  lo - theta <= angle(x, p) <= hi + theta;
+* triangle inequality: a cell with angles [low, high] around pivot p can only hold
+  partners of x if  low - theta <= angle(x, p) <= high + theta;
 * bisector: rows of cell p are at least as close to p as to q, so x is at least
   arcsin((x.q - x.p) / |q - p|) away from all of them.
 
@@ -32,7 +33,8 @@ from pyspark.sql import types as T
 
 from clanmark.sources.workspace import materialize
 
-UNIT_ROWS = 4096
+MIN_UNIT_ROWS = 2048
+MAX_UNIT_ROWS = 32768
 MAX_PIVOTS = 2048
 BROADCAST_BYTES = 64 * 1024 * 1024
 SLACK = 1e-9  # of similarities
@@ -90,7 +92,10 @@ class Layout:
     pivot_ids: tuple = ()
     home_rows: np.ndarray | None = None
     visit_rows: np.ndarray | None = None
-    unit_rows: int = UNIT_ROWS
+    unit_rows: int = MIN_UNIT_ROWS
+    groups: np.ndarray | None = None
+    low: np.ndarray | None = None
+    high: np.ndarray | None = None
     forest: bool = False
     own_pivot_only: bool = False
 
@@ -133,7 +138,43 @@ class Layout:
         if self.threshold > 0:
             # rings 0 and 1 hold exactly the rows within the threshold of their pivot
             ring = np.where(self.is_core(best), np.minimum(ring, 1), np.maximum(ring, 2))
-        return nearest * self.rings + ring, sims
+        return nearest * self.rings + self.group(nearest, ring), sims
+
+    def group(self, pivots: np.ndarray, rings: np.ndarray) -> np.ndarray:
+        """Neighbouring rings of one pivot with few rows share a cell."""
+        return rings if self.groups is None else self.groups[pivots, rings]
+
+    def only_core(self, cells: np.ndarray) -> np.ndarray:
+        """Whether a cell holds the core of its pivot and nothing else."""
+        return (cells % self.rings == 0) & (self.groups[cells // self.rings, 2] == 1)
+
+    def with_rows(self, ring_rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> Layout:
+        """Rows and angles per ring are known: rings join until a cell is worth a unit.
+
+        Only a large core becomes a cell of its own, whose rows need no comparison.
+        """
+        shape = (len(self.pivots), self.rings)
+        rows, groups = ring_rows.reshape(shape), np.zeros(shape, dtype=np.int64)
+        home_rows = np.zeros_like(rows)
+        for p in range(len(rows)):
+            group = 0
+            for ring in range(self.rings):
+                if ring >= 2 and home_rows[p, group] * 2 >= self.unit_rows:
+                    group += 1
+                groups[p, ring] = group
+                home_rows[p, group] += rows[p, ring]
+        cell = (np.arange(shape[0])[:, None] * self.rings + groups).ravel()
+        cell_low, cell_high = np.full(self.cells, np.inf), np.full(self.cells, -np.inf)
+        np.minimum.at(cell_low, cell, low)
+        np.maximum.at(cell_high, cell, high)
+        return replace(self, groups=groups, home_rows=home_rows.ravel(), low=cell_low, high=cell_high)
+
+    @cached_property
+    def tightness(self) -> np.ndarray:
+        """Rank of the cells by radius: rows of a wide cell visit the tight one."""
+        rank = np.empty(self.cells, dtype=np.int64)
+        rank[np.argsort(self.high, kind="stable")] = np.arange(self.cells)
+        return rank
 
     def visits(
         self, homes: np.ndarray, sims: np.ndarray, one_table: bool, bounds: np.ndarray | None = None
@@ -142,7 +183,7 @@ class Layout:
 
         ``bounds`` raises the similarity that a partner of a row must have.
         """
-        n, edges = len(sims), self.ring_edges
+        n = len(sims)
         bound = np.full(n, self.threshold) if bounds is None else np.maximum(bounds, self.threshold)
         theta, nearest = _angles(bound), homes // self.rings
         if self.own_pivot_only:
@@ -151,20 +192,21 @@ class Layout:
             margin = sims[np.arange(n), nearest][:, None] - sims
             reach = np.where(theta < math.pi / 2, np.sin(theta), 1.0)[:, None]
             rows, pivots = np.nonzero(margin <= self.gaps[nearest] * reach + SLACK)
-        angle, width = _angles(sims[rows, pivots]), theta[rows] + ANGLE_SLACK
-        first = np.searchsorted(edges[1:], angle - width, "left")
-        last = np.searchsorted(edges[:-1], angle + width, "right") - 1
-        if self.forest:
-            # rows within the threshold of a pivot are tied to it, so its core is reached
-            first = np.where(self.is_core(sims[rows, pivots]), np.maximum(first, 2), first)
-        picked, step = _expand(np.maximum(last - first + 1, 0))
-        rows, cells = rows[picked], pivots[picked] * self.rings + first[picked] + step
-        keep = self.home_rows[cells] > 0
-        if one_table:
-            own = homes[rows]
-            even = (own + cells) % 2 == 0
-            keep &= (own != cells) & (even == (cells < own))
-        return rows[keep], cells[keep]
+        sim = sims[rows, pivots]
+        angle, width = _angles(sim), theta[rows] + ANGLE_SLACK
+        tied = self.is_core(sim) if self.forest else None
+        found = []
+        for group in range(int(self.groups.max()) + 1):
+            cells = pivots * self.rings + group
+            keep = (angle <= self.high[cells] + width) & (angle >= self.low[cells] - width)
+            if one_table:
+                own = homes[rows]
+                keep &= self.tightness[cells] < self.tightness[own]
+            if self.forest:
+                # a row within the threshold of a pivot is tied to it, so its core is reached
+                keep &= ~(tied & self.only_core(cells))
+            found.append((rows[keep], cells[keep]))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
 def _angles(sims: np.ndarray) -> np.ndarray:
@@ -188,10 +230,38 @@ def _sample_pivots(df: DataFrame, key: str, vector: str, rows: int, count: int)
     return matrix[chosen], tuple(ids[i] for i in chosen)
 
 
-def _cell_counts(
-    df: DataFrame, vector: str, layout: Layout, visiting: bool, one_table: bool, bound: str | None = None
+def _ring_stats(df: DataFrame, vector: str, layout: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, lowest and highest angle per ring of every pivot."""
+    shared = df.sparkSession.sparkContext.broadcast(layout)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = shared.value
+        rows = np.zeros(plan.cells, dtype=np.int64)
+        low, high = np.full(plan.cells, np.inf), np.full(plan.cells, -np.inf)
+        for batch in batches:
+            matrix, _ = unit_rows(batch.column(0))
+            for span in _slices(len(matrix), plan):
+                rings, sims = plan.homes(matrix[span])
+                angle = _angles(sims.max(axis=1))
+                rows += np.bincount(rings, minlength=plan.cells)
+                np.minimum.at(low, rings, angle)
+                np.maximum.at(high, rings, angle)
+        used = np.flatnonzero(rows)
+        columns = [pa.array(used), pa.array(rows[used]), pa.array(low[used]), pa.array(high[used])]
+        yield pa.RecordBatch.from_arrays(columns, ["ring", "n", "low", "high"])
+
+    measured = df.select(vector).mapInArrow(measure, "ring long, n long, low double, high double")
+    rows = np.zeros(layout.cells, dtype=np.int64)
+    low, high = np.full(layout.cells, np.inf), np.full(layout.cells, -np.inf)
+    for row in measured.groupBy("ring").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect():
+        rows[row["ring"]], low[row["ring"]], high[row["ring"]] = row["n"], row["low"], row["high"]
+    return rows, low, high
+
+
+def _visit_counts(
+    df: DataFrame, vector: str, layout: Layout, one_table: bool, bound: str | None = None
 ) -> np.ndarray:
-    """Rows per cell: homes, or visits given the occupied cells."""
+    """Visits per cell."""
     shared = df.sparkSession.sparkContext.broadcast(layout)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,14 +272,12 @@ def _cell_counts(
             bounds = np.asarray(batch.column(1))[kept] if bound else None
             for span in _slices(len(matrix), plan):
                 homes, sims = plan.homes(matrix[span])
-                part = bounds[span] if bound else None
-                cells = plan.visits(homes, sims, one_table, part)[1] if visiting else homes
+                cells = plan.visits(homes, sims, one_table, bounds[span] if bound else None)[1]
                 totals += np.bincount(cells, minlength=plan.cells)
         used = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(totals[used])], ["cell", "n"])
 
-    columns = [vector, bound] if bound else [vector]
-    counted = df.select(*columns).mapInArrow(count, "cell long, n long")
+    counted = df.select(vector, *([bound] if bound else [])).mapInArrow(count, "cell long, n long")
     result = np.zeros(layout.cells, dtype=np.int64)
     for row in counted.groupBy("cell").agg(F.sum("n").alias("n")).collect():
         result[row["cell"]] = row["n"]
@@ -223,7 +291,7 @@ def _slices(rows: int, layout: Layout) -> Iterator[slice]:
 
 
 def _place(
-    homes: DataFrame, key: str, vector: str, threshold: float, unit_rows_limit: int, pivots: int | None, forest: bool
+    homes: DataFrame, key: str, vector: str, threshold: float, unit_rows_limit: int | None, pivots: int | None, forest: bool
 ) -> tuple[DataFrame, Layout]:
     """The home table and its layout: pivots from a sample, rows per cell from one pass.
 
@@ -231,6 +299,9 @@ def _place(
     several times, so it is written once with the two columns in use.
     """
     rows = homes.count()
+    if unit_rows_limit is None:
+        share = rows // (2 * homes.sparkSession.sparkContext.defaultParallelism)
+        unit_rows_limit = min(max(share, MIN_UNIT_ROWS), MAX_UNIT_ROWS)
     layout = Layout(threshold, unit_rows=unit_rows_limit, forest=forest)
     count = min(rows // unit_rows_limit, MAX_PIVOTS) if pivots is None else pivots
     if count > 1:
@@ -238,7 +309,7 @@ def _place(
         matrix, ids = _sample_pivots(homes, key, vector, rows, count)
         if len(matrix) > 1:
             layout = replace(layout, pivots=matrix, pivot_ids=ids)
-            return homes, replace(layout, home_rows=_cell_counts(homes, vector, layout, False, True))
+            return homes, layout.with_rows(*_ring_stats(homes, vector, layout))
     return homes, replace(layout, home_rows=np.array([rows]))
 
 
@@ -248,12 +319,12 @@ def _visited(
     """The layout with the number of visits per cell."""
     if layout.pivots is None:
         return replace(layout, visit_rows=np.array([0 if one_table else visitors.count()]))
-    return replace(layout, visit_rows=_cell_counts(visitors, vector, layout, True, one_table, bound))
+    return replace(layout, visit_rows=_visit_counts(visitors, vector, layout, one_table, bound))
 
 
 def _one_table(
     df: DataFrame, key: str, vector: str, threshold: float, forest: bool = False,
-    unit_rows_limit: int = UNIT_ROWS, pivots: int | None = None,
+    unit_rows_limit: int | None = None, pivots: int | None = None,
 ) -> tuple[DataFrame, Layout, DataFrame]:
     """(table, layout, rows spread over the units) of a self-join."""
     df, layout = _place(df, key, vector, threshold, unit_rows_limit, pivots, forest)
@@ -330,7 +401,7 @@ def _home_units(plan, homes, salt, home_chunks, visit_chunks, one_table):
     if one_table:
         copies = home_chunks[homes].copy()
         if plan.forest and plan.pivots is not None:
-            copies[homes % plan.rings < 2] = 0  # core rows are already tied to their pivot
+            copies[plan.only_core(homes)] = 0  # core rows are already tied to their pivot
         rows, other = _expand(copies)
         own = chunk[rows]
         left, right = np.minimum(own, other), np.maximum(own, other)
@@ -363,18 +434,29 @@ def _sides(table: pa.Table):
     return ids, values, left, right, bool(own)
 
 
-def _hits(values, left, right, own: bool, threshold: float, strict: bool):
-    """(left position, right position, similarity) of the pairs over the threshold."""
+def _hits(values, left, right, own: bool, threshold: float, strict: bool, exact: bool = True):
+    """(left position, right position, similarity) of the pairs over the threshold.
+
+    Single precision finds the candidates; what lies within its error of the threshold,
+    or everything if the values are wanted (``exact``), is decided in double precision.
+    """
+    margin = max(1e-4, values.shape[1] * 1.2e-7) if len(values) else 0.0
+    single = values.astype(np.float32)
     step = max(1, SCRATCH_ELEMENTS // max(len(right), 1))
     for start in range(0, len(left), step):
         rows = left[start : start + step]
-        sims = values[rows] @ values[right].T
+        rough = single[rows] @ single[right].T
         if own:
-            sims[np.arange(len(right))[None, :] <= (start + np.arange(len(rows)))[:, None]] = -2
-        i, j = np.nonzero(sims >= threshold - SLACK)
-        found = np.round(sims[i, j], 12)
+            rough[np.arange(len(right))[None, :] <= (start + np.arange(len(rows)))[:, None]] = -2
+        i, j = np.nonzero(rough >= threshold - margin)
+        found = rough[i, j].astype(np.float64)
+        i, j = rows[i], right[j]
+        check = np.arange(len(i)) if exact else np.flatnonzero(found < threshold + margin)
+        for cut in range(0, len(check), 100_000):
+            part = check[cut : cut + 100_000]
+            found[part] = np.round(np.einsum("ij,ij->i", values[i[part]], values[j[part]]), 12)
         ok = found > threshold if strict else found >= threshold
-        yield rows[i[ok]], right[j[ok]], found[ok]
+        yield i[ok], j[ok], found[ok]
 
 
 Kernel = Callable[[pa.Table], pa.Table]
@@ -397,7 +479,7 @@ def _degree_kernel(threshold: float, strict: bool) -> Kernel:
     def kernel(table: pa.Table) -> pa.Table:
         ids, values, left, right, own = _sides(table)
         counts = np.zeros(len(values), dtype=np.int64)
-        for i, j, _ in _hits(values, left, right, own, threshold, strict):
+        for i, j, _ in _hits(values, left, right, own, threshold, strict, exact=False):
             counts += np.bincount(i, minlength=len(values)) + np.bincount(j, minlength=len(values))
         used = np.flatnonzero(counts)
         return pa.table([ids.take(pa.array(used)), pa.array(counts[used])], names=["id", "n"])
@@ -409,7 +491,7 @@ def _forest_kernel(threshold: float, strict: bool) -> Kernel:
     def kernel(table: pa.Table) -> pa.Table:
         ids, values, left, right, own = _sides(table)
         labels = np.arange(len(values))
-        for i, j, _ in _hits(values, left, right, own, threshold, strict):
+        for i, j, _ in _hits(values, left, right, own, threshold, strict, exact=False):
             labels = merge_labels(labels, i, j)
         child = np.flatnonzero(labels != np.arange(len(values)))
         a, b = ids.take(pa.array(child)), ids.take(pa.array(labels[child]))
@@ -552,7 +634,7 @@ def similarity_cross_join(
     threshold: float,
     strict: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
-    unit_rows_limit: int = UNIT_ROWS,
+    unit_rows_limit: int | None = None,
     pivots: int | None = None,
 ) -> DataFrame:
     """All (a, b, similarity) of two tables with cosine over the threshold.
@@ -685,7 +767,7 @@ def top_matches(
     threshold: float | None = None,
     strict: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
-    unit_rows_limit: int = UNIT_ROWS,
+    unit_rows_limit: int | None = None,
     pivots: int | None = None,
 ) -> DataFrame:
     """(a, b, similarity, rank): the k most similar right rows of every left row.
@@ -791,7 +873,7 @@ def knn_search(
     vector: str,
     k: int = 10,
     broadcast_bytes: int = BROADCAST_BYTES,
-    unit_rows_limit: int = UNIT_ROWS,
+    unit_rows_limit: int | None = None,
     pivots: int | None = None,
 ) -> DataFrame:
     """(query, neighbour, similarity, rank): the k nearest rows of ``vectors``.
