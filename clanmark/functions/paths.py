@@ -29,9 +29,13 @@ def parse_asset_path(path: Column) -> Column:
     Fewer than two parts: everything NULL and the flags false.
     """
     parts = F.split(F.regexp_replace(path, "^/+|/+$", ""), "/")
+    # bound to a lambda variable, so that the key is split once and not in every branch
+    return F.get(F.transform(F.array(parts), _describe_parts), F.lit(0))
+
+
+def _describe_parts(parts: Column) -> Column:
     n = F.size(parts)
-    known = n >= 2
-    main = F.when(known, F.get(parts, F.lit(0)))
+    main = F.when(n >= 2, F.get(parts, F.lit(0)))
     second, last = F.get(parts, F.lit(1)), F.get(parts, n - 1)
 
     def is_kind(prefix: str) -> Column:
@@ -54,9 +58,9 @@ def parse_asset_path(path: Column) -> Column:
 
 
 def clean_path_component(name: Column) -> Column:
-    safe = F.regexp_replace(F.regexp_replace(name, "[^a-zA-Z0-9_-]", "_"), "_{2,}", "_")
-    trimmed = F.regexp_replace(safe, "^_+|_+$", "")
-    return F.lower(F.coalesce(F.nullif(trimmed, F.lit("")), F.lit("default")))
+    """Unsafe characters to ``_``, runs of it joined, ends trimmed, ``default`` if nothing is left."""
+    safe = F.regexp_replace(F.coalesce(name, F.lit("")), "[^a-zA-Z0-9-]+", "_")
+    return F.lower(F.regexp_replace(F.btrim(safe, F.lit("_")), "^$", "default"))
 
 
 def clean_filename(name: Column) -> Column:
@@ -65,9 +69,13 @@ def clean_filename(name: Column) -> Column:
     Leading dots belong to the stem: ``.hidden`` has no extension.
     """
     extension = F.regexp_extract(name, r"^.*[^./][^/]*?(\.[^./]*)$", 1)
-    stem = F.substring(name, F.lit(1), F.length(name) - F.length(extension))
-    cleaned = F.concat(clean_path_component(stem), F.coalesce(F.nullif(extension, F.lit("")), F.lit(".jpg")))
-    return F.when(name.isNull() | (name == ""), F.lit("file.jpg")).otherwise(cleaned)
+
+    def cleaned(ext: Column) -> Column:
+        stem = F.substring(name, F.lit(1), F.length(name) - F.length(ext))
+        return F.concat(clean_path_component(stem), F.when(ext == "", ".jpg").otherwise(ext))
+
+    made = F.get(F.transform(F.array(extension), cleaned), F.lit(0))
+    return F.when(name.isNull() | (name == ""), F.lit("file.jpg")).otherwise(made)
 
 
 def anonymous_path(batch: Column) -> Column:

@@ -185,17 +185,19 @@ def assignments_by_cluster(assignments: DataFrame, run_id: str, cluster_id: int)
 
 
 def user_summary(assignments: DataFrame) -> DataFrame:
-    """Per user: clusters, faces, mean similarity (4 digits), per-bucket breakdown as a map."""
+    """Per user and bucket: clusters and faces, with the user's totals and mean similarity.
+
+    The breakdown is rows and not a map, because a user may appear in any number of buckets.
+    """
     per_bucket = assignments.groupBy("user_id", "bucket_path").agg(
         F.count(F.lit(1)).alias("clusters"), F.sum("face_count").alias("faces"),
         F.sum("similarity").alias("_s"),
     )
-    entry = F.struct("bucket_path", F.struct("clusters", "faces").alias("v"))
-    return per_bucket.groupBy("user_id").agg(
+    totals = per_bucket.groupBy("user_id").agg(
         F.sum("clusters").alias("total_clusters"), F.sum("faces").alias("total_faces"),
         F.round(F.sum("_s") / F.sum("clusters"), 4).alias("average_similarity"),
-        F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("bucket_breakdown"),
     )
+    return per_bucket.drop("_s").join(totals, "user_id")
 
 
 def user_assignments_grouped(

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clanmark.operators.similarity import merge_labels, similarity_forest
-from clanmark.sources.workspace import materialize
+from clanmark.sources.workspace import materialize, release
 
 CONTRACT_ROWS = 500_000
 MAX_ROUNDS = 60
@@ -86,7 +86,9 @@ def component_edges(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if _is_star(forest):
             return forest
-        forest = materialize(_contract(_small_star(_large_star(forest))), "forest")
+        before = forest
+        forest = materialize(_contract(_small_star(_large_star(before))), "forest")
+        release(before)
     raise RuntimeError("components did not settle")
 
 

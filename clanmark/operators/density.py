@@ -49,9 +49,11 @@ def dbscan(
     if min_samples == 2:
         edges = materialize(similarity_forest(df, key, vector, bound, **layout_options), "edges")
         labelled = connected_components(edges, ids, key)
-        sizes = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
-        joined = labelled.join(sizes, "component")
-        return joined.select(key, F.when(F.col("_n") > 1, F.col("component")).alias("cluster"))
+        # noise is what no edge touches: a join on the unique key, not on the component
+        ends = edges.select(F.col("a").alias(key)).unionByName(edges.select(F.col("b").alias(key)))
+        touched = ends.distinct().withColumn("_touched", F.lit(True))
+        joined = labelled.join(touched, key, "left")
+        return joined.select(key, F.when(F.col("_touched"), F.col("component")).alias("cluster"))
 
     counts = neighbour_counts(df, key, vector, bound, **layout_options)
     core_ids = counts.where(F.col("n") + 1 >= min_samples).select(F.col("id").alias(key))

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from clanmark.functions.vectors import dimension_of, dot, is_finite, l2_normalize, norm
 from clanmark.operators.components import similarity_components
 from clanmark.operators.similarity import similarity_self_join, unit_rows
-from clanmark.sources.workspace import materialize
+from clanmark.sources.workspace import materialize, release
 
 COMPONENT_ROWS = 2_000
 
@@ -108,13 +108,14 @@ def _large_components(df: DataFrame, key: str, limit: float, layout_options: dic
         if merges.isEmpty():
             return members
         target = F.coalesce("lo", "cluster").alias("cluster")
-        members = members.join(merges, "cluster", "left").select(key, target)
-        members = materialize(members, "linkage")
+        before = (members, state, merges)
+        members = materialize(members.join(merges, "cluster", "left").select(key, target), "linkage")
         moved = state.join(merges, "cluster", "left").select(target, "total", "n")
         sums = [F.sum(F.get("total", F.lit(i))).alias(f"_s{i}") for i in range(dim)]
         grouped = moved.groupBy("cluster").agg(F.sum("n").alias("n"), *sums)
         total = F.array(*[F.col(f"_s{i}") for i in range(dim)]).cast("array<double>")
         state = materialize(grouped.select("cluster", total.alias("total"), "n"), "linkage")
+        release(*before)
 
 
 def agglomerative_average(

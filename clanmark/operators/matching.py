@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from clanmark.functions.vectors import mean_vectors
 from clanmark.operators.components import connected_components
 from clanmark.operators.similarity import similarity_self_join
-from clanmark.sources.workspace import materialize
+from clanmark.sources.workspace import materialize, release
 
 SCAN_EDGES = 50_000
 
@@ -62,6 +62,7 @@ def greedy_matching(edges: DataFrame, scan_edges: int = SCAN_EDGES) -> DataFrame
         vertices = edges.select("a").distinct()
         labelled = edges.join(connected_components(edges, vertices, "a"), "a")
         labelled = materialize(labelled.select("component", "a", "b"), "candidates")
+        release(edges)
         sizes = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
         large = sizes.where(F.col("n") > scan_edges).select("component")
         if large.isEmpty():
@@ -75,6 +76,7 @@ def greedy_matching(edges: DataFrame, scan_edges: int = SCAN_EDGES) -> DataFrame
         rest = rest.join(touched, F.col("a") == F.col("v"), "left_anti")
         rest = rest.join(touched, F.col("b") == F.col("v"), "left_anti")
         edges = materialize(rest, "candidates")
+        release(labelled)
 
 
 def merge_pairs_greedy(

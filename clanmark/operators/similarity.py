@@ -37,6 +37,7 @@ MIN_UNIT_ROWS = 2048
 MAX_UNIT_ROWS = 32768
 MAX_PIVOTS = 2048
 BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_QUERIES = 1024
 SLACK = 1e-9  # of similarities
 ANGLE_SLACK = 1e-6  # arccos loses half of the digits near 1
 SCRATCH_ELEMENTS = 4_000_000
@@ -431,30 +432,29 @@ def _sides(table: pa.Table):
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     if own:
         right = left
-    return ids, values, left, right, bool(own)
+    return ids, values[left], values[right], left, right, bool(own)
 
 
-def _hits(values, left, right, own: bool, threshold: float, strict: bool, exact: bool = True):
-    """(left position, right position, similarity) of the pairs over the threshold.
+def _hits(left, right, own: bool, threshold: float, strict: bool, exact: bool = True):
+    """(left row, right row, similarity) of the pairs over the threshold.
 
     Single precision finds the candidates; what lies within its error of the threshold,
     or everything if the values are wanted (``exact``), is decided in double precision.
     """
-    margin = max(1e-4, values.shape[1] * 1.2e-7) if len(values) else 0.0
-    single = values.astype(np.float32)
+    margin = max(1e-4, left.shape[1] * 1.2e-7)
+    single = right.astype(np.float32).T
     step = max(1, SCRATCH_ELEMENTS // max(len(right), 1))
     for start in range(0, len(left), step):
-        rows = left[start : start + step]
-        rough = single[rows] @ single[right].T
+        rough = left[start : start + step].astype(np.float32) @ single
         if own:
-            rough[np.arange(len(right))[None, :] <= (start + np.arange(len(rows)))[:, None]] = -2
+            rough[np.arange(len(right))[None, :] <= start + np.arange(len(rough))[:, None]] = -2
         i, j = np.nonzero(rough >= threshold - margin)
         found = rough[i, j].astype(np.float64)
-        i, j = rows[i], right[j]
+        i += start
         check = np.arange(len(i)) if exact else np.flatnonzero(found < threshold + margin)
         for cut in range(0, len(check), 100_000):
             part = check[cut : cut + 100_000]
-            found[part] = np.round(np.einsum("ij,ij->i", values[i[part]], values[j[part]]), 12)
+            found[part] = np.round(np.einsum("ij,ij->i", left[i[part]], right[j[part]]), 12)
         ok = found > threshold if strict else found >= threshold
         yield i[ok], j[ok], found[ok]
 
@@ -464,9 +464,9 @@ Kernel = Callable[[pa.Table], pa.Table]
 
 def _pairs_kernel(threshold: float, strict: bool, ordered: bool) -> Kernel:
     def kernel(table: pa.Table) -> pa.Table:
-        ids, values, left, right, own = _sides(table)
-        i, j, sims = _joined(list(_hits(values, left, right, own, threshold, strict)))
-        a, b = ids.take(pa.array(i)), ids.take(pa.array(j))
+        ids, l_matrix, r_matrix, left, right, own = _sides(table)
+        i, j, sims = _joined(list(_hits(l_matrix, r_matrix, own, threshold, strict)))
+        a, b = ids.take(pa.array(left[i])), ids.take(pa.array(right[j]))
         if ordered:
             swap = pc.greater(a, b)
             a, b = pc.if_else(swap, b, a), pc.if_else(swap, a, b)
@@ -477,10 +477,10 @@ def _pairs_kernel(threshold: float, strict: bool, ordered: bool) -> Kernel:
 
 def _degree_kernel(threshold: float, strict: bool) -> Kernel:
     def kernel(table: pa.Table) -> pa.Table:
-        ids, values, left, right, own = _sides(table)
-        counts = np.zeros(len(values), dtype=np.int64)
-        for i, j, _ in _hits(values, left, right, own, threshold, strict, exact=False):
-            counts += np.bincount(i, minlength=len(values)) + np.bincount(j, minlength=len(values))
+        ids, l_matrix, r_matrix, left, right, own = _sides(table)
+        counts = np.zeros(len(ids), dtype=np.int64)
+        for i, j, _ in _hits(l_matrix, r_matrix, own, threshold, strict, exact=False):
+            counts += np.bincount(left[i], minlength=len(ids)) + np.bincount(right[j], minlength=len(ids))
         used = np.flatnonzero(counts)
         return pa.table([ids.take(pa.array(used)), pa.array(counts[used])], names=["id", "n"])
 
@@ -489,11 +489,11 @@ def _degree_kernel(threshold: float, strict: bool) -> Kernel:
 
 def _forest_kernel(threshold: float, strict: bool) -> Kernel:
     def kernel(table: pa.Table) -> pa.Table:
-        ids, values, left, right, own = _sides(table)
-        labels = np.arange(len(values))
-        for i, j, _ in _hits(values, left, right, own, threshold, strict, exact=False):
-            labels = merge_labels(labels, i, j)
-        child = np.flatnonzero(labels != np.arange(len(values)))
+        ids, l_matrix, r_matrix, left, right, own = _sides(table)
+        labels = np.arange(len(ids))
+        for i, j, _ in _hits(l_matrix, r_matrix, own, threshold, strict, exact=False):
+            labels = merge_labels(labels, left[i], right[j])
+        child = np.flatnonzero(labels != np.arange(len(ids)))
         a, b = ids.take(pa.array(child)), ids.take(pa.array(labels[child]))
         return pa.table([a, b], names=["a", "b"])
 
@@ -649,12 +649,7 @@ def similarity_cross_join(
     if _fits_broadcast(right, right_key, right_vector, broadcast_bytes):
 
         def pick(l_matrix: np.ndarray, r_matrix: np.ndarray):
-            parts = list(
-                _hits(np.concatenate([l_matrix, r_matrix]), np.arange(len(l_matrix)),
-                      len(l_matrix) + np.arange(len(r_matrix)), False, threshold, strict)
-            )
-            i, j, sims = _joined(parts)
-            return i, j - len(l_matrix), sims
+            return _joined(list(_hits(l_matrix, r_matrix, False, threshold, strict)))
 
         return _by_broadcast(left, right, left_key, left_vector, right_key, right_vector, pick, schema)
     right, layout = _place(right, right_key, right_vector, threshold, unit_rows_limit, pivots, False)
@@ -702,9 +697,9 @@ def _cross_sides(table: pa.Table):
 def _cross_pairs_kernel(threshold: float, strict: bool) -> Kernel:
     def kernel(table: pa.Table) -> pa.Table:
         l_ids, r_ids, values, left, right = _cross_sides(table)
-        i, j, sims = _joined(list(_hits(values, left, right, False, threshold, strict)))
+        i, j, sims = _joined(list(_hits(values[left], values[right], False, threshold, strict)))
         return pa.table(
-            [l_ids.take(pa.array(i)), r_ids.take(pa.array(j)), pa.array(sims)],
+            [l_ids.take(pa.array(left[i])), r_ids.take(pa.array(right[j])), pa.array(sims)],
             names=["a", "b", "similarity"],
         )
 
@@ -878,10 +873,12 @@ def knn_search(
 ) -> DataFrame:
     """(query, neighbour, similarity, rank): the k nearest rows of ``vectors``.
 
-    The query side is the small one: under ``broadcast_bytes`` it is broadcast and every
-    task keeps the k best per query of its rows; otherwise see ``top_matches``.
+    A few queries (``BROADCAST_QUERIES``, and under ``broadcast_bytes``) are broadcast and
+    every task keeps the k best per query of its rows.  More queries would make that
+    k rows per query and task, so they meet the vectors as in ``top_matches``.
     """
-    if _fits_broadcast(queries, query_key, query_vector, broadcast_bytes):
+    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+    if few and _fits_broadcast(queries, query_key, query_vector, broadcast_bytes):
         schema = _pair_schema(
             queries.schema[query_key].dataType, vectors.schema[key].dataType, ("a", "b")
         )
@@ -889,8 +886,8 @@ def knn_search(
         ranked = _ranked(best, k)
     else:
         ranked = top_matches(
-            queries, vectors, query_key, query_vector, key, vector, k,
-            broadcast_bytes=broadcast_bytes, unit_rows_limit=unit_rows_limit, pivots=pivots,
+            queries, vectors, query_key, query_vector, key, vector, k, broadcast_bytes=broadcast_bytes,
+            unit_rows_limit=unit_rows_limit, pivots=pivots,
         )
     return ranked.withColumnsRenamed({"a": "query", "b": "neighbour"})
 

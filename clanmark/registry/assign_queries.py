@@ -258,17 +258,13 @@ def assignments_by_cluster(spark, d):
 
 @query(
     "user_summary",
-    """SELECT user_id, sum(c)::BIGINT AS total_clusters, sum(f)::BIGINT AS total_faces, round(sum(s) / sum(c), 4) AS average_similarity,
- string_agg(bucket_path || ':' || c || ':' || f, ';' ORDER BY bucket_path) AS breakdown
-FROM (SELECT user_id, bucket_path, count(*) AS c, sum(face_count)::BIGINT AS f, sum(similarity) AS s FROM assignments GROUP BY ALL) GROUP BY user_id""",
+    """SELECT user_id, bucket_path, clusters, faces, (sum(clusters) OVER w)::BIGINT AS total_clusters, (sum(faces) OVER w)::BIGINT AS total_faces,
+ round(sum(s) OVER w / sum(clusters) OVER w, 4) AS average_similarity
+FROM (SELECT user_id, bucket_path, count(*) AS clusters, sum(face_count)::BIGINT AS faces, sum(similarity) AS s FROM assignments GROUP BY ALL)
+WINDOW w AS (PARTITION BY user_id)""",
 )
 def user_summary(spark, d):
-    made = O.user_summary(I.assignments(spark, d))
-    entries = F.transform(
-        F.array_sort(F.map_entries("bucket_breakdown"), lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1)),
-        lambda e: F.concat_ws(":", e["key"], e["value"]["clusters"].cast("string"), e["value"]["faces"].cast("string")),
-    )
-    return made.withColumn("breakdown", F.array_join(entries, ";")).drop("bucket_breakdown")
+    return O.user_summary(I.assignments(spark, d))
 
 
 @query(

@@ -17,8 +17,11 @@ UNASSIGNED = "unassigned"
 
 
 def write_partitioned(df: DataFrame, path: str, by: list[str]) -> None:
-    """Write or replace the partitions that ``df`` touches, and no others."""
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    """Write or replace the partitions that ``df`` touches, and no others.
+
+    The rebalance gives few files per partition and splits a hot one over several tasks.
+    """
+    writer = df.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(*by).parquet(path)
 
 

@@ -31,8 +31,9 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path in the work folder."""
-    return f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the work folder."""
+    app = spark.sparkContext.applicationId
+    return f"{work_folder(spark)}/clanmark-{app}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -40,4 +41,17 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_path = path
+    return stored
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete materialized tables that no later plan reads (the round before this one)."""
+    for table in tables:
+        path = getattr(table, "_stored_path", None)
+        if path is None:
+            continue
+        spark = table.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
