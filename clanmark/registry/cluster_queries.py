@@ -113,12 +113,35 @@ def dbscan_variants(spark, d):
     )
 
 
-@query("agglomerative_average")
+def average_linkage_sql(name: str, vertices: str, pairs: str, limit: float) -> None:
+    """The textbook loop: merge the closest two clusters while their average distance is < limit."""
+    define(
+        name,
+        f"""SELECT 0::BIGINT, id, id FROM ({vertices}) UNION ALL
+SELECT s.step + 1, s.id, CASE WHEN s.c = b.hi THEN b.lo ELSE s.c END FROM {name} s, (
+ SELECT least(x.c, y.c) AS lo, greatest(x.c, y.c) AS hi FROM ({pairs}) p JOIN {name} x ON x.id = p.a JOIN {name} y ON y.id = p.b
+ WHERE x.c <> y.c GROUP BY ALL HAVING 1 - avg(p.s) < {limit} ORDER BY avg(p.s) DESC, lo, hi LIMIT 1) b""",
+        "(step, id, c)",
+        materialized=False,
+    )
+
+
+average_linkage_sql("hac12", "SELECT detection_id AS id FROM det", "SELECT * FROM pair", 0.12)
+average_linkage_sql("hac40", "SELECT detection_id AS id FROM det", "SELECT * FROM pair", 0.4)
+define(
+    "cent_pair",
+    """SELECT x.label AS a, y.label AS b, list_cosine_similarity(x.c, y.c) AS s FROM cent85 x JOIN cent85 y ON x.label < y.label""",
+)
+average_linkage_sql("hac_forced", "SELECT label AS id FROM cent85", "SELECT * FROM cent_pair", 0.25)
+LAST = "SELECT id, c FROM {0} WHERE step = (SELECT max(step) FROM {0})"
+
+
+@query("agglomerative_average", f"SELECT id AS detection_id, c AS cluster FROM ({LAST.format('hac12')})")
 def agglomerative(spark, d):
     return agglomerative_average(I.detections(spark, d), "detection_id", "vector", 0.12)
 
 
-@query("agglomerative_average_wide")
+@query("agglomerative_average_wide", f"SELECT id AS detection_id, c AS cluster FROM ({LAST.format('hac40')})")
 def agglomerative_wide(spark, d):
     return agglomerative_average(I.detections(spark, d), "detection_id", "vector", 0.4)
 
@@ -188,7 +211,7 @@ def merge_components(spark, d):
     return R.merge_components(labels85(spark, d), "detection_id", "label", "unit", 0.75)
 
 
-@query("force_merge")
+@query("force_merge", f"SELECT detection_id, c AS label FROM lab85 JOIN ({LAST.format('hac_forced')}) ON id = label")
 def force_merge(spark, d):
     return R.force_merge(labels85(spark, d), "detection_id", "label", "unit", 0.25)
 
