@@ -96,6 +96,17 @@ def dimension_of(df: DataFrame, vector: str) -> int:
     return int(row["d"]) if row else 0
 
 
+def element_sums(vector: str, dim: int) -> list[Column]:
+    """One sum per dimension, named ``_s0``, ``_s1``, …"""
+    return [F.expr(f"sum(get(`{vector}`, {i})) AS _s{i}") for i in range(dim)]
+
+
+def gathered_sums(dim: int, divisor: str | None = None) -> Column:
+    """The sums as one vector, divided by a count column if given."""
+    parts = [f"try_divide(_s{i}, `{divisor}`)" if divisor else f"_s{i}" for i in range(dim)]
+    return F.expr(f"CAST(array({', '.join(parts)}) AS array<double>)")
+
+
 def mean_vectors(
     df: DataFrame, keys: list[str], vector: str, dim: int | None = None, out: str = "centroid"
 ) -> DataFrame:
@@ -105,12 +116,10 @@ def mean_vectors(
     shuffle and a hot key costs one buffer per map task.
     """
     dim = dimension_of(df, vector) if dim is None else dim
-    sums = [F.sum(F.get(F.col(vector), F.lit(i))).alias(f"_s{i}") for i in range(dim)]
     grouped = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("size"), F.count(vector).alias("_n"), *sums
+        F.count(F.lit(1)).alias("size"), F.count(vector).alias("_n"), *element_sums(vector, dim)
     )
-    mean = F.array(*[F.try_divide(F.col(f"_s{i}"), F.col("_n")) for i in range(dim)])
-    return grouped.select(*keys, "size", mean.cast("array<double>").alias(out))
+    return grouped.select(*keys, "size", gathered_sums(dim, "_n").alias(out))
 
 
 def unit_centroids(
@@ -136,9 +145,7 @@ def mean_of_variants(
     usable = df.where(F.col(vector).isNotNull() & (base | (F.col(variant) < limit)))
     usable = usable.select(item, vector, F.when(base, F.lit(1)).alias("_base"))
     dim = dimension_of(usable, vector) if dim is None else dim
-    sums = [F.sum(F.get(F.col(vector), F.lit(i))).alias(f"_s{i}") for i in range(dim)]
     grouped = usable.groupBy(item).agg(
-        F.count(F.lit(1)).alias("n_vectors"), F.count("_base").alias("_base"), *sums
+        F.count(F.lit(1)).alias("n_vectors"), F.count("_base").alias("_base"), *element_sums(vector, dim)
     ).where("_base > 0")
-    mean = F.array(*[F.col(f"_s{i}") / F.col("n_vectors") for i in range(dim)])
-    return grouped.select(item, "n_vectors", mean.cast("array<double>").alias("centroid"))
+    return grouped.select(item, "n_vectors", gathered_sums(dim, "n_vectors").alias("centroid"))

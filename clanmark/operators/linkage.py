@@ -24,9 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clanmark.functions.vectors import dimension_of, dot, is_finite, l2_normalize, norm
+from clanmark.functions.vectors import (
+    dimension_of,
+    element_sums,
+    gathered_sums,
+    is_finite,
+    l2_normalize,
+    norm,
+)
 from clanmark.operators.components import similarity_components
-from clanmark.operators.similarity import similarity_self_join, unit_rows
+from clanmark.operators.similarity import nearest_partners, unit_rows
 from clanmark.sources.workspace import materialize, release
 
 COMPONENT_ROWS = 2_000
@@ -93,16 +100,14 @@ def _large_components(df: DataFrame, key: str, limit: float, layout_options: dic
     members = df.select(key, F.col(key).alias("cluster"))
     state = materialize(df.select(F.col(key).alias("cluster"), F.col("unit").alias("total"), F.lit(1.0).alias("n")), "linkage")
     while True:
-        # dot of the means <= cosine of the means, so the cosine join finds every candidate
-        found = similarity_self_join(state, "cluster", "total", max(1.0 - limit, 1e-9), **layout_options)
-        one, two = state.alias("x"), state.alias("y")
-        scored = found.join(one, F.col("a") == F.col("x.cluster")).join(two, F.col("b") == F.col("y.cluster"))
-        mean = dot("x.total", "y.total") / (F.col("x.n") * F.col("y.n"))
-        scored = scored.select("a", "b", mean.alias("s")).where(1.0 - F.col("s") < limit)
-        both = scored.unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
+        # the mean vector of a cluster: its direction, and its length as a column
+        means = state.withColumn("length", norm("total") / F.col("n"))
+        found = nearest_partners(means, "cluster", "total", limit, "length", **layout_options)
         # ties go to the lowest pair, in one order for both endpoints
-        rank = F.struct((-F.col("s")).alias("d"), F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-        nearest = both.groupBy("a").agg(F.min(rank).alias("r"))
+        rank = F.struct(
+            (-F.col("similarity")).alias("d"), F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")
+        )
+        nearest = found.groupBy("a").agg(F.min(rank).alias("r"))
         mutual = nearest.groupBy("r.lo", "r.hi").agg(F.count(F.lit(1)).alias("c")).where("c = 2")
         merges = materialize(mutual.select(F.col("hi").alias("cluster"), "lo"), "linkage")
         if merges.isEmpty():
@@ -111,10 +116,8 @@ def _large_components(df: DataFrame, key: str, limit: float, layout_options: dic
         before = (members, state, merges)
         members = materialize(members.join(merges, "cluster", "left").select(key, target), "linkage")
         moved = state.join(merges, "cluster", "left").select(target, "total", "n")
-        sums = [F.sum(F.get("total", F.lit(i))).alias(f"_s{i}") for i in range(dim)]
-        grouped = moved.groupBy("cluster").agg(F.sum("n").alias("n"), *sums)
-        total = F.array(*[F.col(f"_s{i}") for i in range(dim)]).cast("array<double>")
-        state = materialize(grouped.select("cluster", total.alias("total"), "n"), "linkage")
+        grouped = moved.groupBy("cluster").agg(F.sum("n").alias("n"), *element_sums("total", dim))
+        state = materialize(grouped.select("cluster", gathered_sums(dim).alias("total"), "n"), "linkage")
         release(*before)
 
 

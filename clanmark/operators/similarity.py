@@ -337,9 +337,20 @@ def _one_table(
 
 
 def _spread(
-    df: DataFrame, key: str, vector: str, layout: Layout, as_home: bool, one_table: bool, bound: str | None = None
+    df: DataFrame,
+    key: str,
+    vector: str,
+    layout: Layout,
+    as_home: bool,
+    one_table: bool,
+    bound: str | None = None,
+    length: str | None = None,
 ) -> DataFrame:
-    """One row per (row, work unit it takes part in)."""
+    """One row per (row, work unit it takes part in), with its unit vector.
+
+    ``bound`` names a column with the similarity a partner must reach, ``length`` one
+    with the length that the vector is shipped with instead of 1.
+    """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(layout)
     names = ["cell", "left", "right", "side", "id", "unit"]
@@ -363,6 +374,7 @@ def _spread(
             ids = batch.column(0).take(pa.array(kept))
             salt = np.asarray(batch.column(2))[kept]
             bounds = np.asarray(batch.column(3))[kept] if bound else None
+            lengths = np.asarray(batch.column(3))[kept] if length else None
             for span in _slices(len(matrix), plan):
                 part = matrix[span]
                 homes, sims = plan.homes(part)
@@ -375,6 +387,8 @@ def _spread(
                     else:
                         rows, cells = plan.visits(homes, sims, one_table, bounds[span] if bound else None)
                     blocks.append(_visit_units(rows, cells, salt[span], home_chunks, visit_chunks))
+                if length:
+                    part = part * lengths[span][:, None]
                 for rows, cell, left, right, side in blocks:
                     for start in range(0, len(rows), 8192):
                         cut = slice(start, start + 8192)
@@ -392,7 +406,7 @@ def _spread(
                         )
 
     salt = F.pmod(F.xxhash64(key), F.lit(1 << 40)).alias("_h")
-    hashed = df.select(key, vector, salt, *([bound] if bound else []))
+    hashed = df.select(key, vector, salt, *[c for c in (bound, length) if c])
     return hashed.mapInArrow(spread, schema)
 
 
@@ -500,6 +514,38 @@ def _forest_kernel(threshold: float, strict: bool) -> Kernel:
     return kernel
 
 
+def _nearest_kernel(limit: float) -> Kernel:
+    """The best partner of every row of the unit, on both sides, under the distance limit."""
+
+    def kernel(table: pa.Table) -> pa.Table:
+        ids, l_matrix, r_matrix, left, right, own = _sides(table)
+        l_order, r_order = (np.asarray(pc.sort_indices(ids.take(pa.array(x)))) for x in (left, right))
+        left, l_matrix, right, r_matrix = left[l_order], l_matrix[l_order], right[r_order], r_matrix[r_order]
+        best_l, sim_l = np.zeros(len(left), dtype=np.int64), np.full(len(left), -np.inf)
+        best_r, sim_r = np.zeros(len(right), dtype=np.int64), np.full(len(right), -np.inf)
+        step = max(1, SCRATCH_ELEMENTS // max(len(right), 1))
+        for start in range(0, len(left) if len(right) else 0, step):
+            block = np.round(l_matrix[start : start + step] @ r_matrix.T, 12)
+            if own:
+                inside = np.arange(len(block))
+                block[inside, start + inside] = -np.inf
+            best_l[start : start + step], sim_l[start : start + step] = block.argmax(axis=1), block.max(axis=1)
+            top = block.max(axis=0)
+            better = top > sim_r
+            best_r[better], sim_r[better] = start + block.argmax(axis=0)[better], top[better]
+        parts = [(left, right[best_l] if len(right) else left, sim_l)]
+        if not own:
+            parts.append((right, left[best_r] if len(left) else right, sim_r))
+        a, b, sims = (np.concatenate(column) for column in zip(*parts))
+        ok = 1.0 - sims < limit
+        return pa.table(
+            [ids.take(pa.array(a[ok])), ids.take(pa.array(b[ok])), pa.array(sims[ok])],
+            names=["a", "b", "similarity"],
+        )
+
+    return kernel
+
+
 def merge_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Join the sets of ``a[k]`` and ``b[k]``; a label is the lowest position of its set."""
     labels = labels.copy()
@@ -581,6 +627,28 @@ def neighbour_counts(
     return counted.groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def nearest_partners(
+    df: DataFrame, key: str, vector: str, limit: float, length: str, **layout_options
+) -> DataFrame:
+    """(a, b, similarity): per row and unit the best partner by dot product at ``length`` <= 1.
+
+    Only partners with 1 - product < ``limit`` count; the product is at most the cosine,
+    so the cosine bounds of the layout miss none.  The output grows with rows and units,
+    not with pairs; the best partner of a row is the best of its rows here.
+    """
+    threshold = max(1.0 - limit, 1e-9)
+    df = df.select(key, vector, length)
+    placed, layout = _place(df, key, vector, threshold, **_placing(layout_options))
+    layout = _visited(placed, vector, layout, True)
+    spread = _spread(df, key, vector, layout, as_home=True, one_table=True, length=length)
+    kind = df.schema[key].dataType
+    return _run_units(spread, _nearest_kernel(limit), _pair_schema(kind, kind, ("a", "b")))
+
+
+def _placing(options: dict) -> dict:
+    return {"unit_rows_limit": None, "pivots": None, "forest": False, **options}
+
+
 def similarity_forest(
     df: DataFrame, key: str, vector: str, threshold: float, **layout_options
 ) -> DataFrame:

@@ -129,6 +129,13 @@ def test_average_linkage_equals_the_textbook(spark, component_rows, limit):
     assert got == expected and 1 < len(set(expected)) < len(matrix)
 
 
+@pytest.mark.parametrize("options", [dict(unit_rows_limit=8, pivots=0), dict(unit_rows_limit=16, pivots=5)])
+def test_average_linkage_rounds_over_several_units(spark, options):
+    matrix, _ = X.planted(seed=5, rows=60, noise=0.5, hot=20, hot_noise=0.1)
+    rows = agglomerative_average(X.frame(spark, matrix), "id", "v", 0.4, 3, **options).collect()
+    assert [c for _, c in sorted((r.id, r.cluster) for r in rows)] == X.average_linkage(matrix, 0.4)
+
+
 def test_average_linkage_keeps_unusable_rows(spark):
     df = spark.createDataFrame(
         [(0, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [0.0, 0.0]), (3, None)], "id long, v array<double>"
