@@ -50,7 +50,8 @@ def gate(
     sure = F.format_string("%.3f", confidence.cast("double"))
     least_sure = min_confidence.cast("string")
     sharp = F.format_string("%.2f", blur.cast("double"))
-    least_sharp = min_blur.cast("int").cast("string")
+    whole = min_blur.cast("long")
+    least_sharp = F.when(whole == min_blur, whole.cast("string")).otherwise(min_blur.cast("string"))
     failures = F.array_compact(
         F.array(
             F.when(~size_ok, F.concat(F.lit("Size too small: "), shape, F.lit(" < "), limit)),

@@ -794,20 +794,29 @@ def _top_kernel(k: int, threshold: float | None, strict: bool) -> Kernel:
 
 
 def top_of(left: np.ndarray, right: np.ndarray, k: int):
-    """(left row, right row, similarity) of the k largest products per left row."""
+    """(left row, right row, similarity) of the k largest products per left row.
+
+    Equal products rank by position.  Only the rows that reach the k-th value are sorted.
+    """
     k = min(k, len(right))
     if k == 0 or not len(left):
         none = np.empty(0, dtype=np.int64)
         return none, none, np.empty(0)
-    rows, columns, values = [], [], []
+    if k == 1:
+        best, sims = best_of(left, right)
+        return np.arange(len(left)), best, sims
+    parts = []
     step = max(1, SCRATCH_ELEMENTS // len(right))
     for start in range(0, len(left), step):
         block = np.round(left[start : start + step] @ right.T, 12)
-        order = np.argsort(-block, axis=1, kind="stable")[:, :k]
-        rows.append(np.repeat(np.arange(start, start + len(block)), k))
-        columns.append(order.ravel())
-        values.append(np.take_along_axis(block, order, axis=1).ravel())
-    return np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
+        last = np.partition(block, len(right) - k, axis=1)[:, len(right) - k]
+        i, j = np.nonzero(block >= last[:, None])
+        values = block[i, j]
+        order = np.lexsort((j, -values, i))
+        i, j, values = i[order], j[order], values[order]
+        kept = np.arange(len(i)) - np.searchsorted(i, i, "left") < k
+        parts.append((i[kept] + start, j[kept], values[kept]))
+    return _joined(parts)
 
 
 def _fits_broadcast(df: DataFrame, key: str, vector: str, limit: int) -> bool:
@@ -875,11 +884,7 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
 
 def _picker(k: int, threshold: float | None, strict: bool):
     def pick(l_matrix: np.ndarray, r_matrix: np.ndarray):
-        if k == 1 and len(r_matrix) and len(l_matrix):
-            where, sims = best_of(l_matrix, r_matrix)
-            picked = np.arange(len(l_matrix))
-        else:
-            picked, where, sims = top_of(l_matrix, r_matrix, k)
+        picked, where, sims = top_of(l_matrix, r_matrix, k)
         if threshold is not None:
             ok = sims > threshold if strict else sims >= threshold
             picked, where, sims = picked[ok], where[ok], sims[ok]

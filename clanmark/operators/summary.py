@@ -64,10 +64,10 @@ def unassigned_assets(detections: DataFrame, members: DataFrame) -> DataFrame:
     return detections.select("asset_id").distinct().join(held, "asset_id", "left_anti")
 
 
-def run_stats(members: DataFrame) -> DataFrame:
-    """One row of run totals; all zero for an empty run."""
+def run_stats(members: DataFrame, keys: list[str] = []) -> DataFrame:
+    """Totals per run, or of one run without ``keys``: a single row, all zero if it is empty."""
     clustered = F.col("cluster_id").isNotNull()
-    totals = members.agg(
+    totals = members.groupBy(*keys).agg(
         F.countDistinct("cluster_id").alias("total_clusters"),
         F.countDistinct("asset_id").alias("total_assets"),
         _n("total_detections"),

@@ -55,13 +55,12 @@ def unassigned_assets(spark, d):
 
 @query(
     "run_stats",
-    """SELECT 'r' AS run, count(DISTINCT cluster_id) AS total_clusters, count(DISTINCT asset_id) AS total_assets, count(*) AS total_detections,
+    """SELECT run_id, count(DISTINCT cluster_id) AS total_clusters, count(DISTINCT asset_id) AS total_assets, count(*) AS total_detections,
  count(*) FILTER (cluster_id IS NULL) AS unassigned_detections,
- round(count(cluster_id) / count(DISTINCT cluster_id), 6) AS avg_per_cluster FROM members WHERE run_id LIKE 'r2%'""",
+ round(count(cluster_id) / count(DISTINCT cluster_id), 6) AS avg_per_cluster FROM members GROUP BY run_id""",
 )
 def run_stats(spark, d):
-    members = I.members(spark, d).where(F.col("run_id").startswith("r2"))
-    return O.run_stats(members).select(F.lit("r").alias("run"), "*")
+    return O.run_stats(I.members(spark, d), ["run_id"])
 
 
 @query(
