@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clanmark.functions.vectors import is_finite, l2_normalize, unit_centroids
+from clanmark.functions.vectors import is_finite, l2_normalize, norm, unit_centroids
 from clanmark.operators.numbering import number_rows, rank_within
 from clanmark.operators.similarity import argmax_match, similarity_cross_join
 
@@ -258,6 +258,34 @@ def identify_in_clusters(
     return found.join(sizes, cluster)
 
 
+def identification_outcome(
+    requests: DataFrame, profiles: DataFrame, members: DataFrame, found: DataFrame, cluster: str
+) -> DataFrame:
+    """``requests`` (user_id, cluster, …) plus outcome, cluster size and number of matches.
+
+    The outcome is empty_cluster, invalid_profile (no usable vector), match or no_match;
+    ``found`` is the result of ``identify_in_clusters``.
+    """
+    sizes = members.groupBy(cluster).agg(F.count(F.lit(1)).alias("_size"))
+    usable = profiles.where(norm("unit") > 0).select("user_id", F.lit(True).alias("_usable"))
+    hits = found.select("user_id", cluster, F.col("matches_count").alias("_hits"))
+    joined = requests.join(sizes, cluster, "left").join(usable, "user_id", "left")
+    joined = joined.join(hits, ["user_id", cluster], "left")
+    outcome = (
+        F.when(F.col("_size").isNull(), "empty_cluster")
+        .when(F.col("_usable").isNull(), "invalid_profile")
+        .when(F.col("_hits") > 0, "match")
+        .otherwise("no_match")
+    )
+    return joined.withColumns(
+        {
+            "outcome": outcome,
+            "total_in_cluster": F.coalesce("_size", F.lit(0)),
+            "matches_count": F.coalesce("_hits", F.lit(0)),
+        }
+    ).drop("_size", "_usable", "_hits")
+
+
 def search_profile_all_clusters(found: DataFrame, cluster: str) -> DataFrame:
     """``identify_in_clusters`` ranked per user, with the user's totals."""
     totals = found.groupBy("user_id").agg(

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,24 +45,30 @@ def average_merge(matrix: np.ndarray, limit: float) -> np.ndarray:
 
     A label is the lowest position of its cluster.
     """
-    n = len(matrix)
-    sums, sizes, labels = matrix.copy(), np.ones(n), np.arange(n)
+    sums, sizes, labels = matrix.copy(), np.ones(len(matrix)), np.arange(len(matrix))
+    alive = np.ones(len(matrix), dtype=bool)
     sims = matrix @ matrix.T
     np.fill_diagonal(sims, -np.inf)
-    while n > 1:
-        best = sims.argmax()
-        i, j = sorted(divmod(int(best), len(matrix)))
-        if not 1.0 - sims[i, j] < limit:
-            break
+    best, value = sims.argmax(axis=1), sims.max(axis=1)
+    while True:
+        one = int(value.argmax())
+        if not 1.0 - value[one] < limit:
+            return labels
+        i, j = sorted((one, int(best[one])))
         sums[i] += sums[j]
         sizes[i] += sizes[j]
         labels[labels == j] = i
-        sims[j, :] = sims[:, j] = -np.inf
+        alive[j] = False
         row = (sums @ sums[i]) / (sizes * sizes[i])
-        alive = sims[i] > -np.inf
-        sims[i, alive] = sims[alive, i] = row[alive]
-        n -= 1
-    return labels
+        row[~alive] = row[i] = -np.inf
+        sims[j, :] = sims[:, j] = value[j] = -np.inf
+        sims[i, :] = sims[:, i] = row
+        # only rows whose best partner changed look at their whole row again
+        stale = alive & ((best == i) | (best == j))
+        stale[i] = True
+        best[stale], value[stale] = sims[stale].argmax(axis=1), sims[stale].max(axis=1)
+        closer = row > value
+        best[closer], value[closer] = i, row[closer]
 
 
 def _small_components(df: DataFrame, key: str, limit: float) -> DataFrame:
@@ -79,9 +86,10 @@ def _small_components(df: DataFrame, key: str, limit: float) -> DataFrame:
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            component = batch.column(0)
-            starts = [0] + [k for k in range(1, len(component)) if component[k] != component[k - 1]]
-            for start, end in zip(starts, starts[1:] + [len(component)]):
+            component, rows = batch.column(0), batch.num_rows
+            changes = pc.not_equal(component.slice(1), component.slice(0, max(rows - 1, 0)))
+            starts = [0, *(np.flatnonzero(np.asarray(changes)) + 1).tolist()] if rows else []
+            for start, end in zip(starts, [*starts[1:], rows]):
                 part = batch.slice(start, end - start)
                 if held and held[0].column(0)[0] != part.column(0)[0]:
                     yield finish(pa.Table.from_batches(held))

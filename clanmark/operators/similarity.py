@@ -501,12 +501,28 @@ def _degree_kernel(threshold: float, strict: bool) -> Kernel:
     return kernel
 
 
-def _forest_kernel(threshold: float, strict: bool) -> Kernel:
+def _forest_kernel(threshold: float) -> Kernel:
+    """A spanning forest of the hits, skipping what is already known to be connected.
+
+    The rows of the largest set so far are only compared with rows outside of it, so a
+    dense unit is done after its first slice.
+    """
+
     def kernel(table: pa.Table) -> pa.Table:
         ids, l_matrix, r_matrix, left, right, own = _sides(table)
         labels = np.arange(len(ids))
-        for i, j, _ in _hits(l_matrix, r_matrix, own, threshold, strict, exact=False):
-            labels = merge_labels(labels, left[i], right[j])
+        step = max(256, SCRATCH_ELEMENTS // max(len(right), 1))
+        for start in range(0, len(left), step):
+            rows = np.arange(start, min(start + step, len(left)))
+            others = np.arange(start if own else 0, len(right))
+            largest = np.bincount(labels).argmax()
+            inside = labels[left[rows]] == largest
+            outside = others[labels[right[others]] != largest]
+            for some, against in ((rows[~inside], others), (rows[inside], outside)):
+                if not len(some) or not len(against):
+                    continue
+                for i, j, _ in _hits(l_matrix[some], r_matrix[against], False, threshold, False, exact=False):
+                    labels = merge_labels(labels, left[some[i]], right[against[j]])
         child = np.flatnonzero(labels != np.arange(len(ids)))
         a, b = ids.take(pa.array(child)), ids.take(pa.array(labels[child]))
         return pa.table([a, b], names=["a", "b"])
@@ -662,7 +678,7 @@ def similarity_forest(
     df, layout, spread = _one_table(df, key, vector, threshold, forest=True, **layout_options)
     kind = df.schema[key].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    edges = _run_units(spread, _forest_kernel(threshold, False), schema)
+    edges = _run_units(spread, _forest_kernel(threshold), schema)
     if layout.pivots is None:
         return edges
     shared = df.sparkSession.sparkContext.broadcast(layout)

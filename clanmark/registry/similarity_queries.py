@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from clanmark.operators import assign as A
 from clanmark.operators import similarity as O
+from clanmark.operators.components import similarity_components
 from clanmark.operators.summary import latest_run
 from clanmark.registry import inputs as I
 from clanmark.registry.base import query
 from clanmark.registry.sqltext import define
+from clanmark.sources.workspace import materialize
 
 
 @query("similarity_self_join", "SELECT a, b, round(s, 6) AS similarity FROM pair WHERE s >= 0.75")
@@ -98,6 +100,41 @@ def search_profile_all_clusters(spark, d):
                          "total_matches", "matching_clusters")
 
 
+define(
+    "asked",
+    """SELECT detection_id, 'user_' || lpad((detection_id // 20)::VARCHAR, 6, '0') AS user_id, detection_id // 20 AS k,
+ CASE WHEN detection_id % 6 = 5 THEN component + 1000000 ELSE component END AS cluster_id FROM det JOIN comp75 ON id = detection_id""",
+)
+
+
+@query(
+    "identification_outcome",
+    """SELECT detection_id, a.user_id, a.cluster_id, CASE WHEN z.n IS NULL THEN 'empty_cluster' WHEN k % 5 = 1 THEN 'invalid_profile'
+ WHEN m.n > 0 THEN 'match' ELSE 'no_match' END AS outcome, coalesce(z.n, 0) AS total_in_cluster,
+ CASE WHEN k % 5 = 1 THEN 0 ELSE coalesce(m.n, 0) END AS matches_count
+FROM asked a LEFT JOIN (SELECT component, count(*) AS n FROM comp75 GROUP BY component) z ON z.component = a.cluster_id
+LEFT JOIN (SELECT component, user_id, count(*) AS n FROM comp75 JOIN cross_pair ON detection_id = id WHERE s > 0.7 GROUP BY ALL) m
+ ON m.component = a.cluster_id AND m.user_id = a.user_id""",
+)
+def identification_outcome(spark, d):
+    """One request per detection; every sixth names an unknown cluster, every fifth profile is zero."""
+    det = I.detections(spark, d)
+    parts = similarity_components(det, "detection_id", "unit", 0.75)
+    members = det.select("detection_id", "unit").join(parts, "detection_id")
+    members = materialize(members.withColumnRenamed("component", "cluster_id"), "members")
+    k = F.substring("user_id", 6, 6).cast("long")
+    zero = F.transform("embedding", lambda x: x * 0.0)
+    spoiled = F.when(k % 5 == 1, zero).otherwise(F.col("embedding"))
+    known = A.load_profiles(I.profiles(spark, d).withColumn("embedding", spoiled))
+    i = F.col("detection_id")
+    moved = F.col("cluster_id") + F.when(i % 6 == 5, 1000000).otherwise(0)
+    requests = members.select(
+        "detection_id", F.format_string("user_%06d", F.expr("detection_id div 20")).alias("user_id"), moved.alias("cluster_id")
+    )
+    found = A.identify_in_clusters(known, members, "cluster_id", "detection_id", "unit", 0.7)
+    return A.identification_outcome(requests, known, members, found, "cluster_id")
+
+
 @query(
     "filter_points",
     """SELECT 'run' AS filter, run_id, detection_id FROM members WHERE run_id = 'r1a'

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from clanmark.operators import similarity as S
@@ -104,6 +105,51 @@ def test_knn(data, centres, options):
     assert all(found[f"u{q:03d}", k + 1] == order[q, k] for q in range(len(base)) for k in range(5))
 
 
+def unit_table(matrix, sides):
+    """What a unit kernel receives: all rows of one chunk, or two sides of a chunk pair."""
+    n, own = len(matrix), sides is None
+    side = np.zeros(n, dtype=np.int64) if own else np.asarray(sides)
+    zeros, right = np.zeros(n, dtype=np.int64), np.full(n, 0 if own else 1)
+    columns = [pa.array(c) for c in (zeros, zeros, right, side, np.arange(n))]
+    return pa.table([*columns, S.list_array(X.unit(matrix))], names=["cell", "left", "right", "side", "id", "unit"])
+
+
+@pytest.mark.parametrize("two_sides", [False, True])
+def test_kernels_work_slice_by_slice(monkeypatch, two_sides):
+    monkeypatch.setattr(S, "SCRATCH_ELEMENTS", 1)
+    matrix, _ = X.planted(seed=13, groups=40, rows=500, hot=300)
+    n = len(matrix)
+    sides = np.arange(n) % 2 if two_sides else None
+    sims = X.cosines(matrix)
+    expected = {(i, j) for i, j in X.pairs_over(sims, 0.8) if not two_sides or sides[i] != sides[j]}
+    table = unit_table(matrix, sides)
+    pairs = S._pairs_kernel(0.8, False, True)(table).to_pydict()
+    assert set(zip(pairs["a"], pairs["b"])) == expected and len(pairs["a"]) == len(expected)
+    forest = S._forest_kernel(0.8)(table).to_pydict()
+    assert len(forest["a"]) < n
+    assert X.components(n, list(zip(forest["a"], forest["b"]))) == X.components(n, expected)
+    counts = S._degree_kernel(0.8, False)(table).to_pydict()
+    degree = np.bincount(np.array(list(expected)).ravel(), minlength=n)
+    assert dict(zip(counts["id"], counts["n"])) == {i: d for i, d in enumerate(degree) if d}
+    near = S._nearest_kernel(0.2)(table).to_pydict()
+    masked = sims.copy()
+    np.fill_diagonal(masked, -2)
+    if two_sides:
+        masked[sides[:, None] == sides[None, :]] = -2
+    masked = np.round(masked, 12)
+    assert dict(zip(near["a"], near["b"])) == {i: masked[i].argmax() for i in range(n) if 1 - masked[i].max() < 0.2}
+
+
+@pytest.mark.parametrize("k", [1, 3, 50])
+def test_top_of_ranks_ties_by_position(monkeypatch, k):
+    monkeypatch.setattr(S, "SCRATCH_ELEMENTS", 1)
+    rng = np.random.default_rng(0)
+    left, right = rng.integers(0, 3, (20, 4)).astype(float), rng.integers(0, 3, (30, 4)).astype(float)
+    rows, columns, values = S.top_of(left, right, k)
+    want = np.argsort(-(left @ right.T), axis=1, kind="stable")[:, :k]
+    assert (columns.reshape(20, -1) == want).all() and (rows.reshape(20, -1) == np.arange(20)[:, None]).all()
+
+
 def test_ties_go_to_the_lower_id(spark):
     left = spark.createDataFrame([(1, [1.0, 0.0])], "id long, v array<double>")
     right = spark.createDataFrame(
