@@ -50,10 +50,8 @@ def whole_row(df: DataFrame) -> Column:
 
 
 def schema(text: str, **more: T.DataType) -> T.StructType:
-    fields = T.StructType.fromDDL(text)
-    for name, kind in more.items():
-        fields = fields.add(name, kind)
-    return fields
+    """The fields of a DDL text and then others."""
+    return T.StructType([*T.StructType.fromDDL(text).fields, *[T.StructField(name, kind) for name, kind in more.items()]])
 
 
 def strings(column: pa.Array) -> pa.Array:

@@ -5,6 +5,29 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clanmark.llm.base import query, table
+from clanmark.llm.grace import exact_copies
+from clanmark.llm.packing import pack_documents
+from clanmark.llm.piece_bpe import digests
+from clanmark.llm.shards import kd_shards
+
+
+@query("op1_kd_shards")
+def op1_kd_shards(spark, folder):
+    placed = kd_shards(table(spark, folder, "documents"), shards=16)
+    none = F.lit(None).cast("int")
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", none.alias("grown_shard")
+    )
+
+
+@query("op6_residual_packing")
+def op6_residual_packing(spark, folder):
+    return pack_documents(table(spark, folder, "documents"))
+
+
+@query("op9_piece_bpe")
+def op9_piece_bpe(spark, folder):
+    return digests(table(spark, folder, "documents"))
 
 
 @query(
@@ -19,7 +42,5 @@ SELECT doc_id, keep_id, group_size, kept, sha256(t) AS text_sha256 FROM r
 """,
 )
 def op10_grace_dedup(spark, folder):
-    from clanmark.llm.grace import exact_copies
-
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return exact_copies(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
