@@ -28,7 +28,7 @@ END_ID = 0
 FREE = 0.005
 FAN = 4
 TASK_ITEMS = 250_000
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 BINS = "members array<long>, sizes array<int>, fill int"

@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clanmark.llm.base import col, schema, strings, whole_row
+from clanmark.llm.base import col, schema, strings
 from clanmark.llm.words import IS_BLANK, buffers, byte_slices, gathered
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Byte b is written as the character FIRST + b: none is white space or changed by sentencepiece.
 FIRST = 0x100
 CACHED_CHUNKS = 300_000
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 _TO_CHARS = {b: FIRST + b for b in range(256)}
 
@@ -182,13 +182,16 @@ def _encoded(path: str, name: str):
     return run
 
 
-def encode_texts(docs: DataFrame, text: str = "text", path: str = BYTE_BPE) -> DataFrame:
-    """(ids, row): every row of ``docs`` as a struct, and the ids of its whole text (null: none).
+def encode_texts(
+    docs: DataFrame, text: str = "text", path: str = BYTE_BPE, keep: tuple[str, ...] | None = None
+) -> DataFrame:
+    """(ids, row): the ids of every whole text (null: none), and its columns ``keep`` (all) as a struct.
 
     No special tokens: their strings are ordinary text.  Rows keep their number and order within a
     task; repeated rows are encoded each; a text of any length is one list.
     """
-    own = docs.select(whole_row(docs).alias("row"), col(text).cast("string").alias("text"))
+    row = F.struct(*[col(c) for c in docs.columns if keep is None or c in keep])
+    own = docs.select(row.alias("row"), col(text).cast("string").alias("text"))
     return own.mapInArrow(_encoded(path, "ids"), schema("ids array<int>", row=own.schema["row"].dataType))
 
 
@@ -211,7 +214,7 @@ def decode_ids(df: DataFrame, ids: str = "ids", name: str = "decoded", path: str
 
 def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str = BYTE_BPE) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text, encoded and decoded again."""
-    coded = encode_texts(docs.select(col(doc_id), col(text)), text, path)
+    coded = encode_texts(docs, text, path, (doc_id,))
     both = decode_ids(coded.select(F.col("row").getField(doc_id).cast("long").alias("doc_id"), "ids"), path=path)
     return both.select(
         "doc_id",

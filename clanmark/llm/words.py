@@ -13,6 +13,8 @@ IS_BLANK[[0x20, *range(0x09, 0x0E)]] = True
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 SLICE = 1 << 17
+#: Codes that are gathered at a time.
+GATHERED = 1 << 17
 
 BYTE_VALUES = np.random.default_rng(20240917).integers(1, 1 << 63, 256, dtype=np.uint64)
 FOLDED_VALUES = BYTE_VALUES.copy()
@@ -65,8 +67,8 @@ def _slices(data: np.ndarray, size: int):
         begin = end
 
 
-def word_hashes(column: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word (A-Z lower-cased) of all texts, and where each text's words begin.
+def word_spans(column: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end of every word of all texts, and where each text's words begin.
 
     A word is a run of bytes other than blanks.  Its hash comes from differences of running
     polynomial sums: a few passes of numpy over the bytes.
@@ -75,7 +77,7 @@ def word_hashes(column: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.nda
     begins = np.zeros(len(data) + 1, dtype=bool)
     begins[offsets] = True
     values = FOLDED_VALUES if fold else BYTE_VALUES
-    hashes, starts = [], []
+    hashes, starts, ends = [], [], []
     for begin, end in _slices(data, SLICE):
         part = data[begin:end]
         word = ~IS_BLANK[part]
@@ -90,9 +92,18 @@ def word_hashes(column: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.nda
         raw = (sums[stop + 1] - sums[at]) * powers(INVERSE, len(part))[at]
         hashes.append(mixed(raw + (stop - at).astype(np.uint64)))
         starts.append(at + begin)
+        ends.append(stop + begin + 1)
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64)
+    first = np.concatenate(starts)
+    return np.concatenate(hashes), first, np.concatenate(ends), np.searchsorted(first, offsets)
+
+
+def word_hashes(column: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word (A-Z lower-cased) of all texts, and where each text's words begin."""
+    hashes, _, _, offsets = word_spans(column, fold)
+    return hashes, offsets
 
 
 def byte_slices(column: pa.Array, size: int):
@@ -106,8 +117,17 @@ def byte_slices(column: pa.Array, size: int):
 
 
 def gathered(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> np.ndarray:
-    """The entries ``codes`` of a ragged table (flat, starts, lengths), one after the other."""
-    sizes = lengths[codes]
-    ends = np.cumsum(sizes)
-    total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(starts[codes] - (ends - sizes), sizes) + np.arange(total)]
+    """The entries ``codes`` of a ragged table (flat, starts, lengths), one after the other.
+
+    Positions are made for some codes at a time: they take several times the room of the entries.
+    """
+    ends = np.cumsum(lengths[codes])
+    out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=flat.dtype)
+    done = 0
+    for first in range(0, len(codes), GATHERED):
+        some = codes[first : first + GATHERED]
+        sizes, until = lengths[some], ends[first : first + GATHERED] - done
+        n = int(until[-1])
+        np.take(flat, np.repeat(starts[some] - (until - sizes), sizes) + np.arange(n), out=out[done : done + n])
+        done += n
+    return out
