@@ -49,7 +49,7 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[col(c) for c in df.columns])
 
 
-def schema(text: str, **more: T.DataType) -> T.StructType:
+def schema(text: str, /, **more: T.DataType) -> T.StructType:
     """The fields of a DDL text and then others."""
     return T.StructType([*T.StructType.fromDDL(text).fields, *[T.StructField(name, kind) for name, kind in more.items()]])
 
