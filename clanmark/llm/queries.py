@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
+from clanmark.llm import kneser_ney, piece_bpe, reply_trees, voting
 from clanmark.llm.base import query, table
 from clanmark.llm.grace import exact_copies
 from clanmark.llm.packing import pack_documents
-from clanmark.llm.piece_bpe import digests
+from clanmark.llm.pivot_search import scaled, top_inner_products
+from clanmark.llm.probminhash import near_classes
 from clanmark.llm.shards import kd_shards
+from clanmark.llm.winnowing import drop_repeated_runs
+from clanmark.sources.workspace import materialize
 
 
 @query("op1_kd_shards")
@@ -20,14 +25,79 @@ def op1_kd_shards(spark, folder):
     )
 
 
+@query(
+    "op2_pivot_topk",
+    """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS i FROM e),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score FROM u q JOIN u c ON q.i = c.i
+    WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id GROUP BY ALL),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 10
+""",
+)
+def op2_pivot_topk(spark, folder):
+    vectors = table(spark, folder, "embeddings").select("vec_id", scaled("embedding").alias("vector"))
+    return top_inner_products(vectors, F.col("vec_id") % 100 == 0, k=10)
+
+
+@query("op3_neighbour_voting")
+def op3_neighbour_voting(spark, folder):
+    return voting.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op4_kneser_ney")
+def op4_kneser_ney(spark, folder):
+    scored = kneser_ney.corpus_scores(table(spark, folder, "documents"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query(
+    "op5_reply_trees",
+    r"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+w AS (SELECT *, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb;') AS t FROM c),
+m AS (SELECT *, CASE role WHEN 'user' THEN length('[INST] [/INST]') WHEN 'assistant' THEN length('<s></s>')
+    ELSE length('<<SYS>><</SYS>>') + length(role) + 1 END AS marks FROM w)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(length(t) + marks)::BIGINT AS formatted_chars
+FROM m GROUP BY conv_id
+""",
+)
+def op5_reply_trees(spark, folder):
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    kind = "conv_id long, turn long, role string, text string"
+    more = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], kind)
+    messages = materialize(reply_trees.linear(turns.unionByName(more)), "messages")
+    return reply_trees.digests(messages)
+
+
 @query("op6_residual_packing")
 def op6_residual_packing(spark, folder):
     return pack_documents(table(spark, folder, "documents"))
 
 
+@query("op7_winnowed_lines")
+def op7_winnowed_lines(spark, folder):
+    cleaned = drop_repeated_runs(table(spark, folder, "documents"))
+    return cleaned.select("doc_id", "text", "deleted", F.size("deleted").alias("n_deleted"))
+
+
+@query("op8_probminhash")
+def op8_probminhash(spark, folder):
+    classes = near_classes(table(spark, folder, "documents"))
+    return classes.select("doc_id", "class_id", "class_size", "n_texts", "kept")
+
+
 @query("op9_piece_bpe")
 def op9_piece_bpe(spark, folder):
-    return digests(table(spark, folder, "documents"))
+    return piece_bpe.digests(table(spark, folder, "documents"))
 
 
 @query(
@@ -44,3 +114,8 @@ SELECT doc_id, keep_id, group_size, kept, sha256(t) AS text_sha256 FROM r
 def op10_grace_dedup(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return exact_copies(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, folder):
+    return corpus_pipeline.run(spark, folder)
