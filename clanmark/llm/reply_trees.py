@@ -79,45 +79,44 @@ def linear(messages: DataFrame, tree: str = "conv_id", turn: str = "turn", role:
 
 
 def paths(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(tree, node, depth, total, leaf) of (tree, node, parent, score); the jump tables of the rounds.
+    """(tree, node, depth, total, leaf) of (tree, node, parent, score); the jumps of the rounds.
 
-    Each round joins the table with itself: a jump over 2^i parents follows two over 2^(i-1).  A
-    parent that is not in the tree makes its child a root.  A tree of depth d takes log2(d) + 1
-    rounds.  A circle of parents has no root and raises an error after 64 rounds.
+    Each round joins the table with itself: a jump over 2^i parents follows two over 2^(i-1).  Only
+    nodes that have not reached their root go on, so a long path does not make others wait.  A parent
+    that is not in the tree makes its child a root.  A tree of depth d takes log2(d) + 1 rounds.  A
+    circle of parents has no root and raises an error after 64 rounds.
     """
     known = nodes.select("tree", F.col("node").alias("parent"), F.lit(1).alias("_known")).distinct()
-    jumps = [
-        materialize(
-            nodes.join(known, ["tree", "parent"], "left").select(
-                "tree",
-                "node",
-                F.when(F.col("_known").isNotNull(), F.col("parent")).alias("up"),
-                F.lit(1).cast("long").alias("depth"),
-                F.coalesce("score", F.lit(0.0)).cast("double").alias("total"),
-            ),
-            "jumps",
-        )
-    ]
-    while not (last := jumps[-1]).where("up IS NOT NULL").isEmpty():
+    state = materialize(
+        nodes.join(known, ["tree", "parent"], "left").select(
+            "tree",
+            "node",
+            F.when(F.col("_known").isNotNull(), F.col("parent")).alias("up"),
+            F.lit(1).cast("long").alias("depth"),
+            F.coalesce("score", F.lit(0.0)).cast("double").alias("total"),
+        ),
+        "jumps",
+    )
+    parents = state.where("up IS NOT NULL").select("tree", F.col("up").alias("node"), F.lit(1).alias("_parent")).distinct()
+    ended, jumps = state.where("up IS NULL"), []
+    while not (going := state.where("up IS NOT NULL")).isEmpty():
         if len(jumps) > 64:
             raise ValueError("the parents of some messages form a circle")
-        above = last.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_d"), F.col("total").alias("_t"))
-        joined = last.join(above, ["tree", "up"], "left")
-        jumps.append(
-            materialize(
-                joined.select(
-                    "tree",
-                    "node",
-                    F.col("_up").alias("up"),
-                    (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"),
-                    (F.col("total") + F.coalesce("_t", F.lit(0.0))).alias("total"),
-                ),
-                "jumps",
-            )
+        jumps.append(going)
+        above = ended.unionByName(going).select(
+            "tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_d"), F.col("total").alias("_t")
+        )
+        moved = going.join(above, ["tree", "up"]).select(
+            "tree",
+            "node",
+            F.col("_up").alias("up"),
+            (F.col("depth") + F.col("_d")).alias("depth"),
+            (F.col("total") + F.col("_t")).alias("total"),
         )
-    parents = jumps[0].select("tree", F.col("up").alias("node"), F.lit(1).alias("_parent")).distinct()
-    ended = jumps[-1].join(parents, ["tree", "node"], "left")
-    return ended.select("tree", "node", "depth", "total", F.col("_parent").isNull().alias("leaf")), jumps
+        state = materialize(moved, "jumps")
+        ended = ended.unionByName(state.where("up IS NULL"))
+    marked = ended.join(parents, ["tree", "node"], "left")
+    return marked.select("tree", "node", "depth", "total", F.col("_parent").isNull().alias("leaf")), jumps
 
 
 def branches(nodes: DataFrame, best: int | None = 1) -> DataFrame:
@@ -130,13 +129,12 @@ def branches(nodes: DataFrame, best: int | None = 1) -> DataFrame:
     ranked = ends.where("leaf").withColumn("branch", F.row_number().over(order))
     chosen = ranked.where(F.col("branch") <= best) if best else ranked
     found = materialize(chosen.select("tree", "branch", "node", F.col("depth").alias("position")), "branches")
-    for i, jump in enumerate(jumps[:-1]):
-        up = jump.where("up IS NOT NULL").select("tree", "node", "up")
+    for i, jump in enumerate(jumps):
+        up = jump.select("tree", "node", "up")
         position = (F.col("position") - (1 << i)).alias("position")
         higher = found.join(up, ["tree", "node"]).select("tree", "branch", F.col("up").alias("node"), position)
         before, found = found, materialize(found.unionByName(higher), "branches")
         release(before)
-    release(*jumps)
     return found
 
 
