@@ -41,43 +41,24 @@ def gate(
     width: Column, height: Column, confidence: Column, blur: Column,
     min_size: Column, min_confidence: Column, min_blur: Column,
 ) -> tuple[Column, Column, Column]:
-    """(passed, checks, reason) of the size, confidence and blur checks."""
-    size_ok = (height >= min_size) & (width >= min_size)
-    confidence_ok = confidence >= min_confidence
-    blur_ok = blur >= min_blur
-    shape = F.format_string("%dx%d", height.cast("int"), width.cast("int"))
-    limit = min_size.cast("int").cast("string")
-    sure = F.format_string("%.3f", confidence.cast("double"))
-    least_sure = min_confidence.cast("string")
-    sharp = F.format_string("%.2f", blur.cast("double"))
-    whole = min_blur.cast("long")
-    least_sharp = F.when(whole == min_blur, whole.cast("string")).otherwise(min_blur.cast("string"))
-    failures = F.array_compact(
-        F.array(
-            F.when(~size_ok, F.concat(F.lit("Size too small: "), shape, F.lit(" < "), limit)),
-            F.when(~confidence_ok, F.concat(F.lit("Confidence too low: "), sure, F.lit(" < "), least_sure)),
-            F.when(~blur_ok, F.concat(F.lit("Too blurry: "), sharp, F.lit(" < "), least_sharp)),
-        )
+    """(passed, checks, reason) of the size, confidence and blur checks.
+
+    A check is written ``name:value:limit``; the reason names the failed checks, with commas.
+    """
+    tests = (
+        ("size", F.least(width, height), min_size, "%.0f"),
+        ("confidence", confidence, min_confidence, "%.3f"),
+        ("blur", blur, min_blur, "%.2f"),
     )
     checks = F.array(
-        F.when(size_ok, F.concat(F.lit("Size OK: "), shape, F.lit(" >= "), limit))
-        .otherwise(F.concat(F.lit("Size too small: "), shape, F.lit(" < "), limit)),
-        F.when(confidence_ok, F.concat(F.lit("Confidence OK: "), sure, F.lit(" >= "), least_sure))
-        .otherwise(F.concat(F.lit("Confidence too low: "), sure, F.lit(" < "), least_sure)),
-        F.when(blur_ok, F.concat(F.lit("Blur OK: "), sharp, F.lit(" >= "), least_sharp))
-        .otherwise(F.concat(F.lit("Too blurry: "), sharp, F.lit(" < "), least_sharp)),
-    )
-    passed = size_ok & confidence_ok & blur_ok
-    reason = F.when(passed, F.lit("Quality check passed")).otherwise(
-        F.concat(F.lit("Quality check failed: "), F.array_join(failures, "; "))
+        *[
+            F.format_string(f"{name}:{form}:{form}", value.cast("double"), limit.cast("double"))
+            for name, value, limit, form in tests
+        ]
     )
-    return passed, checks, reason
-
-
-def quality_presets(spark: SparkSession) -> DataFrame:
-    """The named parameter rows, to be met with a detection table for a sensitivity report."""
-    columns = "preset string, min_size int, min_confidence double, min_blur double"
-    return spark.createDataFrame(list(PRESETS), columns)
+    failed = F.array_compact(F.array(*[F.when(value < limit, F.lit(name)) for name, value, limit, _ in tests]))
+    passed = (height >= min_size) & (width >= min_size) & (confidence >= min_confidence) & (blur >= min_blur)
+    return passed, checks, F.array_join(failed, ",")
 
 
 def preset_array() -> Column:

@@ -91,14 +91,23 @@ def is_finite(vector: ColumnLike) -> Column:
 
 
 def dimension_of(df: DataFrame, vector: str) -> int:
-    """Length of the first non-null vector (0 for an empty table)."""
-    row = df.where(F.col(vector).isNotNull()).select(F.size(vector).alias("d")).first()
-    return int(row["d"]) if row else 0
+    """The length that most vectors of the table have, the longer one of two as frequent.
+
+    A vector of another length has no direction, as null, empty, zero and non-finite ones.
+    """
+    sizes = df.where(F.size(vector) > 0).groupBy(F.size(vector).alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    row = sizes.agg(F.max(F.struct("n", "d")).alias("m")).select("m.d").first()
+    return int(row["d"] or 0)
+
+
+def of_length(vector: str, dim: int) -> Column:
+    """The vector if it has ``dim`` elements, else NULL."""
+    return F.when(F.size(vector) == dim, F.col(vector))
 
 
 def element_sums(vector: str, dim: int) -> list[Column]:
-    """One sum per dimension, named ``_s0``, ``_s1``, …"""
-    return [F.expr(f"sum(get(`{vector}`, {i})) AS _s{i}") for i in range(dim)]
+    """One sum per dimension over the vectors of that length, named ``_s0``, ``_s1``, …"""
+    return [F.expr(f"sum(if(size(`{vector}`) = {dim}, get(`{vector}`, {i}), NULL)) AS _s{i}") for i in range(dim)]
 
 
 def gathered_sums(dim: int, divisor: str | None = None) -> Column:
@@ -112,12 +121,13 @@ def mean_vectors(
 ) -> DataFrame:
     """Element-wise mean of ``vector`` per key, with the row count as ``size``.
 
-    One sum per dimension: the buffer is ``dim`` doubles, rows are combined before the
+    The mean is that of the vectors of ``dim`` elements (by default the usual length of the
+    table); other rows count in ``size`` only.  One sum per dimension: the buffer is ``dim`` doubles, rows are combined before the
     shuffle and a hot key costs one buffer per map task.
     """
     dim = dimension_of(df, vector) if dim is None else dim
     grouped = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("size"), F.count(vector).alias("_n"), *element_sums(vector, dim)
+        F.count(F.lit(1)).alias("size"), F.count(of_length(vector, dim)).alias("_n"), *element_sums(vector, dim)
     )
     return grouped.select(*keys, "size", gathered_sums(dim, "_n").alias(out))
 
@@ -133,18 +143,21 @@ def unit_centroids(
 
 
 def mean_of_variants(
-    df: DataFrame, item: str, variant: str, vector: str, dim: int | None = None, limit: int = 4
+    df: DataFrame, item: str, variant: str, vector: str, dim: int | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Per item: mean of the base vector and its first ``limit`` variants, failed ones skipped.
+    """Per item: mean of the base vector and its variants, failed ones skipped.
 
     ``variant`` is NULL for the base row and 0, 1, … for variants.  Variant 0 is the
     unmodified observation, so the base counts twice.  Items without a base vector
-    give no row.
+    give no row, vectors of another length than ``dim`` count as failed.  ``limit`` keeps
+    only the variants below that number.
     """
     base = F.col(variant).isNull()
-    usable = df.where(F.col(vector).isNotNull() & (base | (F.col(variant) < limit)))
+    dim = dimension_of(df, vector) if dim is None else dim
+    usable = df.where(of_length(vector, dim).isNotNull())
+    if limit is not None:
+        usable = usable.where(base | (F.col(variant) < limit))
     usable = usable.select(item, vector, F.when(base, F.lit(1)).alias("_base"))
-    dim = dimension_of(usable, vector) if dim is None else dim
     grouped = usable.groupBy(item).agg(
         F.count(F.lit(1)).alias("n_vectors"), F.count("_base").alias("_base"), *element_sums(vector, dim)
     ).where("_base > 0")

@@ -17,11 +17,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clanmark.operators.numbering import number_rows
 from clanmark.operators.similarity import merge_labels, similarity_forest
 from clanmark.sources.workspace import materialize, release
 
 CONTRACT_ROWS = 500_000
-MAX_ROUNDS = 60
 
 
 def _contract(edges: DataFrame) -> DataFrame:
@@ -83,13 +83,11 @@ def component_edges(edges: DataFrame) -> DataFrame:
     """(a, b) for every vertex a that is not the lowest id b of its component."""
     oriented = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     forest = materialize(_contract(oriented), "forest")
-    for _ in range(MAX_ROUNDS):
-        if _is_star(forest):
-            return forest
+    while not _is_star(forest):  # every round shortens what is no star yet
         before = forest
         forest = materialize(_contract(_small_star(_large_star(before))), "forest")
         release(before)
-    raise RuntimeError("components did not settle")
+    return forest
 
 
 def connected_components(edges: DataFrame, vertices: DataFrame, key: str) -> DataFrame:
@@ -108,3 +106,10 @@ def similarity_components(
     """
     edges = similarity_forest(df, key, vector, threshold, **layout_options)
     return connected_components(edges, df.select(key), key)
+
+
+def name_components(parts: DataFrame, component: str = "component", name: str = "person_id") -> DataFrame:
+    """``parts`` plus ``person_0``, ``person_1``, … in the order of the components."""
+    numbers = number_rows(parts.select(component).distinct(), [F.asc(component)], "_k")
+    named = parts.join(numbers, component)
+    return named.withColumn(name, F.concat(F.lit("person_"), F.col("_k").cast("string"))).drop("_k")

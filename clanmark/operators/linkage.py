@@ -41,34 +41,35 @@ COMPONENT_ROWS = 2_000
 
 
 def average_merge(matrix: np.ndarray, limit: float) -> np.ndarray:
-    """Labels of one small component: best pair first while its distance is < ``limit``.
+    """Labels of one component, merged while the average distance is < ``limit``.
 
-    A label is the lowest position of its cluster.
+    The rule is that of the distributed rounds: similarities at 12 places, pairs ranked by
+    similarity and then by the lowest positions, and in each round all pairs merge that
+    are each other's first.  A label is the lowest position of its cluster.
     """
     sums, sizes, labels = matrix.copy(), np.ones(len(matrix)), np.arange(len(matrix))
-    alive = np.ones(len(matrix), dtype=bool)
-    sims = matrix @ matrix.T
+    alive = np.arange(len(matrix))
+    sims = np.round(matrix @ matrix.T, 12)
     np.fill_diagonal(sims, -np.inf)
-    best, value = sims.argmax(axis=1), sims.max(axis=1)
-    while True:
-        one = int(value.argmax())
-        if not 1.0 - value[one] < limit:
-            return labels
-        i, j = sorted((one, int(best[one])))
-        sums[i] += sums[j]
-        sizes[i] += sizes[j]
-        labels[labels == j] = i
-        alive[j] = False
-        row = (sums @ sums[i]) / (sizes * sizes[i])
-        row[~alive] = row[i] = -np.inf
-        sims[j, :] = sims[:, j] = value[j] = -np.inf
-        sims[i, :] = sims[:, i] = row
-        # only rows whose best partner changed look at their whole row again
-        stale = alive & ((best == i) | (best == j))
-        stale[i] = True
-        best[stale], value[stale] = sims[stale].argmax(axis=1), sims[stale].max(axis=1)
-        closer = row > value
-        best[closer], value[closer] = i, row[closer]
+    while len(alive) > 1:
+        best, value = sims.argmax(axis=1), sims.max(axis=1)  # the first of equals is the lowest pair
+        place = np.arange(len(alive))
+        low = np.flatnonzero((best[best] == place) & (place < best) & (1.0 - value < limit))
+        if not len(low):
+            break
+        high = best[low]
+        sums[alive[low]] += sums[alive[high]]
+        sizes[alive[low]] += sizes[alive[high]]
+        target = np.arange(len(matrix))
+        target[alive[high]] = alive[low]
+        labels = target[labels]
+        rows = (sums[alive[low]] / sizes[alive[low], None]) @ (sums[alive] / sizes[alive, None]).T
+        sims[low, :] = np.round(rows, 12)
+        sims[:, low] = sims[low, :].T
+        sims[low, low] = -np.inf
+        keep = np.delete(place, high)
+        sims, alive = sims[np.ix_(keep, keep)], alive[keep]
+    return labels
 
 
 def _small_components(df: DataFrame, key: str, limit: float) -> DataFrame:
@@ -139,12 +140,13 @@ def agglomerative_average(
 ) -> DataFrame:
     """(key, cluster): average linkage on cosine distance, merging while it is < the limit.
 
+    ``component_rows`` says which components one task finishes; the result is the same.
     ``cluster`` is the lowest id of the cluster.  Rows without a direction stay alone.
     """
     rows = df.select(key, F.col(vector).alias("_v"))
     rows = rows.withColumn("unit", F.when(is_finite("_v") & (norm("_v") > 0), l2_normalize("_v"))).drop("_v")
     rows = materialize(rows, "linkage")
-    labelled = similarity_components(rows, key, "unit", 1.0 - distance_threshold, **layout_options)
+    labelled = similarity_components(rows, key, "unit", max(1.0 - distance_threshold, -1.0), **layout_options)
     sizes = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
     joined = rows.join(labelled, key).join(sizes, "component")
     joined = materialize(joined, "linkage")

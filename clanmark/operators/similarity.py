@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clanmark.functions.vectors import dimension_of, of_length
 from clanmark.sources.workspace import materialize
 
 MIN_UNIT_ROWS = 2048
@@ -49,7 +50,8 @@ SCRATCH_ELEMENTS = 4_000_000
 def unit_rows(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Unit-length matrix of the usable rows, and their positions in the input.
 
-    Null, empty, zero and non-finite vectors have no direction and are left out.
+    Null, empty, zero and non-finite vectors have no direction and are left out.  The
+    operators have replaced vectors of an unusual length by null (``_one_length``).
     """
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
@@ -323,11 +325,17 @@ def _visited(
     return replace(layout, visit_rows=_visit_counts(visitors, vector, layout, one_table, bound))
 
 
+def _one_length(df: DataFrame, vector: str, dim: int) -> DataFrame:
+    """``df`` with vectors of any other length than ``dim`` as NULL: they have no direction."""
+    return df.withColumn(vector, of_length(vector, dim))
+
+
 def _one_table(
     df: DataFrame, key: str, vector: str, threshold: float, forest: bool = False,
     unit_rows_limit: int | None = None, pivots: int | None = None,
 ) -> tuple[DataFrame, Layout, DataFrame]:
     """(table, layout, rows spread over the units) of a self-join."""
+    df = _one_length(df, vector, dimension_of(df, vector))
     df, layout = _place(df, key, vector, threshold, unit_rows_limit, pivots, forest)
     layout = _visited(df, vector, layout, True)
     return df, layout, _spread(df, key, vector, layout, as_home=True, one_table=True)
@@ -477,14 +485,15 @@ Kernel = Callable[[pa.Table], pa.Table]
 
 
 def _pairs_kernel(threshold: float, strict: bool, ordered: bool) -> Kernel:
-    def kernel(table: pa.Table) -> pa.Table:
-        ids, l_matrix, r_matrix, left, right, own = _sides(table)
-        i, j, sims = _joined(list(_hits(l_matrix, r_matrix, own, threshold, strict)))
-        a, b = ids.take(pa.array(left[i])), ids.take(pa.array(right[j]))
-        if ordered:
-            swap = pc.greater(a, b)
-            a, b = pc.if_else(swap, b, a), pc.if_else(swap, a, b)
-        return pa.table([a, b, pa.array(sims)], names=["a", "b", "similarity"])
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the hits of one slice at a time: a unit of near copies has very many
+        ids, l_matrix, r_matrix, left, right, own = _sides(pa.Table.from_batches(batches))
+        for i, j, sims in _hits(l_matrix, r_matrix, own, threshold, strict):
+            a, b = ids.take(pa.array(left[i])), ids.take(pa.array(right[j]))
+            if ordered:
+                swap = pc.greater(a, b)
+                a, b = pc.if_else(swap, b, a), pc.if_else(swap, a, b)
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(sims)], names=["a", "b", "similarity"])
 
     return kernel
 
@@ -599,8 +608,8 @@ def _run_units(spread: DataFrame, kernel: Kernel, schema: T.StructType) -> DataF
 
 
 def _check_threshold(threshold: float) -> None:
-    if not 0 < threshold <= 1:
-        raise ValueError("the similarity threshold must be in (0, 1]")
+    if not -1 <= threshold <= 1:
+        raise ValueError("the similarity threshold must be in [-1, 1]")
 
 
 def _pair_schema(a: T.DataType, b: T.DataType, names: tuple[str, str]) -> T.StructType:
@@ -652,7 +661,8 @@ def nearest_partners(
     so the cosine bounds of the layout miss none.  The output grows with rows and units,
     not with pairs; the best partner of a row is the best of its rows here.
     """
-    threshold = max(1.0 - limit, 1e-9)
+    # below 0 a short mean has a larger product than cosine, so nothing can be left out
+    threshold = 1.0 - limit if limit < 1 else -1.0
     df = df.select(key, vector, length)
     placed, layout = _place(df, key, vector, threshold, **_placing(layout_options))
     layout = _visited(placed, vector, layout, True)
@@ -730,10 +740,12 @@ def similarity_cross_join(
     schema = _pair_schema(
         left.schema[left_key].dataType, right.schema[right_key].dataType, ("a", "b")
     )
+    dim = dimension_of(right, right_vector)
+    left, right = _one_length(left, left_vector, dim), _one_length(right, right_vector, dim)
     if _fits_broadcast(right, right_key, right_vector, broadcast_bytes):
 
         def pick(l_matrix: np.ndarray, r_matrix: np.ndarray):
-            return _joined(list(_hits(l_matrix, r_matrix, False, threshold, strict)))
+            return _hits(l_matrix, r_matrix, False, threshold, strict)
 
         return _by_broadcast(left, right, left_key, left_vector, right_key, right_vector, pick, schema)
     right, layout = _place(right, right_key, right_vector, threshold, unit_rows_limit, pivots, False)
@@ -779,13 +791,11 @@ def _cross_sides(table: pa.Table):
 
 
 def _cross_pairs_kernel(threshold: float, strict: bool) -> Kernel:
-    def kernel(table: pa.Table) -> pa.Table:
-        l_ids, r_ids, values, left, right = _cross_sides(table)
-        i, j, sims = _joined(list(_hits(values[left], values[right], False, threshold, strict)))
-        return pa.table(
-            [l_ids.take(pa.array(left[i])), r_ids.take(pa.array(right[j])), pa.array(sims)],
-            names=["a", "b", "similarity"],
-        )
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        l_ids, r_ids, values, left, right = _cross_sides(pa.Table.from_batches(batches))
+        for i, j, sims in _hits(values[left], values[right], False, threshold, strict):
+            columns = [l_ids.take(pa.array(left[i])), r_ids.take(pa.array(right[j])), pa.array(sims)]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "similarity"])
 
     return kernel
 
@@ -869,6 +879,8 @@ def top_matches(
     schema = _pair_schema(
         left.schema[left_key].dataType, right.schema[right_key].dataType, ("a", "b")
     )
+    dim = dimension_of(right, right_vector)
+    left, right = _one_length(left, left_vector, dim), _one_length(right, right_vector, dim)
     names = (left_key, left_vector, right_key, right_vector)
     if _fits_broadcast(right, right_key, right_vector, broadcast_bytes):
         pick = _picker(k, threshold, strict)
@@ -904,7 +916,7 @@ def _picker(k: int, threshold: float | None, strict: bool):
         if threshold is not None:
             ok = sims > threshold if strict else sims >= threshold
             picked, where, sims = picked[ok], where[ok], sims[ok]
-        return picked, where, sims
+        return [(picked, where, sims)]
 
     return pick
 
@@ -923,9 +935,9 @@ def _by_broadcast(left, right, left_key, left_vector, right_key, right_vector, p
             l_matrix, rows = unit_rows(batch.column(1))
             if not len(rows) or not len(r_matrix):
                 continue
-            picked, where, sims = pick(l_matrix, r_matrix)
-            a, b = batch.column(0).take(pa.array(rows[picked])), r_ids.take(pa.array(where))
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(sims)], ["a", "b", "similarity"])
+            for picked, where, sims in pick(l_matrix, r_matrix):
+                a, b = batch.column(0).take(pa.array(rows[picked])), r_ids.take(pa.array(where))
+                yield pa.RecordBatch.from_arrays([a, b, pa.array(sims)], ["a", "b", "similarity"])
 
     return left.select(left_key, left_vector).mapInArrow(match, schema)
 
@@ -971,6 +983,8 @@ def knn_search(
         schema = _pair_schema(
             queries.schema[query_key].dataType, vectors.schema[key].dataType, ("a", "b")
         )
+        dim = dimension_of(vectors, vector)
+        queries, vectors = _one_length(queries, query_vector, dim), _one_length(vectors, vector, dim)
         best = _knn_by_broadcast(queries, vectors, query_key, query_vector, key, vector, k, schema)
         ranked = _ranked(best, k)
     else:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clanmark.functions import vectors as V
+from clanmark.operators.similarity import similarity_self_join
 from clanmark.registry import inputs as I
 from clanmark.registry.base import checksum, checksum_sql, query
 from clanmark.registry.sqltext import define, mean_of, unit
@@ -100,6 +101,40 @@ def unit_centroid(spark, d):
     return exploded.select("label", (F.col("p") + 1).alias("pos"), "value")
 
 
+define(
+    "ragged_e",
+    """SELECT i, label, CASE WHEN len(v) = 64 THEN v END AS v FROM (SELECT i, label,
+ CASE i % 17 WHEN 0 THEN []::DOUBLE[] WHEN 1 THEN v[1:10] WHEN 2 THEN list_concat(v, v) ELSE v END AS v FROM e)""",
+)
+
+
+def ragged(spark, d):
+    """Embeddings of which some are empty, short or twice as long."""
+    kind, v = F.col("vec_id") % 17, F.col("vector")
+    odd = F.when(kind == 0, F.slice(v, 1, 0)).when(kind == 1, F.slice(v, 1, 10)).when(kind == 2, F.concat(v, v)).otherwise(v)
+    return I.embeddings(spark, d).withColumn("vector", odd)
+
+
+@query(
+    "vector_mean_ragged",
+    f"""SELECT label::BIGINT AS label, n AS size, k AS pos, round(c[k], 6) AS value
+FROM (SELECT label, count(*) AS n, {mean_of('v')} AS c FROM ragged_e GROUP BY label), range(1, 65) t(k)""",
+)
+def vector_mean_ragged(spark, d):
+    means = V.mean_vectors(ragged(spark, d), ["label"], "vector")
+    exploded = means.select("label", "size", F.posexplode("centroid").alias("p", "value"))
+    return exploded.select("label", "size", (F.col("p") + 1).alias("pos"), "value")
+
+
+@query(
+    "similarity_self_join_ragged",
+    """SELECT a.i AS a, b.i AS b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity
+FROM ragged_e a JOIN ragged_e b ON a.i < b.i WHERE list_cosine_similarity(a.v, b.v) >= 0.3""",
+)
+def similarity_self_join_ragged(spark, d):
+    return similarity_self_join(ragged(spark, d), "vec_id", "vector", 0.3)
+
+
 @query(
     "vector_standardize",
     f"""SELECT i AS vec_id, {checksum_sql('z')} AS weighted FROM (
@@ -115,7 +150,7 @@ def vector_standardize(spark, d):
     "mean_of_variants",
     f"""SELECT item, n AS n_vectors, {checksum_sql('c')} AS weighted FROM (
  SELECT i // 6 AS item, count(*) AS n, {mean_of('v')} AS c, count(*) FILTER (i % 6 = 0) AS base FROM e
- WHERE i % 7 <> 3 AND i % 6 < 5 GROUP BY i // 6) WHERE base > 0""",
+ WHERE i % 7 <> 3 GROUP BY i // 6) WHERE base > 0""",
 )
 def mean_of_variants(spark, d):
     i = F.col("vec_id")

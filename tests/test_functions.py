@@ -130,8 +130,9 @@ def test_means(spark):
 def test_mean_of_variants(spark):
     rows = [(1, None, [2.0]), (1, 0, [2.0]), (1, 1, [5.0]), (1, 2, None), (1, 4, [99.0]), (2, 0, [1.0]), (3, None, [7.0])]
     df = spark.createDataFrame(rows, "i long, n int, v array<double>")
-    got = {r.i: (r.n_vectors, r.centroid) for r in V.mean_of_variants(df, "i", "n", "v").collect()}
+    got = {r.i: (r.n_vectors, r.centroid) for r in V.mean_of_variants(df, "i", "n", "v", limit=4).collect()}
     assert got == {1: (3, [3.0]), 3: (1, [7.0])}
+    assert V.mean_of_variants(df, "i", "n", "v").where("i = 1").first().n_vectors == 4
 
 
 def test_quality_scores_and_gate(spark):
@@ -143,8 +144,15 @@ def test_quality_scores_and_gate(spark):
     assert area == [0.9 * 2000, None, None, 0.3 * 500]
     gate = Q.gate(F.col("w"), F.col("h"), F.col("c"), F.col("b"), F.lit(30), F.lit(0.5), F.lit(80.0))
     rows = df.select(gate[0].alias("ok"), gate[2].alias("why")).collect()
-    assert rows[0].ok and rows[0].why == "Quality check passed"
-    assert rows[3].why == (
-        "Quality check failed: Size too small: 50x10 < 30; Confidence too low: 0.300 < 0.5; Too blurry: 20.00 < 80"
-    )
-    assert [tuple(r) for r in Q.quality_presets(spark).collect()] == list(Q.PRESETS)
+    assert rows[0].ok and rows[0].why == ""
+    assert not rows[3].ok and rows[3].why == "size,confidence,blur"
+    checks = df.select(gate[1].alias("c")).collect()[3].c
+    assert checks == ["size:10:30", "confidence:0.300:0.500", "blur:20.00:80.00"]
+
+
+def test_vectors_of_an_unusual_length_count_only_in_size(spark):
+    rows = [(1, []), (1, [9.0]), (1, [1.0, 2.0]), (1, [3.0, 4.0]), (1, None), (2, [1.0] * 5), (2, [5.0, 5.0])]
+    df = spark.createDataFrame(rows, "k long, v array<double>").coalesce(1)
+    assert V.dimension_of(df, "v") == 2 and V.dimension_of(df.limit(1), "v") == 0
+    got = {r.k: (r.size, r.centroid) for r in V.mean_vectors(df, ["k"], "v").collect()}
+    assert got == {1: (5, [2.0, 3.0]), 2: (2, [5.0, 5.0])}

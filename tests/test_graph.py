@@ -5,7 +5,7 @@ import pytest
 
 from clanmark.operators import components as C
 from clanmark.operators.density import dbscan
-from clanmark.operators.linkage import agglomerative_average
+from clanmark.operators.linkage import agglomerative_average, average_merge
 from clanmark.operators.matching import greedy_matching, merge_pairs_greedy
 from tests import samples as X
 
@@ -142,3 +142,46 @@ def test_average_linkage_keeps_unusable_rows(spark):
     )
     rows = agglomerative_average(df, "id", "v", 0.12).collect()
     assert sorted((r.id, r.cluster) for r in rows) == [(0, 0), (1, 0), (2, 2), (3, 3)]
+
+
+def textbook(matrix, limit):
+    """One merge at a time: the most similar pair at 12 places, of equals the lowest one."""
+    vectors = X.unit(matrix)
+    clusters = [[i] for i in range(len(matrix))]
+    while len(clusters) > 1:
+        means = np.array([vectors[c].sum(0) / len(c) for c in clusters])
+        sims = np.round(means @ means.T, 12)
+        best = min((-sims[i, j], i, j) for i in range(len(clusters)) for j in range(i + 1, len(clusters)))
+        if not 1.0 + best[0] < limit:
+            break
+        clusters[best[1]] = clusters[best[1]] + clusters.pop(best[2])
+    label = {m: min(c) for c in clusters for m in c}
+    return [label[i] for i in range(len(matrix))]
+
+
+def test_average_linkage_with_ties_and_duplicates():
+    for seed in range(50):
+        matrix = np.random.default_rng(seed).integers(-2, 3, (24, 4)).astype(float)
+        matrix[(matrix == 0).all(1)] = 1.0
+        assert average_merge(X.unit(matrix), 0.15).tolist() == textbook(matrix, 0.15), seed
+
+
+@pytest.mark.parametrize("seed", [0, 4])
+def test_average_linkage_is_the_same_in_tasks_and_rounds(spark, seed):
+    matrix = np.random.default_rng(seed).integers(-2, 3, (24, 4)).astype(float)
+    matrix[(matrix == 0).all(1)] = 1.0
+    df = X.frame(spark, matrix)
+    want = textbook(matrix, 0.15)
+    for component_rows in (1, 4, 2000):
+        rows = agglomerative_average(df, "id", "v", 0.15, component_rows).collect()
+        assert [c for _, c in sorted((r.id, r.cluster) for r in rows)] == want
+
+
+def test_any_distance_limit(spark):
+    matrix, _ = X.planted(seed=3, rows=40, noise=0.9, hot=4)
+    df = X.frame(spark, matrix)
+    got = {r.id: r.cluster for r in dbscan(df, "id", "v", 1.05, 2).collect()}
+    assert [got[i] for i in range(len(matrix))] == X.dbscan(matrix, -0.05, 2)
+    for limit in (1.0, 1.1):
+        rows = agglomerative_average(df, "id", "v", limit, 5).collect()
+        assert [c for _, c in sorted((r.id, r.cluster) for r in rows)] == textbook(matrix, limit)

@@ -174,7 +174,7 @@ def test_exact_threshold_and_unusable_vectors(spark):
     assert [(r.a, r.b) for r in S.similarity_self_join(df, "id", "v", 0.75).collect()] == [(0, 1)]
     assert S.similarity_self_join(df, "id", "v", 0.75, strict=True).count() == 0
     with pytest.raises(ValueError):
-        S.similarity_self_join(df, "id", "v", 0.0)
+        S.similarity_self_join(df, "id", "v", 1.5)
 
 
 def test_empty_and_single_row(spark):
