@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clanmark.functions.vectors import is_finite, l2_normalize, norm, unit_centroids
-from clanmark.operators.numbering import number_rows, rank_within
+from clanmark.operators.numbering import first_per, rank_within
 from clanmark.operators.similarity import argmax_match, similarity_cross_join
 
 STRATEGIES = ("centroid", "vote")
@@ -75,9 +75,9 @@ def assign_by_vote(
 
 
 def positional_cluster_ids(clusters: DataFrame, order: list[Column], name: str = "cluster_id") -> DataFrame:
-    """``cluster_0``, ``cluster_1``, … for clusters that carry no id of their own."""
-    numbered = number_rows(clusters, order, "_n")
-    return numbered.withColumn(name, F.concat(F.lit("cluster_"), F.col("_n").cast("string"))).drop("_n")
+    """``cluster_0``, ``cluster_1``, … of every run, for clusters that carry no id of their own."""
+    ranked = rank_within(clusters, ["run_id"], order, "_n")
+    return ranked.withColumn(name, F.concat(F.lit("cluster_"), (F.col("_n") - 1).cast("string"))).drop("_n")
 
 
 def resolve_face_count(
@@ -105,11 +105,6 @@ def align_arrays(image_paths: Column, face_ids: Column) -> tuple[Column, Column]
     return F.concat(paths, missing_paths), F.concat(faces, missing_faces)
 
 
-def truncate_scores(confidences: Column, qualities: Column) -> tuple[Column, Column]:
-    """The first 10 confidences and the first 5 qualities."""
-    return F.slice(confidences, 1, 10), F.slice(qualities, 1, 5)
-
-
 def assignment_totals(clusters: DataFrame, assignments: DataFrame) -> DataFrame:
     """Per run: clusters, assigned and unassigned, in one join over all runs."""
     done = assignments.select("run_id", "cluster_id", F.lit(1).alias("_a"))
@@ -121,10 +116,17 @@ def assignment_totals(clusters: DataFrame, assignments: DataFrame) -> DataFrame:
 
 
 def assignment_upsert(
-    current: DataFrame, new: DataFrame, at: Column, overwrite: bool = False, dry_run: bool = False
+    current: DataFrame,
+    new: DataFrame,
+    at: Column,
+    overwrite: bool = False,
+    dry_run: bool = False,
+    order: list[Column] | None = None,
 ) -> DataFrame:
     """``current`` with ``new`` merged in by (run_id, cluster_id).
 
+    Of several new rows with one key the first by ``order`` counts, by default that of the
+    highest similarity, then of the lowest user id.
     Replaced rows keep ``created_at``; all new rows get ``updated_at``.  ``overwrite``
     first drops every row of the runs in ``new``; ``dry_run`` changes nothing.
     """
@@ -132,6 +134,8 @@ def assignment_upsert(
         return current
     keys = ["run_id", "cluster_id"]
     fields = [c for c in current.columns if c not in ("created_at", "updated_at")]
+    usual = [F.desc("similarity"), F.asc("user_id")] if "similarity" in new.columns else [F.asc("user_id")]
+    new = first_per(new, keys, order or usual)
     stamped = new.select(*fields)
     if overwrite:
         kept = current.join(new.select("run_id").distinct(), "run_id", "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clanmark.functions import quality as Q
@@ -11,13 +11,14 @@ from clanmark.operators.numbering import first_per
 
 
 def clamp_boxes(
-    boxes: DataFrame, asset: str, order: str, min_size: int = 30, min_confidence: float = 0.5, keep: int = 10
+    boxes: DataFrame, asset: str, order: str, min_size: int = 30, min_confidence: float = 0.5,
+    keep: int | None = None,
 ) -> DataFrame:
     """Corner boxes (x1, y1, x2, y2) to (x, y, w, h) inside the image.
 
     Coordinates are truncated to integers and clamped, boxes under the minimum size or
-    confidence dropped, and the first ``keep`` per asset in detector ``order`` kept.
-    ``single`` is true where the asset kept exactly one.
+    confidence dropped; a number ``keep`` keeps the first ones of an asset in detector
+    ``order``.  ``single`` is true where the asset kept exactly one.
     """
     x1 = F.greatest(F.lit(0), F.col("x1").cast("int"))
     y1 = F.greatest(F.lit(0), F.col("y1").cast("int"))
@@ -27,9 +28,10 @@ def clamp_boxes(
         {"x": x1, "y": y1, "w": x2 - x1, "h": y2 - y1}
     )
     clamped = clamped.where((F.col("w") >= min_size) & (F.col("h") >= min_size))
-    kept = first_per(clamped, [asset], [F.asc(order)], keep)
-    alone = F.count(F.lit(1)).over(Window.partitionBy(asset)) == 1  # at most `keep` rows per key
-    return kept.withColumn("single", alone).drop("x1", "y1", "x2", "y2")
+    kept = clamped if keep is None else first_per(clamped, [asset], [F.asc(order)], keep)
+    counts = kept.groupBy(F.col(asset).alias("_asset")).agg((F.count(F.lit(1)) == 1).alias("single"))
+    joined = kept.join(counts, kept[asset].eqNullSafe(counts["_asset"]))
+    return joined.drop("_asset", "x1", "y1", "x2", "y2")
 
 
 def quality_topk(
@@ -69,7 +71,7 @@ def quality_strict(
 def quality_gate_explained(
     detections: DataFrame, min_size: int = 30, min_confidence: float = 0.5, min_blur: float = 80.0
 ) -> DataFrame:
-    """Adds ``passed``, ``checks`` and ``reason``."""
+    """Adds ``passed``, ``checks`` (each with its value and limit) and ``reason`` (the failed ones)."""
     passed, checks, reason = Q.gate(
         F.col("w"), F.col("h"), F.col("confidence"), F.col("blur"),
         F.lit(min_size), F.lit(min_confidence), F.lit(min_blur),
@@ -118,7 +120,7 @@ def profile_outcome(
     min_confidence: float = 0.4,
     min_blur: float = 50.0,
 ) -> DataFrame:
-    """Per submitted asset: no_face, multiple, rejected with a reason, or saved."""
+    """Per submitted asset: no_face, multiple, rejected with the failed checks, or saved."""
     slim = ["w", "h", "confidence", "blur"]
     found = detections.groupBy(asset).agg(
         F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(c) for c in slim]
@@ -130,14 +132,8 @@ def profile_outcome(
     )
     none, many = F.col("detections") == 0, F.col("detections") > 1
     outcome = F.when(none, "no_face").when(many, "multiple").when(passed, "saved").otherwise("rejected")
-    text = F.when(none, "No faces detected in image").when(
-        many,
-        F.concat(
-            F.lit("Multiple faces detected ("), F.col("detections").cast("string"),
-            F.lit("). Please use image with single face."),
-        ),
-    ).otherwise(reason)
-    return joined.withColumns({"outcome": outcome, "reason": text}).drop("_n", *slim)
+    why = F.when(~none & ~many, reason).otherwise(F.lit(""))
+    return joined.withColumns({"outcome": outcome, "reason": why}).drop("_n", *slim)
 
 
 def sanitize_profile(profiles: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clanmark.functions.paths import valid_user_id
-from clanmark.functions.vectors import is_finite
 
 
 def validate_profile(profiles: DataFrame, min_dims: int = 128, max_dims: int = 1024) -> DataFrame:
@@ -31,24 +30,18 @@ def validate_profile(profiles: DataFrame, min_dims: int = 128, max_dims: int = 1
     return profiles.withColumn("reasons", reasons).withColumn("is_valid", F.size("reasons") == 0)
 
 
-def relative_box_is_valid(box: Column) -> Column:
-    """Four numbers, each in [0, 1]: the box check of profiles in relative units."""
-    inside = F.forall(box, lambda x: x.between(0.0, 1.0))
-    return F.coalesce((F.size(box) == 4) & inside, F.lit(False))
-
-
 def upsert_profile(
-    current: DataFrame, new: DataFrame, at: Column, key: str = "user_id", order: str | None = None
+    current: DataFrame, new: DataFrame, at: Column, order: str, key: str = "user_id"
 ) -> DataFrame:
     """Merge ``new`` into ``current`` by key; NULL fields do not overwrite.
 
-    With several new rows per key the last one by ``order`` counts.  ``created_at`` of a
+    Several new rows of one key count as upserts in ``order``: each field takes its last value
+    that is not NULL (the larger one of two at the same place).  ``created_at`` of a
     known key is kept, ``updated_at`` is set on every touched row.
     """
     fields = [c for c in current.columns if c not in (key, "created_at", "updated_at")]
-    if order is not None:
-        last = F.max(F.struct(F.col(order).alias("_o"), *fields)).alias("_m")
-        new = new.groupBy(key).agg(last).select(key, *[F.col(f"_m.{c}").alias(c) for c in fields])
+    last = [F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("_o"), c))).alias(f"_m_{c}") for c in fields]
+    new = new.groupBy(key).agg(*last).select(key, *[F.col(f"_m_{c}.{c}").alias(c) for c in fields])
     patch = new.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in fields])
     joined = current.join(patch, F.col(key) == F.col("_k"), "full")
     touched = F.col("_k").isNotNull()
@@ -129,6 +122,3 @@ def cleanup_run(
         return assignments, points, report
     return delete_where(assignments, of_run)[0], delete_where(points, of_run)[0], report
 
-
-def usable_vector(vector: str) -> Column:
-    return (F.size(vector) > 0) & is_finite(vector)

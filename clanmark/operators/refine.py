@@ -7,10 +7,10 @@ one equi-join on the label.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clanmark.functions.vectors import dot, l2_normalize, mean_vectors, norm
+from clanmark.functions.vectors import dot, mean_vectors
 from clanmark.operators.components import similarity_components
 from clanmark.operators.linkage import agglomerative_average
 from clanmark.operators.numbering import number_rows
@@ -32,23 +32,15 @@ def absorb_small(
     vector: str,
     min_size: int = 3,
     threshold: float = 1.0 - 0.28,
-    max_labels: int | None = None,
     **options,
 ) -> DataFrame:
     """(key, label): small clusters join the large cluster with the closest centroid.
 
     A cluster below ``min_size`` moves if the cosine is strictly over ``threshold``;
-    noise stays.  ``max_labels`` skips the step above that many labels (noise counts as
-    one); it is a cost guard of the original and off by default.
+    noise stays.
     """
     kept = members.select(key, label)
     labelled = members.where(F.col(label).isNotNull())
-    if max_labels is not None:
-        labels = members.agg(
-            (F.countDistinct(label) + F.max(F.col(label).isNull().cast("int"))).alias("n")
-        ).first()["n"]
-        if (labels or 0) > max_labels:
-            return kept
     centroids = materialize(mean_vectors(labelled, [label], vector), "centroids")
     small = centroids.where(F.col("size") < min_size)
     large = centroids.where(F.col("size") >= min_size)
@@ -160,6 +152,3 @@ def label_split(members: DataFrame, key: str, label: str) -> tuple[DataFrame, Da
     named = numbered.withColumn("cluster_id", F.concat(F.lit("cluster_"), F.col("position").cast("string")))
     return named.select("cluster_id", label, "size", "first_id"), noise
 
-
-def unit(vector: str) -> Column:
-    return F.when(norm(vector) > 0, l2_normalize(vector))

@@ -171,13 +171,9 @@ def run_overview(points: DataFrame) -> DataFrame:
 
 
 def run_overview_top(points: DataFrame, k: int = 10) -> DataFrame:
-    """The ``k`` largest persons per run with their owner's asset.
-
-    The cut is made before ``unassigned`` is dropped, so a run may show k - 1 rows.
-    """
-    stats = person_vector_stats(points)
+    """The ``k`` largest persons per run with their owner's asset; ``unassigned`` is no person."""
+    stats = person_vector_stats(points).where(F.col("person_id") != UNASSIGNED)
     top = first_per(stats, ["run_id"], [F.desc("total_vectors"), F.asc("person_id")], k, "rank")
-    top = top.where(F.col("person_id") != UNASSIGNED)
     owners = points.where(F.coalesce("is_owner", F.lit(False))).groupBy("run_id", "person_id").agg(
         F.min(F.struct("detection_id", "asset_id")).alias("o")
     )

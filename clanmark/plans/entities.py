@@ -19,12 +19,13 @@ def cluster_members(
     detections: DataFrame,
     threshold: float = 0.75,
     merge_threshold: float | None = None,
-    per_asset: int | None = 5,
+    per_asset: int | None = None,
     vector: str = "vector",
 ) -> DataFrame:
-    """Detections with ``cluster_id``: quality filter, components, one merge pass.
+    """Detections with ``cluster_id``: components, one merge pass.
 
-    ``merge_threshold`` defaults to ``threshold`` + 0.1; ``per_asset`` None keeps all.
+    ``merge_threshold`` defaults to ``threshold`` + 0.1; a number ``per_asset`` keeps
+    only that many of the best detections of an asset (see ``quality_topk``).
     """
     kept = detections if per_asset is None else quality_topk(detections, "asset_id", "detection_id", per_asset)
     merge = threshold + 0.1 if merge_threshold is None else merge_threshold

@@ -83,11 +83,11 @@ def assign_by_vote(spark, d):
 
 @query(
     "positional_cluster_ids",
-    """SELECT run_id, cluster_id AS key, 'cluster_' || (row_number() OVER (ORDER BY run_id, cluster_id) - 1) AS cluster_id FROM clusters""",
+    """SELECT run_id, cluster_id AS key, 'cluster_' || (row_number() OVER (PARTITION BY run_id ORDER BY cluster_id) - 1) AS cluster_id FROM clusters""",
 )
 def positional_cluster_ids(spark, d):
     keys = I.clusters(spark, d).select("run_id", F.col("cluster_id").alias("key"))
-    return O.positional_cluster_ids(keys, [F.asc("run_id"), F.asc("key")])
+    return O.positional_cluster_ids(keys, [F.asc("key")])
 
 
 define(
@@ -142,20 +142,6 @@ def align_arrays(spark, d):
     )
 
 
-@query(
-    "truncate_scores",
-    """SELECT i AS vec_id, len(v[1:10]) AS n_confidences, round(list_sum(v[1:10]), 6) AS confidence_sum,
- len(v[1:5]) AS n_qualities, round(list_sum(v[1:5]), 6) AS quality_sum FROM e""",
-)
-def truncate_scores(spark, d):
-    a, b = O.truncate_scores(F.col("vector"), F.col("vector"))
-    total = lambda v: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
-    return I.embeddings(spark, d).select("vec_id", a.alias("a"), b.alias("b")).select(
-        "vec_id", F.size("a").alias("n_confidences"), total(F.col("a")).alias("confidence_sum"),
-        F.size("b").alias("n_qualities"), total(F.col("b")).alias("quality_sum"),
-    )
-
-
 @query(
     "assign_all_runs",
     """SELECT run_id, count(*) AS total_clusters, count(a.user_id) AS assigned_clusters,
@@ -285,22 +271,16 @@ def run_assignment_info(spark, d):
     return O.run_assignment_info(I.assignments(spark, d))
 
 
-define(
-    "top5",
-    """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY quality DESC, detection_id) AS n
- FROM det WHERE w >= 30 AND h >= 30 AND confidence >= 0.5) WHERE n <= 5""",
-)
-define("kept_sym", """SELECT a, b FROM pair WHERE s >= 0.75 AND a IN (SELECT detection_id FROM top5) AND b IN (SELECT detection_id FROM top5)
-UNION ALL SELECT b, a FROM pair WHERE s >= 0.75 AND a IN (SELECT detection_id FROM top5) AND b IN (SELECT detection_id FROM top5)""")
+define("kept_sym", "SELECT a, b FROM pair WHERE s >= 0.75 UNION ALL SELECT b, a FROM pair WHERE s >= 0.75")
 define(
     "kept_lab",
-    "SELECT detection_id, detection_id FROM top5 UNION SELECT s.b, l.c FROM kept_lab l JOIN kept_sym s ON s.a = l.id WHERE l.c < s.b",
+    "SELECT detection_id, detection_id FROM det UNION SELECT s.b, l.c FROM kept_lab l JOIN kept_sym s ON s.a = l.id WHERE l.c < s.b",
     "(id, c)",
     materialized=False,
 )
 define(
     "kept",
-    """SELECT t.*, c.cluster_id, quality * 0.6::DOUBLE + confidence * 0.4::DOUBLE AS score FROM top5 t
+    """SELECT t.*, c.cluster_id, quality * 0.6::DOUBLE + confidence * 0.4::DOUBLE AS score FROM det t
  JOIN (SELECT id, min(c) AS cluster_id FROM kept_lab GROUP BY id) c ON c.id = t.detection_id""",
 )
 define("kept_cent", f"SELECT cluster_id, {mean_of('unit')} AS c FROM kept GROUP BY cluster_id")
@@ -336,3 +316,17 @@ def entities(spark, d):
 def entities_loose_merge(spark, d):
     """A lower merge threshold, so that the merge pass has work at every scale."""
     return E.entities(I.detections(spark, d), merge_threshold=0.6)
+
+
+@query(
+    "link_users",
+    f"""SELECT {FIELDS.format(t="")}, {TIMES.format(
+    c="CASE WHEN run_id LIKE 'r1%' THEN created_at ELSE TIMESTAMP '2024-03-01' END", u="TIMESTAMP '2024-03-01'")} FROM assignments""",
+)
+def link_users(spark, d):
+    """All runs at once over a table that holds one clustering with other values."""
+    place = F.concat(F.lit("photos/"), F.substring("run_id", 3, 1))
+    clusters = I.clusters(spark, d).withColumn("bucket_path", place)
+    known = I.assignments(spark, d).where(F.col("run_id").startswith("r1")).withColumn("user_id", F.lit("before"))
+    linked = E.link_users(clusters, I.profiles(spark, d), known, at("2024-03-01 00:00:00"))
+    return linked.withColumns({c: stamp(c) for c in ("created_at", "updated_at")})

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clanmark.operators.components import similarity_components
+from clanmark.operators.components import name_components, similarity_components
 from clanmark.operators.density import dbscan
 from clanmark.operators.linkage import agglomerative_average
 from clanmark.operators.matching import merge_pairs_greedy
-from clanmark.operators.numbering import number_rows
 from clanmark.operators import refine as R
 from clanmark.registry import inputs as I
 from clanmark.registry.base import query
@@ -22,11 +21,7 @@ from clanmark.sources.workspace import materialize
 )
 def connected_components(spark, d):
     parts = materialize(similarity_components(I.detections(spark, d), "detection_id", "unit", 0.75), "parts")
-    numbers = number_rows(parts.select("component").distinct(), [F.asc("component")], "k")
-    named = parts.join(numbers, "component")
-    return named.select(
-        "detection_id", "component", F.concat(F.lit("person_"), F.col("k").cast("string")).alias("person_id")
-    )
+    return name_components(parts).select("detection_id", "component", "person_id")
 
 
 define("lab85", "SELECT d.*, c.component AS label FROM det d JOIN comp85 c ON c.id = d.detection_id")
@@ -166,15 +161,6 @@ def absorb_small(spark, d):
     return R.absorb_small(members, "detection_id", "label", "unit")
 
 
-@query("absorb_small_gated", "SELECT detection_id, dense AS label FROM dens85")
-def absorb_small_gated(spark, d):
-    """More than 50 labels: the cost guard of the original skips the step."""
-    noise_free = dbscan(I.detections(spark, d), "detection_id", "unit", 0.15, 2)
-    members = I.detections(spark, d).select("detection_id", "unit").join(noise_free, "detection_id")
-    members = materialize(members.withColumnRenamed("cluster", "label"), "labels")
-    return R.absorb_small(members, "detection_id", "label", "unit", max_labels=50)
-
-
 @query(
     "absorb_small_quality",
     """SELECT detection_id, coalesce(new, label) AS label FROM lab85 LEFT JOIN (

@@ -27,7 +27,7 @@ define(
 @query(
     "clamp_boxes",
     """SELECT detection_id, asset_id, x, y, w, h, count(*) OVER (PARTITION BY asset_id) = 1 AS single
-FROM clamped WHERE n <= 10""",
+FROM clamped""",
 )
 def clamp_boxes(spark, d):
     x, y = F.col("x") * 2 + 0.7, F.col("y") * 2 + 0.3
@@ -100,29 +100,20 @@ def quality_composite(spark, d):
     return I.detections(spark, d).select("detection_id", made.alias("quality"))
 
 
-FAILURES = """concat_ws('; ', CASE WHEN h < {size} OR w < {size} THEN 'Size too small: ' || h || 'x' || w || ' < {size}' END,
- CASE WHEN confidence < {sure} THEN 'Confidence too low: ' || format('{{:.3f}}', confidence) || ' < {sure}' END,
- CASE WHEN blur < {blur} THEN 'Too blurry: ' || format('{{:.2f}}', blur::DOUBLE) || ' < {blur}' END)"""
+FAILURES = """concat_ws(',', CASE WHEN h < {size} OR w < {size} THEN 'size' END,
+ CASE WHEN confidence < {sure} THEN 'confidence' END, CASE WHEN blur < {blur} THEN 'blur' END)"""
 PASSED = "(h >= {size} AND w >= {size} AND confidence >= {sure} AND blur >= {blur})"
 
 
 def reason(size: int, sure: float, blur: int) -> str:
-    values = dict(size=size, sure=sure, blur=blur)
-    return (
-        f"CASE WHEN {PASSED.format(**values)} THEN 'Quality check passed' "
-        f"ELSE 'Quality check failed: ' || {FAILURES.format(**values)} END"
-    )
+    return FAILURES.format(size=size, sure=sure, blur=blur)
 
 
 @query(
     "quality_gate_explained",
     f"""SELECT detection_id, {PASSED.format(size=30, sure=0.5, blur=80)} AS passed, {reason(30, 0.5, 80)} AS reason,
- concat_ws('; ', 'Size ' || CASE WHEN h < 30 OR w < 30 THEN 'too small: ' || h || 'x' || w || ' < 30'
-  ELSE 'OK: ' || h || 'x' || w || ' >= 30' END,
- 'Confidence ' || CASE WHEN confidence < 0.5 THEN 'too low: ' || format('{{:.3f}}', confidence) || ' < 0.5'
-  ELSE 'OK: ' || format('{{:.3f}}', confidence) || ' >= 0.5' END,
- CASE WHEN blur < 80 THEN 'Too blurry: ' || format('{{:.2f}}', blur::DOUBLE) || ' < 80'
-  ELSE 'Blur OK: ' || format('{{:.2f}}', blur::DOUBLE) || ' >= 80' END) AS checks FROM det""",
+ 'size:' || least(w, h) || ':30; confidence:' || format('{{:.3f}}', confidence) || ':0.500; blur:'
+ || format('{{:.2f}}', blur::DOUBLE) || ':80.00' AS checks FROM det""",
 )
 def quality_gate_explained(spark, d):
     made = O.quality_gate_explained(I.detections(spark, d))
@@ -176,9 +167,7 @@ def one_per_asset(spark, d):
     "profile_outcome",
     f"""SELECT asset_id, n AS detections, CASE WHEN n = 0 THEN 'no_face' WHEN n > 1 THEN 'multiple'
   WHEN {PASSED.format(size=30, sure=0.4, blur=50)} THEN 'saved' ELSE 'rejected' END AS outcome,
- CASE WHEN n = 0 THEN 'No faces detected in image'
-  WHEN n > 1 THEN 'Multiple faces detected (' || n || '). Please use image with single face.'
-  ELSE {reason(30, 0.4, 50)} END AS reason
+ CASE WHEN n <> 1 THEN '' ELSE {reason(30, 0.4, 50)} END AS reason
 FROM (SELECT i AS asset_id, count(detection_id) AS n, min(w) AS w, min(h) AS h, min(confidence) AS confidence, min(blur) AS blur
  FROM e LEFT JOIN (SELECT *, detection_id * detection_id % (SELECT count(*) FROM e) AS sub FROM det) ON sub = i GROUP BY i)""",
 )

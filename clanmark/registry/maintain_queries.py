@@ -7,9 +7,11 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from clanmark.operators import maintain as O
+from clanmark.plans.entities import admit_profiles as admit
 from clanmark.registry import inputs as I
 from clanmark.registry.assign_queries import at, stamp
 from clanmark.registry.base import checksum, checksum_sql, query
+from clanmark.registry.filter_queries import PASSED
 from clanmark.registry.sqltext import define
 
 
@@ -28,7 +30,7 @@ def validate_profile(spark, d):
 define(
     "patch",
     """SELECT CASE WHEN k % 3 = 0 THEN user_id ELSE 'new_' || user_id END AS user_id,
- CASE WHEN k % 2 = 0 THEN embedding END AS embedding, CASE WHEN k % 5 <> 0 THEN 0.99::DOUBLE END AS confidence,
+ CASE WHEN k % 2 = 0 THEN embedding END AS embedding, CASE WHEN k % 5 <> 0 THEN 0.99::DOUBLE WHEN k % 10 = 0 THEN 0.25::DOUBLE END AS confidence,
  quality_score + 1 AS quality_score FROM profiles""",
 )
 
@@ -39,7 +41,7 @@ def stored_profiles(spark, d):
 
 
 def profile_patch(spark, d):
-    """Every third profile changed, the others under new ids; two versions per key."""
+    """Every third profile changed, the others under new ids; two versions per key that disagree."""
     k = F.substring("user_id", 6, 6).cast("long")
     base = I.profiles(spark, d).withColumn("k", k).select(
         F.when(F.col("k") % 3 == 0, F.col("user_id")).otherwise(F.concat(F.lit("new_"), "user_id")).alias("user_id"),
@@ -47,9 +49,11 @@ def profile_patch(spark, d):
         F.when(F.col("k") % 5 != 0, F.lit(0.99)).alias("confidence"),
         (F.col("quality_score") + 1).alias("quality_score"),
         F.lit(2).alias("version"),
+        "k",
     )
-    older = base.withColumns({"quality_score": F.lit(-5.0), "version": F.lit(1)})
-    return base.unionByName(older)
+    before = F.when(F.col("k") % 10 == 0, F.lit(0.25)).when(F.col("k") % 5 != 0, F.lit(0.1))
+    older = base.withColumns({"quality_score": F.lit(-5.0), "confidence": before, "version": F.lit(1)})
+    return base.unionByName(older).drop("k")
 
 
 @query(
@@ -169,3 +173,35 @@ def cleanup_run(spark, d):
         return joined.withColumn("step", F.concat("step", suffix))
 
     return reported(False).unionByName(reported(True))
+
+
+define(
+    "admitted",
+    f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY asset_id DESC) AS n FROM (
+ SELECT sub AS asset_id, 'user_' || lpad((sub // 20)::VARCHAR, 6, '0') AS user_id, any_value(vector) AS v,
+  min(confidence) AS confidence, min(w) AS w, min(h) AS h, min(blur) AS blur
+ FROM (SELECT *, detection_id * detection_id % (SELECT count(*) FROM e) AS sub FROM det) GROUP BY sub
+ HAVING count(*) = 1 AND sub % 7 <> 1) WHERE {PASSED.format(size=30, sure=0.4, blur=50)}) WHERE n = 1""",
+)
+
+
+@query(
+    "admit_profiles",
+    f"""SELECT user_id, {checksum_sql("v")} AS weighted, round(c, 6) AS confidence, round(q, 6) AS quality_score, created_at, updated_at
+FROM (SELECT coalesce(p.user_id, n.user_id) AS user_id, coalesce(n.v, p.embedding) AS v, coalesce(n.confidence, p.confidence) AS c,
+ coalesce(n.confidence * n.w * n.h, p.quality_score) AS q,
+ CASE WHEN p.user_id IS NULL THEN '2024-03-01 00:00:00' ELSE '2024-01-01 00:00:00' END AS created_at,
+ CASE WHEN n.user_id IS NULL THEN '2024-01-01 00:00:00' ELSE '2024-03-01 00:00:00' END AS updated_at
+ FROM profiles p FULL JOIN admitted n ON p.user_id = n.user_id)""",
+)
+def admit_profiles(spark, d):
+    """Submissions of one picture each: twenty per user, every seventh under a bad id."""
+    embeddings = I.embeddings(spark, d)
+    i, asset = F.col("detection_id"), F.col("vec_id")
+    shots = I.detections(spark, d).withColumn("asset_id", i * i % F.lit(embeddings.count()))
+    user = F.concat(F.lit("user_"), F.lpad(F.expr("vec_id div 20").cast("string"), 6, "0"))
+    submissions = embeddings.select(asset.alias("asset_id"), F.when(asset % 7 == 1, "x").otherwise(user).alias("user_id"))
+    stored, _ = admit(submissions, shots, stored_profiles(spark, d), at("2024-03-01 00:00:00"), min_dims=64)
+    return stored.select(
+        "user_id", checksum("embedding").alias("weighted"), "confidence", "quality_score", stamp("created_at"), stamp("updated_at")
+    )

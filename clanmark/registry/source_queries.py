@@ -10,7 +10,7 @@ from clanmark.registry import inputs as I
 from clanmark.registry.base import query
 from clanmark.sources import assets as A
 from clanmark.sources import tables as S
-from clanmark.sources.workspace import fresh_path
+from clanmark.sources.workspace import fresh_path, materialize
 
 IS_IMAGE = r"regexp_matches(lower(key), '\.(jpg|jpeg|png|webp|bmp|tiff)$')"
 LISTED = f"""SELECT event_id, key FROM asset_keys
@@ -186,8 +186,11 @@ def write_detections(spark, d):
  multi_cluster_assets, max_clusters_per_asset, round(avg_clusters_per_asset, 6) AS avg_clusters_per_asset FROM runs""",
 )
 def write_run(spark, d):
+    """Two writes, one after the other, into the same buckets."""
     path = fresh_path(spark, "stored-runs")
-    S.write_partitioned(I.runs(spark, d), path, ["bucket", "sub_bucket"])
+    runs = materialize(I.runs(spark, d), "runs")
+    for early in (F.col("run_id").startswith("r1"), ~F.col("run_id").startswith("r1")):
+        S.write_runs(runs.where(early), path)
     return S.read_table(spark, path).drop("bucket", "sub_bucket", "ts")
 
 
@@ -198,12 +201,9 @@ FROM members GROUP BY run_id, cluster_id""",
 )
 def cluster_pages(spark, d):
     members = I.members(spark, d).join(I.runs(spark, d).select("run_id"), "run_id")
-    members = members.withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1)))
     pages = S.cluster_pages(members)
     ids = F.array_join(F.transform("members", lambda m: m["detection_id"].cast("string")), ",")
-    return pages.select(
-        "run_id", F.nullif("cluster_id", F.lit(-1)).alias("cluster_id"), F.size("members").alias("n_members"), ids.alias("ids")
-    )
+    return pages.select("run_id", "cluster_id", F.size("members").alias("n_members"), ids.alias("ids"))
 
 
 UUID5 = """(h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-'

@@ -157,8 +157,9 @@ def run_overview(spark, d):
     "run_overview_top",
     """SELECT t.run_id, t.n AS rank, t.person_id, t.total_vectors, round(t.avg_confidence, 3) AS avg_confidence,
  m.detection_id AS owner_id, m.asset_id AS owner_asset
-FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY total_vectors DESC, person_id) AS n FROM person_stats) t
-LEFT JOIN (SELECT * FROM members WHERE is_owner) m USING (run_id, person_id) WHERE t.n <= 10 AND t.person_id <> 'unassigned'""",
+FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY total_vectors DESC, person_id) AS n FROM person_stats
+ WHERE person_id <> 'unassigned') t
+LEFT JOIN (SELECT * FROM members WHERE is_owner) m USING (run_id, person_id) WHERE t.n <= 10""",
 )
 def run_overview_top(spark, d):
     return O.run_overview_top(text_points(spark, d))

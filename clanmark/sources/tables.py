@@ -46,6 +46,11 @@ def write_vectors(members: DataFrame, path: str) -> None:
     write_partitioned(vector_points(members), path, ["run_id"])
 
 
+def write_runs(runs: DataFrame, path: str) -> None:
+    """One row per run, in a partition of its own: other runs of the bucket stay."""
+    write_partitioned(runs, path, ["bucket", "sub_bucket", "run_id"])
+
+
 def run_document(members: DataFrame, overlap: DataFrame) -> DataFrame:
     """One row per run: totals and overlap statistics.  ``overlap`` has one row per run."""
     totals = members.groupBy("run_id").agg(
@@ -61,11 +66,14 @@ def cluster_pages(members: DataFrame, page_rows: int = 1000) -> DataFrame:
     """Nested output: (run, cluster, page, members) with at most ``page_rows`` per page.
 
     The page of a member comes from a salted position, so that no cluster is ever
-    gathered whole; together the pages hold every member.
+    gathered whole; together the pages hold every member, those without a cluster too.
     """
-    sizes = members.groupBy("run_id", "cluster_id").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = members.groupBy(F.col("run_id").alias("_r"), F.col("cluster_id").alias("_c")).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
     buckets = F.ceil(F.col("_n") * 2 / page_rows).cast("long")
-    salted = members.join(sizes, ["run_id", "cluster_id"]).withColumn(
+    same = members["run_id"].eqNullSafe(sizes["_r"]) & members["cluster_id"].eqNullSafe(sizes["_c"])
+    salted = members.join(sizes, same).withColumn(
         "bucket_no", F.when(F.col("_n") <= page_rows, F.lit(0)).otherwise(F.pmod(F.xxhash64("detection_id"), buckets))
     )
     from pyspark.sql import Window
@@ -149,7 +157,7 @@ def extract_clusters(documents: DataFrame, key: str, text: str) -> DataFrame:
     In order: a list or numbered map under ``person_clusters``; a list under
     ``clusters``; a list at the root; numbered keys at the root; else the first field
     that is a list whose first entry looks like a cluster.  Numbered keys stop at the
-    first gap.
+    first gap.  A document without clusters has one row of layout ``none``.
     """
     j = F.col(text)
     fields = F.from_json(j, "map<string,string>")
@@ -164,10 +172,11 @@ def extract_clusters(documents: DataFrame, key: str, text: str) -> DataFrame:
         return F.from_json(c, "array<string>")
 
     def numbered(c):
-        found = F.from_json(c, "map<string,string>")
-        upto = F.transform(F.sequence(F.lit(0), F.size(found)), lambda i: found[i.cast("string")])
-        gap = F.array_position(F.transform(upto, lambda x: x.isNull()), True)
-        return F.slice(upto, F.lit(1), (gap - 1).cast("int"))
+        entries = F.map_entries(F.from_json(c, "map<string,string>"))
+        plain = F.filter(entries, lambda e: e["key"].rlike("^(0|[1-9][0-9]{0,8})$") & e["value"].isNotNull())
+        placed = F.transform(plain, lambda e: F.struct(e["key"].cast("int").alias("k"), e["value"].alias("v")))
+        upto = F.filter(F.array_sort(placed), lambda e, i: e["k"] == i)  # up to the first gap
+        return F.transform(upto, lambda e: e["v"])
 
     has_persons = F.coalesce(F.map_contains_key(m, "person_clusters"), F.lit(False))
     has_plain = F.coalesce(F.map_contains_key(m, "clusters"), F.lit(False))
@@ -200,9 +209,10 @@ def extract_clusters(documents: DataFrame, key: str, text: str) -> DataFrame:
         .otherwise(items(searched["value"]))
     )
     found = docs.withColumn("layout", layout).withColumn("_entries", entries)
-    rows = found.select(key, "layout", F.posexplode("_entries").alias("position", "_c"))
+    rows = found.select(key, "layout", F.posexplode_outer("_entries").alias("position", "_c"))
+    known = F.when(F.col("position").isNull(), "none").otherwise(F.col("layout"))
     return rows.select(
-        key, "layout", F.col("position").cast("long").alias("position"),
+        key, known.alias("layout"), F.col("position").cast("long").alias("position"),
         F.from_json("_c", CLUSTER_FIELDS).alias("cluster"),
     )
 

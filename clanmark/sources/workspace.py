@@ -21,7 +21,7 @@ def work_folder(spark: SparkSession) -> str:
     """The shared folder named by the session; a temporary one only in local mode."""
     folder = spark.conf.get(SETTING, None)
     if folder:
-        return folder.rstrip("/")
+        return folder.rstrip("/")  # as ``file:`` it must be a mount that all executors share
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError(f"set {SETTING} to a folder that all executors can reach")
     app = spark.sparkContext.applicationId

@@ -28,9 +28,7 @@ def test_absorb_small(clusters):
     assert [got[i] for i in range(10)] == [10] * 4 + [10, 10, 30, 30, 10, None]
 
 
-def test_absorb_small_is_strict_and_gated(clusters, spark):
-    assert as_map(R.absorb_small(clusters, "id", "label", "v", max_labels=4))[4] == 20  # 5 labels with noise
-    assert as_map(R.absorb_small(clusters, "id", "label", "v", max_labels=5))[4] == 10
+def test_absorb_small_is_strict(spark):
     exact = labelled(
         spark,
         [(i, 1, [1.0, 0.0], 1.0) for i in range(3)] + [(3, 2, [0.75, float(np.sqrt(0.4375))], 1.0)],
