@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clanmark.llm.base import col, schema, strings
+from clanmark.llm.base import col, schema, strings, whole_row
 from clanmark.llm.words import byte_slices, mixed, powers, word_hashes
 from clanmark.operators.components import component_edges
 from clanmark.operators.numbering import rank_within
@@ -350,6 +350,13 @@ def near_classes(
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each class of near duplicates; its columns as they were."""
-    kept = near_classes(docs, text, keep=tuple(docs.columns), doc_id=doc_id).where("kept")
+    """``docs`` with one row of each class of near duplicates; its columns as they were.
+
+    Classes are found on narrow rows; the whole ones meet only the numbers of those that go.
+    """
+    numbered = materialize(docs.select(whole_row(docs).alias("row"), F.monotonically_increasing_id().alias("uid")), "rows")
+    own = numbered.select("uid", F.col("row").getField(doc_id).alias("doc_id"), F.col("row").getField(text).alias("text"))
+    classes = near_classes(own, keep=("uid",))
+    gone = materialize(classes.where(~F.col("kept")).select("row.uid"), "gone")
+    kept = numbered.join(gone, "uid", "left_anti")
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
