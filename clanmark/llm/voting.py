@@ -27,7 +27,9 @@ POWER = 4
 RANK = 64
 WORD_SLOTS, SHAPE_SLOTS = 1024, 512
 SLOTS = WORD_SLOTS + SHAPE_SLOTS
-SLICE_BYTES, SLICE_ROWS = 4 << 20, 1024
+SLICE_BYTES, SLICE_ROWS = 2 << 20, 1024
+#: Documents that meet all voters in one product.
+BLOCK_ROWS = 128
 THRESHOLD = 0.7
 
 _UPPER, _DIGIT, _STOP, _SIGN = 1, 2, 4, 8
@@ -84,6 +86,10 @@ class Model:
 
     def score(self, counts: np.ndarray) -> np.ndarray:
         """The share of label 1 among the nearest voters; the share of all voters for a zero vector."""
+        blocks = [self._votes(counts[i : i + BLOCK_ROWS]) for i in range(0, len(counts), BLOCK_ROWS)]
+        return np.concatenate([np.zeros(0), *blocks])
+
+    def _votes(self, counts: np.ndarray) -> np.ndarray:
         cosine = self.latent(counts) @ self.voters.T
         k = min(NEIGHBOURS, len(self.labels))
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
@@ -161,13 +167,16 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     return fit(counts, np.array([r.quality for r in rows]))
 
 
-def _scored(model):
+def _scored(model, field: str | None):
+    """Adds the scores of the column ``text``, which is dropped, or of a field of the column ``row``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = [np.zeros(0)]
-            for _, texts in _parts(strings(batch.column("text"))):
+            column = batch.column("text") if field is None else batch.column("row").field(field)
+            for _, texts in _parts(strings(column)):
                 scores.append(model.value.score(features(texts)))
-            kept = batch.drop_columns(["text"])
+            kept = batch.drop_columns(["text"]) if field is None else batch
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(np.concatenate(scores), pa.float64())], [*kept.schema.names, "score"])
 
     return run
@@ -182,9 +191,10 @@ def score_texts(docs: DataFrame, model: Model | None, text: str = "text", keep:
     spark = docs.sparkSession
     if model is None:
         return docs.select(*[col(c) for c in keep], F.lit(0.5).alias("score"))
-    own = docs.select(*[col(c) for c in keep], col(text).cast("string").alias("text"))
+    inside = keep == ("row",)  # the text is a field of the row and goes to the task once
+    own = docs.select(*[col(c) for c in keep], *([] if inside else [col(text).cast("string").alias("text")]))
     kind = own.drop("text").withColumn("score", F.lit(0.0)).schema
-    return own.mapInArrow(_scored(spark.sparkContext.broadcast(model)), kind)
+    return own.mapInArrow(_scored(spark.sparkContext.broadcast(model), text if inside else None), kind)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -197,6 +207,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that are predicted 0; their columns as they were."""
-    row = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), col("text").cast("string").alias("text"))
-    scored = score_texts(row, train(docs, labels), keep=("row",)).where(F.col("score") >= THRESHOLD)
+    rows = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"))
+    scored = score_texts(rows, train(docs, labels), keep=("row",)).where(F.col("score") >= THRESHOLD)
     return scored.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -17,7 +17,7 @@ from clanmark.llm.words import IS_BLANK, buffers, gathered
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 #: Kept between batches by a Python worker; beyond it, the cache starts anew.
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 150_000
 #: Stands between chunks that are encoded in one call; a chunk that holds it is encoded alone.
 MARK = "\x01"
 
@@ -77,9 +77,9 @@ class ChunkEncoder:
         for x, ids in zip(alone, self._ids(alone), strict=True):
             self.known[x] = ids.tobytes()
         rest = [x for x in missing if MARK not in x]
-        groups = [rest[i : i + 2000] for i in range(0, len(rest), 2000)]
-        joined = self._ids([f" {MARK} ".join(group) for group in groups])
-        for group, ids in zip(groups, joined, strict=True):
+        for first in range(0, len(rest), 2000):  # an encoding takes far more room than its ids
+            group = rest[first : first + 2000]
+            ids = self._ids([f" {MARK} ".join(group)])[0]
             stops = np.append(np.flatnonzero(ids == self.mark[0]), len(ids))
             raw, begin = ids.tobytes(), 0
             for x, stop in zip(group, stops.tolist(), strict=True):
