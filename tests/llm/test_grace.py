@@ -29,7 +29,7 @@ def found(df):
 
 def test_against_brute_force(spark):
     rows = samples.texts()
-    for size in (1, 300, 32 << 20):
+    for size in (300, 32 << 20):
         got = exact_copies(samples.documents(spark, rows, size), bucket_bytes=size)
         assert Counter(map(tuple, found(got).collect())) == Counter(brute(rows))
     kept = got.where("kept").groupBy("text_sha256").count().collect()

@@ -2,7 +2,7 @@ import math
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -26,18 +26,20 @@ class Brute:
         self.lefts = Counter(w for _, w in self.pairs)
         self.d2, self.d1 = (K.discounts(*[sum(c == k for c in x.values()) for k in (1, 2, 3, 4)]) for x in (self.pairs, self.lefts))
         self.n, self.v = sum(self.counts.values()), len(self.counts)
+        self.after = defaultdict(dict)
+        for (v, w), c in self.pairs.items():
+            self.after[v][w] = c
+        self.mass = sum(self.d1[min(c, 3)] for c in self.lefts.values()) / len(self.pairs)
 
     def base(self, w):
         return math.log10((self.counts[w] + 0.5) / (self.n + 0.5 * (self.v + 1)))
 
     def low(self, w):
-        total = len(self.pairs)
-        mass = sum(self.d1[min(c, 3)] for c in self.lefts.values()) / total
         c = self.lefts[w]
-        return (c - self.d1[min(c, 3)]) / total + mass / (self.v + 1)
+        return (c - self.d1[min(c, 3)]) / len(self.pairs) + self.mass / (self.v + 1)
 
     def p(self, w, v):
-        own = {x: c for (a, x), c in self.pairs.items() if a == v}
+        own = self.after.get(v)
         if not own:
             return self.low(w)
         total, mass, c = sum(own.values()), sum(self.d2[min(x, 3)] for x in own.values()), own.get(w, 0)

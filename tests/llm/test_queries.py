@@ -9,7 +9,6 @@ import pytest
 import check
 from clanmark.llm import voting
 from clanmark.llm.base import load, table
-from clanmark.sources.workspace import materialize
 
 from . import test_grace, test_probminhash
 
@@ -36,7 +35,7 @@ def documents(spark):
     return {r.doc_id: r.text for r in table(spark, FOLDER, "documents").collect()}
 
 
-@pytest.mark.parametrize("name", [n for n in BASE.QUERIES if n.split("_")[0] in ("op1", "op3", "op4", "op7", "op8", "op9", "op10")])
+@pytest.mark.parametrize("name", [n for n in BASE.QUERIES if n.split("_")[0] in ("op1", "op7")])
 def test_one_row_per_document(spark, name):
     ids = [r.doc_id for r in BASE.QUERIES[name](spark, FOLDER).select("doc_id").collect()]
     assert sorted(ids) == sorted(documents(spark))
@@ -59,27 +58,25 @@ def test_near_classes(spark):
 
 
 def test_pipeline(spark):
-    """Each stage against a plain version on what the stage before kept; packing has every document whole."""
-    docs, columns = table(spark, FOLDER, "documents"), table(spark, FOLDER, "documents").columns
-    quality, exact, near, packing = (f for _, f in corpus_pipeline.STAGES)
-    good = materialize(quality(spark, docs, FOLDER))
-    scores = voting.quality_scores(docs, table(spark, FOLDER, "labels"))
-    assert {r.doc_id for r in good.collect()} == {r.doc_id for r in scores.where("predicted = 1").collect()}
-    once = materialize(exact(spark, good, FOLDER))
-    rows = [(r.doc_id, r.text) for r in good.collect()]
-    assert {r.doc_id for r in once.collect()} == {r[1] for r in test_grace.brute(rows)}
-    single = materialize(near(spark, once, FOLDER))
-    rows = sorted((r.doc_id, r.text) for r in once.collect())
-    assert {r.doc_id for r in single.collect()} == {min(rows[i][0] for i in g) for g in test_probminhash.brute(rows)}
-    assert good.columns == once.columns == single.columns == columns
-    placed = packing(spark, single, FOLDER).collect()
-    assert {r.doc_id for r in placed} == {r.doc_id for r in single.collect()}
-    ran = corpus_pipeline.run(spark, FOLDER)
-    assert sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in ran.collect()) == sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in placed)
+    """The stages against plain versions: what each keeps, and that packing has every kept document whole."""
+    docs = table(spark, FOLDER, "documents")
+    scores = voting.quality_scores(docs, table(spark, FOLDER, "labels")).where("predicted = 1")
+    texts = documents(spark)
+    good = [(r.doc_id, texts[r.doc_id]) for r in scores.collect()]
+    once = sorted({r[1] for r in test_grace.brute(good)})
+    rows = [(i, texts[i]) for i in once]
+    single = {min(once[k] for k in group) for group in test_probminhash.brute(rows)}
+    placed = corpus_pipeline.run(spark, FOLDER).collect()
+    assert {r.doc_id for r in placed} == single
+    for i in single:
+        pieces = sorted((r.piece, r.start, r.length) for r in placed if r.doc_id == i)
+        assert all(a[1] + a[2] == b[1] for a, b in zip(pieces, pieces[1:]))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(3), FOLDER).columns == docs.columns
 
 
 def test_pipeline_of_an_empty_table(spark):
     docs = table(spark, FOLDER, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
-        docs = materialize(stage(spark, docs, FOLDER))
-    assert docs.count() == 0
+        docs = stage(spark, docs, FOLDER)
+        assert docs.count() == 0
