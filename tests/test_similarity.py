@@ -123,7 +123,7 @@ def test_kernels_work_slice_by_slice(monkeypatch, two_sides):
     sims = X.cosines(matrix)
     expected = {(i, j) for i, j in X.pairs_over(sims, 0.8) if not two_sides or sides[i] != sides[j]}
     table = unit_table(matrix, sides)
-    pairs = S._pairs_kernel(0.8, False, True)(table).to_pydict()
+    pairs = pa.Table.from_batches(S._pairs_kernel(0.8, False, True)(iter(table.to_batches()))).to_pydict()
     assert set(zip(pairs["a"], pairs["b"])) == expected and len(pairs["a"]) == len(expected)
     forest = S._forest_kernel(0.8)(table).to_pydict()
     assert len(forest["a"]) < n
