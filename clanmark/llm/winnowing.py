@@ -1,11 +1,13 @@
 """Line deduplication by winnowing: runs of lines that occur earlier in the corpus are deleted.
 
-The hash of every line is taken.  A window is a run of lines that just reaches ``min_words`` words; its
-fingerprint is the line of least hash in it, so two equal runs of ``min_words`` words always have a
-window, and with it a fingerprint, in common.  Fingerprints that occur once can't lie in a repeated
-run and drop out.  The positions of the others are joined with the windows around them, which extend
-each match line by line to both sides; of equal windows the first one stays, and the lines of later
-ones are deleted.
+The hash of every line is taken.  A window is a run of lines that just reaches ``min_words`` words,
+from its first line on or from its last line back; its fingerprint is the line of least hash in it, so
+two equal runs of ``min_words`` words always have a window, and with it a fingerprint, in common.
+Fingerprints that occur once can't lie in a repeated run and drop out.  Of equal windows the first one
+stays, and the lines of later ones are deleted.
+
+This deletes every match at its full extent: a line of a repeated run lies in the window that ends with
+it if the run has ``min_words`` words up to there, and else in the window that starts with the run.
 """
 
 from __future__ import annotations
@@ -62,15 +64,25 @@ def lines_of(at: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> np.ndar
 def windows(hashes: np.ndarray, counts: np.ndarray, lines: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
     """First and last line, place of the least hash, that hash, and two hashes of each window.
 
-    A window starts at every line with words from which its text still has ``min_words`` words.
-    Blank lines lie inside windows but neither start nor end one.
+    A window starts at every line with words from which its text still has ``min_words`` words, and one
+    ends at every line with words up to which it has as many.  Blank lines lie inside windows but
+    neither start nor end one; a line that is a window by itself is one with the line with words before
+    it too, so that blank lines between them are inside.
     """
     n = len(hashes)
     total = np.concatenate([[0], np.cumsum(counts)])
-    stop = np.repeat(lines[1:], np.diff(lines))
-    last = np.searchsorted(total, total[:-1] + min_words) - 1
-    first = np.flatnonzero((last < stop) & (counts > 0))
-    last = last[first]
+    begin, stop = (np.repeat(x, np.diff(lines)) for x in (lines[:-1], lines[1:]))
+    reach = np.searchsorted(total, total[:-1] + min_words) - 1
+    first = np.flatnonzero((reach < stop) & (counts > 0))
+    back = np.searchsorted(total, total[1:] - min_words, "right") - 1
+    ends = np.flatnonzero((back >= begin) & (counts > 0))
+    ends = ends[reach[back[ends]] != ends]  # the others are windows already
+    before = np.maximum.accumulate(np.where(counts > 0, np.arange(n), -1))
+    before = np.concatenate([[-1], before[:-1]]) if n else before
+    apart = np.flatnonzero((counts >= min_words) & (before >= begin))
+    apart = apart[reach[before[apart]] != apart]
+    last = np.concatenate([reach[first], ends, apart])
+    first = np.concatenate([first, back[ends], before[apart]])
     order = np.where(counts > 0, mixed(hashes ^ np.uint64(1)), np.uint64((1 << 64) - 1))
     least, length = first.copy(), last - first
     for step in range(1, int(length.max(initial=0)) + 1):
