@@ -1,8 +1,10 @@
-"""Interpolated modified Kneser-Ney bigram model: counted by Spark, kept as sorted arrays, memory-mapped.
+"""Interpolated modified Kneser-Ney model: counted by Spark, kept as sorted arrays, memory-mapped.
 
 Words are 64-bit hashes.  A word's id is its place in the sorted array of all hashes, which is cut
 into shards by leading bits; a bigram is the pair of ids as one 64-bit number, kept in the shard of
-its context.  Tasks write the shards as files into the shared folder of ``spark.checkpoint.dir``, and
+its context.  Longer n-grams, up to the model's order, are hashes of their ids in the shard of their
+context's hash; below the highest order, an n-gram counts the words that stand before it, or keeps its
+count if it starts with a beginning of a text.  Tasks write the shards as files into the shared folder of ``spark.checkpoint.dir``, and
 the tasks that score documents map those files: no model is copied to executors or the driver.
 """
 
@@ -25,9 +27,13 @@ from clanmark.llm.base import col, strings
 from clanmark.llm.words import byte_slices, mixed, word_hashes
 from clanmark.sources.workspace import fresh_path
 
+#: Words of the longest n-grams of the registered query.
+ORDER = 3
 #: The token after the last word of every text.
 END = np.uint64(0x5BD1E9955BD1E995)
 SLICE_BYTES = 12 << 20
+#: Texts whose longer n-grams a task counts or scores at once.
+GRAM_BYTES = 4 << 20
 #: A context with more than this part of a shard's tokens is hot: its bigrams are dealt over all shards.
 HOT = 0.25
 _LOW = np.uint64(0xFFFFFFFF)
@@ -170,6 +176,119 @@ def _pairs(words: Words, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nd
     return context, own, counts[place], offsets
 
 
+def _grams(words: Words, context: np.ndarray, own: np.ndarray, offsets: np.ndarray, order: int) -> list[np.ndarray]:
+    """Of every token: its id and those of the ``order`` - 1 tokens before it, the last first."""
+    begin = np.repeat(offsets[:-1], np.diff(offsets))
+    place = np.arange(len(own)) - begin
+    found = [own, context]
+    for back in range(2, order):
+        found.append(np.where(place >= back, own[np.maximum(np.arange(len(own)) - back, 0)], words.size))
+    return found
+
+
+def _gram_keys(words: Words, hot: np.ndarray, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each n-gram and of its context, the n-gram's shard, and whether that isn't its context's.
+
+    A context of hot words and beginnings alone may be hot itself: its n-grams are dealt by their hash.
+    """
+    head = np.full(len(grams[0]), len(grams), dtype=np.uint64)
+    dealt = np.ones(len(head), dtype=bool)
+    for ids in grams[1:]:
+        head = mixed(head * np.uint64(0x9E3779B97F4A7C15) + ids.astype(np.uint64))
+        dealt &= (ids >= words.size) | np.isin(ids, hot)
+    keys = mixed(head * np.uint64(0x9E3779B97F4A7C15) + grams[0].astype(np.uint64))
+    return keys, head, (np.where(dealt, keys, head) % np.uint64(1 << words.bits)).astype(np.int64), dealt
+
+
+def _columns(ids: np.ndarray) -> list[np.ndarray]:
+    return [ids[:, i].astype(np.int64) for i in range(ids.shape[1])]
+
+
+def _gram_blobs(words: Words, hot: np.ndarray, grams: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
+    """N-grams as ids of 32 bits, the last word first, by shard; two of them are the key of a bigram."""
+    if len(grams) > 2:
+        home = _gram_keys(words, hot, grams)[2]
+    else:
+        home = _home(words, hot, grams[1], grams[1].astype(np.uint64) << np.uint64(32) | grams[0].astype(np.uint64))
+    order = np.argsort(home, kind="stable")
+    ids = np.stack([g[order].astype("<u4") for g in grams], 1)
+    counts = counts[order].astype("<u4")
+    edges = np.searchsorted(home[order], np.arange((1 << words.bits) + 1))
+    full = np.flatnonzero(np.diff(edges)).tolist()
+    return _blobs(full, [ids[edges[s] : edges[s + 1]] for s in full], [counts[edges[s] : edges[s + 1]] for s in full])
+
+
+def _count_grams(words: Words, hot: np.ndarray, order: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in byte_slices(strings(batch.column("text")), GRAM_BYTES):
+                context, own, _, offsets = _pairs(words, texts)
+                grams = _grams(words, context, own, offsets, order)
+                _, at, counts = np.unique(_gram_keys(words, hot, grams)[0], return_index=True, return_counts=True)
+                yield _gram_blobs(words, hot, [g[at] for g in grams], counts)
+
+    return run
+
+
+def _context_stats(heads: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct contexts, sorted, and of each: the sum of counts, and how many are 1, 2, and 3 or more."""
+    known, place = np.unique(heads, return_inverse=True)
+    kind = _classes(counts)
+    stats = [np.bincount(place, weights=counts, minlength=len(known))]
+    stats += [np.bincount(place, weights=kind == k, minlength=len(known)) for k in (1, 2, 3)]
+    return known, np.stack(stats, 1).astype("<u4")
+
+
+def _keep_grams(words: Words, hot: np.ndarray, order: int):
+    """A shard of n-grams and its contexts; returned: the shorter n-grams, what is known of contexts that
+    may be hot (numbers from -1 - shards down), and counts of counts (numbers from -1 down)."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        shard, shards = key[0].as_py(), 1 << words.bits
+        ids, counts = _joined(group, "<u4")
+        ids = ids.reshape(-1, order)
+        keys, heads, _, dealt = _gram_keys(words, hot, _columns(ids))
+        by = np.argsort(keys)
+        first = np.flatnonzero(np.append(True, np.diff(keys[by]) != 0))
+        counts = np.add.reduceat(counts[by], first)
+        at = by[first]
+        ids, keys, heads, dealt = ids[at], keys[at], heads[at], dealt[at]
+        known, stats = _context_stats(heads[~dealt], counts[~dealt])
+        large = np.flatnonzero(counts > 254)
+        write_arrays(
+            f"{words.folder}/grams{order}-{shard}",
+            keys=keys,
+            counts=np.minimum(counts, 255).astype(np.uint8),
+            large=large.astype("<i8"),
+            large_counts=counts[large],
+            known=known,
+            stats=stats.reshape(-1),
+        )
+        shorter = _columns(ids[:, :-1])
+        blobs = [_gram_blobs(words, hot, shorter, np.where(shorter[-1] >= words.size, counts, 1))]
+        known, stats = _context_stats(heads[dealt], counts[dealt])
+        home = (known % np.uint64(shards)).astype(np.int64)
+        full = np.unique(home).tolist()
+        blobs.append(_blobs([-1 - shards - s for s in full], [known[home == s] for s in full], [stats[home == s] for s in full]))
+        told = np.array([int((counts == k).sum()) for k in (1, 2, 3, 4)], dtype="<i8")
+        blobs.append(_blobs([-1 - shard], [told], [np.zeros(0, "<u4")]))
+        return pa.Table.from_batches(blobs)
+
+    return run
+
+
+def _keep_hot_contexts(words: Words, order: int):
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        shard = -1 - (1 << words.bits) - key[0].as_py()
+        heads, flat = _joined(group, "<u8")
+        known, place = np.unique(heads, return_inverse=True)
+        stats = [np.bincount(place, weights=c, minlength=len(known)) for c in flat.reshape(-1, 4).T]
+        write_arrays(f"{words.folder}/hot{order}-{shard}", known=known, stats=np.stack(stats, 1).reshape(-1).astype("<i8"))
+        return pa.table({"shard": pa.array([shard], pa.int32())})
+
+    return run
+
+
 def _home(words: Words, hot: np.ndarray, context: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """The shard of each bigram: that of its context, or any by hash if the context is hot."""
     n = 1 << words.bits
@@ -267,7 +386,9 @@ class Model:
     left_discounts: np.ndarray
     lefts: int = 0
     left_mass: float = 0.0
-    open: dict[int, tuple] = field(default_factory=dict)
+    hot_words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    gram_discounts: dict[int, np.ndarray] = field(default_factory=dict)  # of each order above 2
+    open: dict = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"open": {}}
@@ -280,6 +401,12 @@ class Model:
             self.open[s] = pairs, lefts
         return self.open[s]
 
+    def file(self, name: str, *kinds: str) -> list[np.ndarray] | None:
+        if name not in self.open:
+            path = f"{self.words.folder}/{name}"
+            self.open[name] = map_arrays(path, *kinds) if os.path.exists(path) else None
+        return self.open[name]
+
     def _unigrams(self, ids: np.ndarray) -> np.ndarray:
         """P(w) from how many contexts a word follows, interpolated with one part of V + 1 for each word
         and for all unknown words together."""
@@ -330,17 +457,55 @@ class Model:
         return np.where(total > 0, (higher + mass * lower) / safe, lower)
 
 
+def _raised(know: Model, grams: list[np.ndarray], lower: np.ndarray) -> np.ndarray:
+    """P(token | the tokens before it) in the order of ``grams``, from that in the order below."""
+    words, order = know.words, len(grams)
+    kinds = know.gram_discounts[order]
+    keys, heads, home, dealt = _gram_keys(words, know.hot_words, grams)
+    known = np.logical_and.reduce([g >= 0 for g in grams[1:]])
+    total, counts, mass = np.zeros(len(keys)), np.zeros(len(keys), np.int64), np.zeros(len(keys))
+
+    def contexts(at: np.ndarray, held: np.ndarray, stats: np.ndarray) -> None:
+        place = np.minimum(np.searchsorted(held, heads[at]), len(held) - 1)
+        hit = held[place] == heads[at]
+        rows = stats.reshape(-1, 4)[place[hit]]
+        total[at[hit]], mass[at[hit]] = rows[:, 0], rows[:, 1:] @ kinds[1:]
+
+    for s, at in know._by_shard(home, known):
+        if (held := know.file(f"grams{order}-{s}", "<u8", "u1", "<i8", "<i8", "<u8", "<u4")) is None:
+            continue
+        found, small, large, large_counts, firsts, stats = held
+        place = np.minimum(np.searchsorted(found, keys[at]), len(found) - 1)
+        times = np.where((found[place] == keys[at]) & (grams[0][at] >= 0), small[place], 0).astype(np.int64)
+        over = np.flatnonzero(times == 255)
+        times[over] = large_counts[np.searchsorted(large, place[over])]
+        counts[at] = times
+        plain = at[~dealt[at]]
+        if len(firsts) and len(plain):
+            contexts(plain, firsts, stats)
+    for s, at in know._by_shard((heads % np.uint64(1 << words.bits)).astype(np.int64), known & dealt):
+        if (held := know.file(f"hot{order}-{s}", "<u8", "<i8")) is not None:
+            contexts(at, *held)
+    higher = np.maximum(counts - kinds[_classes(counts)], 0.0)
+    return np.where(total > 0, (higher + mass * lower) / np.where(total > 0, total, 1.0), lower)
+
+
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         know: Model = model.value
         words = know.words
         for batch in batches:
-            for first, texts in byte_slices(strings(batch.column("text")), SLICE_BYTES):
+            for first, texts in byte_slices(strings(batch.column("text")), GRAM_BYTES if know.gram_discounts else SLICE_BYTES):
                 context, own, counts, offsets = _pairs(words, texts)
                 keys = (context + 1).astype(np.uint64) << np.uint64(32) | (own + 1).astype(np.uint64)
                 distinct, place = np.unique(keys, return_inverse=True)
                 pair = (distinct >> np.uint64(32)).astype(np.int64) - 1, (distinct & _LOW).astype(np.int64) - 1
-                logs = np.log10(know.probabilities(*pair))[place]
+                likely = know.probabilities(*pair)[place]
+                if know.gram_discounts:
+                    grams = _grams(words, context, own, offsets, max(know.gram_discounts))
+                    for order in sorted(know.gram_discounts):
+                        likely = _raised(know, grams[:order], likely)
+                logs = np.log10(likely)
                 base = np.log10((counts + 0.5) / (words.total + 0.5 * (words.size + 1)))
                 sums = [np.add.reduceat(x, offsets[:-1]) for x in (base, logs, (counts > 0).astype(np.int64))]
                 columns = [
@@ -357,8 +522,10 @@ def _score(model):
     return run
 
 
-def train(texts: DataFrame) -> Model:
-    """The model of all rows of (text); three passes over them.
+def train(texts: DataFrame, order: int = 2) -> Model:
+    """The model of all rows of (text), of n-grams of up to ``order`` words (2 at least).
+
+    Two passes over the rows; each shorter n-gram is counted from the n-grams a word longer.
 
     Shards grow in number with the partitions of the input.  The driver gets a row per shard, and a row
     per shard and hot context; contexts are hot by their share, so their number is bounded by shards.
@@ -377,7 +544,22 @@ def train(texts: DataFrame) -> Model:
         raise ValueError("more than 2**32 words")
     hot = _hot_words(words, [r.shard for r in kept if r.most > HOT * words.total / (1 << bits)])
 
-    told = texts.mapInArrow(_count_pairs(words, hot), blobs).groupBy("shard").applyInArrow(_keep_pairs(words, hot), blobs)
+    if order < 2:
+        raise ValueError("the order must be 2 at least")
+    gram_discounts = {}
+    grams = texts.mapInArrow(_count_grams(words, hot, order) if order > 2 else _count_pairs(words, hot), blobs)
+    for n in range(order, 2, -1):
+        path = fresh_path(spark, f"grams{n}")
+        grams.groupBy("shard").applyInArrow(_keep_grams(words, hot, n), blobs).write.parquet(path)
+        kept = spark.read.schema(blobs).parquet(path)
+        seen = np.zeros(4, dtype=np.int64)
+        for row in kept.where((F.col("shard") < 0) & (F.col("shard") >= -(1 << bits))).select("keys").collect():
+            seen += np.frombuffer(row["keys"], "<i8")
+        gram_discounts[n] = discounts(*seen.tolist())
+        hot_contexts = kept.where(F.col("shard") < -(1 << bits)).groupBy("shard")
+        hot_contexts.applyInArrow(_keep_hot_contexts(words, n), "shard int").count()
+        grams = kept.where("shard >= 0")
+    told = grams.groupBy("shard").applyInArrow(_keep_pairs(words, hot), blobs)
     path = fresh_path(spark, "lefts")
     told.write.parquet(path)
     told = spark.read.schema(blobs).parquet(path)
@@ -395,7 +577,7 @@ def train(texts: DataFrame) -> Model:
     more, pairs = sum(r.more for r in rows), int(found[4])
     own = discounts(*n)
     mass = float(np.dot(own[1:], [n[0], n[1], more])) / pairs if pairs else 1.0
-    return Model(words, spread, discounts(*found[:4].tolist()), own, pairs, mass)
+    return Model(words, spread, discounts(*found[:4].tolist()), own, pairs, mass, hot, gram_discounts)
 
 
 def _hot_words(words: Words, shards: list[int]) -> np.ndarray:
@@ -422,12 +604,12 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text", keep: tuple[s
     return own.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), kind)
 
 
-def corpus_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def corpus_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", order: int = 2) -> DataFrame:
     """Every document scored by a model of those that are not held out (all null ids are trained on).
 
     An empty training set knows no word: every token then has the probability of an unknown one.
     """
     own = docs.select(col(doc_id).cast("long").alias("doc_id"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text"))
-    model = train(own.where(~held_out(F.col("doc_id"))).select("text"))
+    model = train(own.where(~held_out(F.col("doc_id"))).select("text"), order)
     scored = score_texts(own, model)
     return scored.withColumn("held_out", held_out(F.col("doc_id")))

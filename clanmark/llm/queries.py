@@ -49,7 +49,7 @@ def op3_neighbour_voting(spark, folder):
 
 @query("op4_kneser_ney")
 def op4_kneser_ney(spark, folder):
-    scored = kneser_ney.corpus_scores(table(spark, folder, "documents"))
+    scored = kneser_ney.corpus_scores(table(spark, folder, "documents"), order=kneser_ney.ORDER)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

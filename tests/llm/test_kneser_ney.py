@@ -99,3 +99,47 @@ def test_model_files_need_a_mounted_folder():
     assert K.mounted("file:///a/b") == "/a/b" == K.mounted("/a/b")
     with pytest.raises(ValueError):
         K.mounted("hdfs://host/a")
+
+
+class BruteOrder:
+    """The textbook model of any order, with dictionaries."""
+
+    def __init__(self, texts, order):
+        self.order, self.grams = order, {order: Counter()}
+        for t in texts:
+            run = [*["BEGIN"] * (order - 1), *tokens(t)]
+            self.grams[order].update(tuple(run[i : i + order]) for i in range(len(run) - order + 1))
+        for n in range(order, 1, -1):
+            below = self.grams[n - 1] = Counter()
+            for gram, c in self.grams[n].items():
+                below[gram[1:]] += c if gram[1] == "BEGIN" else 1
+        self.d = {n: K.discounts(*[sum(c == k for c in x.values()) for k in (1, 2, 3, 4)]) for n, x in self.grams.items()}
+        self.after = defaultdict(list)
+        for x in self.grams.values():
+            for gram, c in x.items():
+                self.after[gram[:-1]].append(c)
+
+    def p(self, gram):
+        n, c, own = len(gram), self.grams[len(gram)][gram], self.after[gram[:-1]]
+        lower = self.p(gram[1:]) if n > 1 else 1 / (len(self.grams[1]) + 1)
+        if not own:
+            return lower
+        mass = sum(self.d[n][min(x, 3)] for x in own)
+        return (max(c - self.d[n][min(c, 3)], 0) + mass * lower) / sum(own)
+
+    def score(self, text):
+        run = [*["BEGIN"] * (self.order - 1), *tokens(text)]
+        return sum(math.log10(self.p(tuple(run[i : i + self.order]))) for i in range(len(run) - self.order + 1))
+
+
+def test_higher_orders_against_brute_force(spark):
+    rows = corpus()
+    for order, parts in ((3, 7), (4, 1)):
+        brute = BruteOrder([t for i, t in rows if not held(i)], order)
+        got = K.corpus_scores(samples.documents(spark, rows).repartition(parts), order=order).collect()
+        want = sorted((str(i), len(tokens(t)), brute.score(t)) for i, t in rows)
+        have = sorted((str(r.doc_id), r.n_tokens, r.score) for r in got)
+        assert len(want) == len(have)
+        for a, b in zip(want, have):
+            assert a[:2] == b[:2] and b[2] == pytest.approx(a[2], rel=1e-9)
+    assert K.ORDER >= 3 and K.corpus_scores(samples.empty(spark), order=K.ORDER).count() == 0
