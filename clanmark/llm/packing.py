@@ -42,7 +42,7 @@ def _cut_pieces(path: str, capacity: int, end_id: int, with_ids: bool):
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
             for first, texts in byte_slices(strings(batch.column("text")), SLICE_BYTES):
-                ids, offsets = encoder(path).encode(texts)
+                ids, offsets = encoder(path, special=True).encode(texts)
                 rows, blobs = [], []
                 for i in range(len(texts)):
                     own = np.append(ids[offsets[i] : offsets[i + 1]], end_id).astype("<u4")
@@ -73,6 +73,8 @@ def token_pieces(
 ) -> DataFrame:
     """A row per piece of every document (null text: empty, which is one piece of ``end_id`` alone).
 
+    Exact strings of the tokenizer's special tokens in a text are these tokens.
+
     Columns: uid, doc_id, piece (from 0), start (ids of the document before it), length, ids_crc32,
     and with ``with_ids`` the little-endian unsigned 32-bit ids.
     """

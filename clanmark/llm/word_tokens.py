@@ -2,12 +2,14 @@
 
 The tokenizer lower-cases, drops white space and splits into runs of letters, single digits and runs
 of other characters.  A text is cut where such a boundary is certain from two neighbouring ASCII
-bytes; between two cuts lies a chunk, and the ids of a text are those of its chunks in order.
+bytes; between two cuts lies a chunk, and the ids of a text are those of its chunks in order.  The exact
+string of a special token is a chunk of its own where the encoder is asked for special tokens.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def chunks(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The chunks of all texts without blanks, and where each text's chunks begin."""
+def chunks(column: pa.Array, special: re.Pattern | None = None) -> tuple[pa.Array, np.ndarray]:
+    """The chunks of all texts without blanks, and where each text's chunks begin.
+
+    A match of ``special`` inside a text is one chunk, found before letters are lower-cased.
+    """
     data, offsets = buffers(column)
     n = len(data)
     kind = CLASS[data]
@@ -47,7 +52,13 @@ def chunks(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
         cut |= left == _BLANK
         start[1:] |= cut & solid[1:]
         plain = np.append(data[1:] < 128, True)  # a mark that follows may need the capital letter
-        data = np.where(plain, LOWER[data], data)
+        raw, data = data, np.where(plain, LOWER[data], data)
+        for match in special.finditer(raw) if special else ():
+            low, high = match.span()
+            if not begins[low + 1 : high].any():  # else it begins in one text and ends in another
+                start[low], start[low + 1 : high] = True, False
+                if high < n:
+                    start[high] = solid[high]
     at = np.flatnonzero(start[solid]).astype(np.int32)
     packed = np.ascontiguousarray(data[solid])
     ends = np.append(at, len(packed)).astype(np.int32)
@@ -56,14 +67,22 @@ def chunks(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 class ChunkEncoder:
-    """A tokenizer with its ids of known chunks.  Strings of special tokens are ordinary text."""
+    """A tokenizer with its ids of known chunks.
+
+    With ``special``, exact strings of special tokens are these tokens, as by the library's default;
+    without, they are ordinary text, as with its ``encode_special_tokens``.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # those of ``special`` never reach it
+        added = self.tokenizer.get_added_tokens_decoder().items() if special else ()
+        self.special = {x.content: np.array([i], dtype=np.int32).tobytes() for i, x in added if x.special}
+        longest = sorted(self.special, key=len, reverse=True)
+        self.pattern = re.compile(b"|".join(re.escape(x.encode()) for x in longest)) if longest else None
         self.mark = self._ids([MARK])[0]
         assert len(self.mark) == 1
         self.known: dict[str, bytes] = {}
@@ -73,6 +92,8 @@ class ChunkEncoder:
         return [np.array(x.ids, dtype=np.int32) for x in found]
 
     def _learn(self, missing: list[str]) -> None:
+        self.known.update(self.special)
+        missing = [x for x in missing if x not in self.special]
         alone = [x for x in missing if MARK in x]
         for x, ids in zip(alone, self._ids(alone), strict=True):
             self.known[x] = ids.tobytes()
@@ -88,7 +109,7 @@ class ChunkEncoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and where each text's ids begin."""
-        found, offsets = chunks(column)
+        found, offsets = chunks(column, self.pattern)
         coded = found.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         missing = [x for x in distinct if x not in self.known]
@@ -104,10 +125,10 @@ class ChunkEncoder:
         return ids, np.concatenate([[0], np.cumsum(lengths[codes])])[offsets]
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+def encoder(path: str, special: bool = False) -> ChunkEncoder:
+    if (path, special) not in _encoders:
+        _encoders[path, special] = ChunkEncoder(path, special)
+    return _encoders[path, special]

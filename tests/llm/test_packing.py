@@ -68,3 +68,17 @@ def test_empty(spark):
     assert packing.pack_documents(samples.empty(spark)).count() == 0
     ids = packing.token_pieces(samples.documents(spark, [(1, "a b")]), with_ids=True).first()
     assert len(ids.ids) == 4 * ids.length
+
+
+SPECIAL = ["see <|endoftext|> here", "<|startoftext|>a<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> <|endof", "text|> é<|endoftext|>́x", "A<|endoftext|>"]
+
+
+def test_special_tokens_are_those_of_the_unmodified_library(spark):
+    plain = Tokenizer.from_file(word_tokens.WORD_BPE)
+    texts = SPECIAL + ODD + ["x"]
+    want = [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [862, 49407, 763]
+    ids, at = word_tokens.encoder(word_tokens.WORD_BPE, special=True).encode(pa.array(texts))
+    assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == want
+    rows = packing.token_pieces(samples.documents(spark, list(enumerate(SPECIAL))), with_ids=True).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rows} == {i: [*want[i], 0] for i in range(len(SPECIAL))}
