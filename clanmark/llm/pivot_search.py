@@ -67,7 +67,7 @@ def _table_of(pivots: dict[int, np.ndarray]):
                 at = np.flatnonzero(sizes == dim)
                 own = vectors.take(pa.array(at))
                 rows = own.flatten().to_numpy(zero_copy_only=False).astype("<i8").reshape(len(at), dim)
-                near = _distances(rows, pivots.get(dim, rows[:1])).astype("<f8")
+                near = _distances(rows, pivots.get(dim, rows[:0])).astype("<f8")
                 columns = [
                     ids.take(pa.array(at)),
                     pa.array(np.full(len(at), dim), pa.int32()),
@@ -82,8 +82,8 @@ def _table_of(pivots: dict[int, np.ndarray]):
 def pivot_table(vectors: DataFrame, pivots: int = PIVOTS) -> DataFrame:
     """(vec_id, dim, vec, pivots) of rows (vec_id, vector of whole numbers), written once.
 
-    The driver holds ``pivots`` vectors for each length of vectors; other lengths than that of most
-    rows have a single pivot, the first row that a task sees, of no use and no harm.
+    The driver holds ``pivots`` vectors of the length of most rows; other lengths have no pivots, and
+    the lengths of the vectors alone bound their products.
     """
     usual = vectors.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     chosen = {}

@@ -41,3 +41,16 @@ def test_scaled_leaves_out_what_is_not_finite(spark):
     rows = [([0.5, -0.25, 1e-9],), ([float("nan"), 1.0],), ([float("inf")],), ([None, 1.0],), (None,), ([],)]
     df = spark.createDataFrame(rows, "v array<float>").select(scaled("v").alias("s"))
     assert [r.s for r in df.collect()] == [[512, -256, 0], None, None, None, None, []]
+
+
+def test_other_lengths_with_more_rows_than_k(spark):
+    draw = random.Random(8)
+    rows = [(i, [draw.randint(-9, 9) for _ in range(6)]) for i in range(200)]
+    rows += [(1000 + i, [draw.choice((-1000, 1000)), draw.randint(-3, 3)]) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>").repartition(4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)
+    try:
+        got = top_inner_products(df, F.col("vec_id") % 20 == 0, 5, pivots=4)
+        assert sorted(map(tuple, got.collect())) == brute(rows, 5, 20)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
