@@ -175,16 +175,17 @@ def _search(queries, k: int):
 
 
 def _blocks(asked: DataFrame, query_bytes: int) -> Iterator[dict[int, tuple]]:
-    """The queries in parts of about ``query_bytes``; the driver has one part at a time."""
+    """The queries in parts of about ``query_bytes``, one query at least; the driver has one part at a time."""
     size = F.sum(F.octet_length("vec") + F.octet_length("pivots") + 64)
-    total = asked.agg(size.alias("bytes")).first().bytes or 0
-    parts = -(-total // query_bytes)
+    facts = asked.agg(size.alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+    parts = min(-(-(facts["bytes"] or 0) // query_bytes), facts["n"])
     for part in range(parts):
         own = asked if parts == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part)
         held: dict[int, list] = {}
         for row in own.collect():
             held.setdefault(row.dim, []).append(row)
-        yield _arrays(held)
+        if held:
+            yield _arrays(held)
 
 
 def _arrays(held: dict[int, list]) -> dict[int, tuple]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from clanmark.llm import kneser_ney, piece_bpe, reply_trees, voting
+from clanmark.llm import backoff_language, code_negatives, kneser_ney, piece_bpe, reply_trees, threshold_centroids, voting
 from clanmark.llm.base import query, table
 from clanmark.llm.grace import exact_copies
 from clanmark.llm.packing import pack_documents
@@ -116,6 +116,67 @@ def op10_grace_dedup(spark, folder):
     return exact_copies(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def _rounds_sql(rounds: int) -> str:
+    """The rounds of ``op12`` one after the other; a0 holds the rows of the first centroids."""
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""d{n} AS MATERIALIZED (SELECT v.row, c.number, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS distance
+    FROM u v JOIN c{n} c ON v.i = c.i GROUP BY ALL),
+a{n} AS MATERIALIZED (SELECT row, number, distance FROM
+    (SELECT *, row_number() OVER (PARTITION BY row ORDER BY distance, number) AS place FROM d{n}) WHERE place = 1)""")
+        if n < rounds:
+            steps.append(f"""m{n} AS (SELECT number, i, sum(x) AS s, count(*) AS n FROM u JOIN a{n} USING (row) GROUP BY ALL),
+c{n + 1} AS MATERIALIZED (SELECT c.number, c.i, coalesce((s - (s % n + n) % n) // n, c.x)::BIGINT AS x
+    FROM c{n} c LEFT JOIN m{n} m ON c.number = m.number AND c.i = m.i)""")
+    return ",\n".join(steps)
+
+
+@query(
+    "op11_code_negatives",
+    """
+WITH e AS (SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT vec_id, label, len(v) AS n, unnest(v) AS x, unnest(range(len(v))) AS i FROM e),
+s AS (SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS same, sum(q.x * c.x)::BIGINT AS score
+    FROM u q JOIN u c ON q.i = c.i AND q.n = c.n WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id GROUP BY ALL),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT anchor_id, positive_id, s.vec_id AS negative_id, positive_score, s.score AS negative_score,
+        row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+    FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+""",
+)
+def op11_code_negatives(spark, folder):
+    return code_negatives.mined(table(spark, folder, "embeddings"))
+
+
+@query(
+    "op12_threshold_centroids",
+    f"""
+WITH e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS row, vec_id,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS MATERIALIZED (SELECT row, unnest(v) AS x, unnest(range(64)) AS i FROM e),
+f AS (SELECT v, row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR), v) - 1 AS number FROM e WHERE vec_id IS NOT NULL),
+c0 AS MATERIALIZED (SELECT number, unnest(v) AS x, unnest(range(64)) AS i FROM f WHERE number < 40),
+{_rounds_sql(5)},
+h AS (SELECT number, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c5 GROUP BY number)
+SELECT vec_id, number::INTEGER AS cluster, distance, sum(distance) OVER (PARTITION BY number)::BIGINT AS cluster_inertia,
+    sum(distance) OVER ()::BIGINT AS inertia, centroid_sha256
+FROM a5 JOIN e USING (row) JOIN h USING (number)
+""",
+)
+def op12_threshold_centroids(spark, folder):
+    return threshold_centroids.clusters(table(spark, folder, "embeddings"))
+
+
+@query("op13_backoff_language")
+def op13_backoff_language(spark, folder):
+    return backoff_language.languages(table(spark, folder, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)

@@ -28,7 +28,7 @@ def test_sql(spark, con, name):
 
 
 def test_names():
-    assert {f"op{n}" for n in range(1, 11)} | {"pipeline"} == {name.split("_")[0] for name in BASE.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} | {"pipeline"} == {name.split("_")[0] for name in BASE.QUERIES}
 
 
 def documents(spark):
