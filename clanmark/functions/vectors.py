@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clanmark.functions.sums import vector_sums
+
 ColumnLike = Column | str
 
 
@@ -105,15 +107,9 @@ def of_length(vector: str, dim: int) -> Column:
     return F.when(F.size(vector) == dim, F.col(vector))
 
 
-def element_sums(vector: str, dim: int) -> list[Column]:
-    """One sum per dimension over the vectors of that length, named ``_s0``, ``_s1``, …"""
-    return [F.expr(f"sum(if(size(`{vector}`) = {dim}, get(`{vector}`, {i}), NULL)) AS _s{i}") for i in range(dim)]
-
-
-def gathered_sums(dim: int, divisor: str | None = None) -> Column:
-    """The sums as one vector, divided by a count column if given."""
-    parts = [f"try_divide(_s{i}, `{divisor}`)" if divisor else f"_s{i}" for i in range(dim)]
-    return F.expr(f"CAST(array({', '.join(parts)}) AS array<double>)")
+def divided(vector: ColumnLike, count: str) -> Column:
+    """Every element divided by a count column; nulls where that is 0."""
+    return F.zip_with(_col(vector), F.array_repeat(F.col(count), F.size(_col(vector))), lambda x, n: F.try_divide(x, n))
 
 
 def mean_vectors(
@@ -122,14 +118,11 @@ def mean_vectors(
     """Element-wise mean of ``vector`` per key, with the row count as ``size``.
 
     The mean is that of the vectors of ``dim`` elements (by default the usual length of the
-    table); other rows count in ``size`` only.  One sum per dimension: the buffer is ``dim`` doubles, rows are combined before the
-    shuffle and a hot key costs one buffer per map task.
+    table); other rows count in ``size`` only, and a key without such a vector has a mean of nulls.
     """
     dim = dimension_of(df, vector) if dim is None else dim
-    grouped = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("size"), F.count(of_length(vector, dim)).alias("_n"), *element_sums(vector, dim)
-    )
-    return grouped.select(*keys, "size", gathered_sums(dim, "_n").alias(out))
+    counts = {"size": F.lit(1).cast("long"), "_n": F.when(F.size(vector) == dim, 1).otherwise(0).cast("long")}
+    return vector_sums(df, keys, vector, dim, counts).select(*keys, "size", divided("_sum", "_n").alias(out))
 
 
 def unit_centroids(
@@ -157,8 +150,6 @@ def mean_of_variants(
     usable = df.where(of_length(vector, dim).isNotNull())
     if limit is not None:
         usable = usable.where(base | (F.col(variant) < limit))
-    usable = usable.select(item, vector, F.when(base, F.lit(1)).alias("_base"))
-    grouped = usable.groupBy(item).agg(
-        F.count(F.lit(1)).alias("n_vectors"), F.count("_base").alias("_base"), *element_sums(vector, dim)
-    ).where("_base > 0")
-    return grouped.select(item, "n_vectors", gathered_sums(dim, "n_vectors").alias("centroid"))
+    counts = {"n_vectors": F.lit(1).cast("long"), "_base": F.when(base, 1).otherwise(0).cast("long")}
+    sums = vector_sums(usable, [item], vector, dim, counts).where("_base > 0")
+    return sums.select(item, "n_vectors", divided("_sum", "n_vectors").alias("centroid"))

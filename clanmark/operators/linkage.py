@@ -25,10 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clanmark.functions.sums import vector_sums
 from clanmark.functions.vectors import (
     dimension_of,
-    element_sums,
-    gathered_sums,
     is_finite,
     l2_normalize,
     norm,
@@ -125,8 +124,8 @@ def _large_components(df: DataFrame, key: str, limit: float, layout_options: dic
         before = (members, state, merges)
         members = materialize(members.join(merges, "cluster", "left").select(key, target), "linkage")
         moved = state.join(merges, "cluster", "left").select(target, "total", "n")
-        grouped = moved.groupBy("cluster").agg(F.sum("n").alias("n"), *element_sums("total", dim))
-        state = materialize(grouped.select("cluster", gathered_sums(dim).alias("total"), "n"), "linkage")
+        sums = vector_sums(moved, ["cluster"], "total", dim, {"n": F.col("n")})
+        state = materialize(sums.select("cluster", F.col("_sum").alias("total"), "n"), "linkage")
         release(*before)
 
 

@@ -101,6 +101,19 @@ def unit_centroid(spark, d):
     return exploded.select("label", (F.col("p") + 1).alias("pos"), "value")
 
 
+@query(
+    "vector_mean_wide",
+    f"""SELECT label::BIGINT AS label, n AS size, k AS pos, round(c[(k - 1) % 64 + 1] * ((k - 1) // 64 + 1), 6) AS value
+FROM (SELECT label, count(*) AS n, {mean_of('v')} AS c FROM e GROUP BY label), range(1, 1025) t(k)""",
+)
+def vector_mean_wide(spark, d):
+    """Means of vectors of 1 024 elements, the longest a profile may have: 16 multiples of each embedding."""
+    wide = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(16)), lambda n: F.transform("vector", lambda x: x * n)))
+    means = V.mean_vectors(I.embeddings(spark, d).withColumn("vector", wide), ["label"], "vector", 1024)
+    exploded = means.select("label", "size", F.posexplode("centroid").alias("p", "value"))
+    return exploded.select("label", "size", (F.col("p") + 1).alias("pos"), "value")
+
+
 define(
     "ragged_e",
     """SELECT i, label, CASE WHEN len(v) = 64 THEN v END AS v FROM (SELECT i, label,
