@@ -332,10 +332,10 @@ def _one_length(df: DataFrame, vector: str, dim: int) -> DataFrame:
 
 def _one_table(
     df: DataFrame, key: str, vector: str, threshold: float, forest: bool = False,
-    unit_rows_limit: int | None = None, pivots: int | None = None,
+    unit_rows_limit: int | None = None, pivots: int | None = None, dim: int | None = None,
 ) -> tuple[DataFrame, Layout, DataFrame]:
-    """(table, layout, rows spread over the units) of a self-join."""
-    df = _one_length(df, vector, dimension_of(df, vector))
+    """(table, layout, rows spread over the units) of a self-join; ``dim`` saves a look at all lengths."""
+    df = _one_length(df, vector, dimension_of(df, vector) if dim is None else dim)
     df, layout = _place(df, key, vector, threshold, unit_rows_limit, pivots, forest)
     layout = _visited(df, vector, layout, True)
     return df, layout, _spread(df, key, vector, layout, as_home=True, one_table=True)

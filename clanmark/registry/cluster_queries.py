@@ -52,15 +52,22 @@ def labels85(spark, d):
     return materialize(labelled.select(*slim), "labels")
 
 
-@query(
-    "merge_pairs_greedy",
-    """SELECT detection_id, label, coalesce(s.a, label) AS merged FROM lab85 LEFT JOIN scan s ON s.b = label""",
-)
+MERGED = "SELECT detection_id, label, coalesce(s.a, label) AS merged FROM lab85 LEFT JOIN scan s ON s.b = label"
+
+
+@query("merge_pairs_greedy", MERGED)
 def merge_pairs(spark, d):
     merged = merge_pairs_greedy(labels85(spark, d), "label", "unit", 0.75)
     return merged.select("detection_id", "label", "merged")
 
 
+@query("merge_pairs_greedy_rounds", MERGED)
+def merge_pairs_rounds(spark, d):
+    """The same where components of more than one candidate are too large for one scan, and vectors for one unit."""
+    merged = merge_pairs_greedy(labels85(spark, d), "label", "unit", 0.75, scan_edges=1, unit_rows_limit=32)
+    return merged.select("detection_id", "label", "merged")
+
+
 @query(
     "dbscan",
     """SELECT id AS detection_id, CASE WHEN count(*) OVER (PARTITION BY component) > 1 THEN component END AS cluster FROM comp75""",

@@ -6,6 +6,7 @@ import pytest
 from clanmark.operators import components as C
 from clanmark.operators.density import dbscan
 from clanmark.operators.linkage import agglomerative_average, average_merge
+from clanmark.operators import matching
 from clanmark.operators.matching import greedy_matching, merge_pairs_greedy
 from tests import samples as X
 
@@ -81,6 +82,48 @@ def test_greedy_matching_equals_the_scan(spark, limit):
     assert len(found) > 10
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_large_components_of_all_shapes(spark, seed):
+    """Random graphs, cliques, stars, chains up and down, all too large to be scanned at once."""
+    rng = random.Random(seed)
+    edges = {tuple(sorted(rng.sample(range(60), 2))) for _ in range((40, 80, 200, 500)[seed])}
+    edges |= {(100 + i, 100 + j) for i in range(14) for j in range(i + 1, 14)}  # a clique
+    edges |= {(200, 200 + i) for i in range(1, 30)} | {(300 + i, 330) for i in range(30)}  # stars
+    edges |= {(400 + i, 401 + i) for i in range(40)} | {(100, 200), (113, 300), (414, 414 + 50)}
+    names = list(range(1000))
+    if seed % 2:
+        rng.shuffle(names)
+    edges = {tuple(sorted((names[a], names[b]))) for a, b in edges}
+    found = greedy_matching(edge_frame(spark, edges), 5 + 20 * seed).collect()
+    assert sorted((r.a, r.b) for r in found) == X.greedy(edges)
+
+
+def test_steps_of_long_chains_grow_by_a_constant(spark, monkeypatch):
+    steps, tables = [], []
+    real = matching.materialize
+    monkeypatch.setattr(matching, "materialize", lambda df, label="stage": tables.append(label) or real(df, label))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        for n in (100, 1000, 10_000):
+            tables.clear()
+            frame = spark.range(n).selectExpr("id AS a", "id + 1 AS b").repartition(3)
+            found = greedy_matching(frame, 50)
+            assert found.count() == n // 2 and found.where("a % 2 = 1").isEmpty()
+            steps.append(len(tables))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert steps[2] - steps[1] <= steps[1] - steps[0] + 1 <= 8
+
+
+def test_a_dense_component_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    real = matching.connected_components
+    monkeypatch.setattr(matching, "connected_components", lambda *a: rounds.append(1) or real(*a))
+    edges = {(i, j) for i in range(90) for j in range(i + 1, 90)}
+    found = greedy_matching(edge_frame(spark, edges), 700).collect()
+    assert sorted((r.a, r.b) for r in found) == X.greedy(edges) and len(rounds) <= 4
+
+
 def test_chain_leaves_the_third_cluster_alone(spark):
     found = greedy_matching(edge_frame(spark, [(1, 2), (2, 3)])).collect()
     assert [(r.a, r.b) for r in found] == [(1, 2)]
