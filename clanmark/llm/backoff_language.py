@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ UNKNOWN = "und"
 #: Letters of a word at most, and characters of the longest n-gram (one blank stands at either end of a word).
 LONGEST, ORDER = 32, 5
 #: Words, and n-grams of each length, that a model has at most.
-WORDS, GRAMS = 1 << 16, 1 << 16
+WORDS, GRAMS = 1 << 16, 1 << 15
 #: Scores that a model has at most of words and of n-grams of each length: fewer of them with very many languages.
 CELLS, LANGUAGES = 1 << 21, 512
 #: Classes of shares in a factor of two; whole classes are in the model or not.
@@ -139,11 +140,12 @@ def gram_counts(words: DataFrame, order: int) -> DataFrame:
     """(kind, lang, word, n): n-grams of 1 to ``order`` characters (the kind) of all words, each as often as the words that hold it."""
 
     def cut(n: int) -> Column:
-        padded = F.concat(F.lit(" "), "word", F.lit(" ")) if n > 1 else F.col("word")
+        padded = F.col("_padded" if n > 1 else "word")
         starts = F.sequence(F.lit(1), F.length("word") + (3 - n if n > 1 else 0))
         grams = F.transform(starts, lambda at: F.struct(F.lit(n).alias("kind"), F.substr(padded, at, F.lit(n)).alias("word")))
         return grams if n <= 3 else F.when(F.length("word") + 3 > n, grams).otherwise(F.slice(grams, 1, 0))
 
+    words = words.withColumn("_padded", F.concat(F.lit(" "), "word", F.lit(" ")))
     grams = words.select("lang", F.explode(F.concat(*[cut(n) for n in range(1, order + 1)])).alias("g"), "n")
     return grams.groupBy("g.kind", "lang", "g.word").agg(F.sum("n").alias("n"))
 
@@ -182,18 +184,19 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", words: int =
     learned = counts.where(F.col("lang").isin(languages)) if len(languages) == LANGUAGES else counts
     both = learned.select(F.lit(0).alias("kind"), "lang", "word", "n").unionByName(gram_counts(learned, order))
     both = materialize(both, "grams")
-    rows = _known(both, languages, [words, *[grams] * order]).toPandas()
-    release(counts, both)
+    known = materialize(_known(both, languages, [words, *[grams] * order]), "known")
     places, scores = [], []
     for kind in range(order + 1):
-        own = rows[rows["kind"] == kind]
-        names = sorted(set(own["word"]))
-        places.append({word: k for k, word in enumerate(names)})
-        share = np.zeros((len(names), len(languages)))
-        share[own["word"].map(places[-1]).astype(int), own["lang"].map(languages.index).astype(int)] = own["share"]
+        own = known.where(F.col("kind") == kind).select("word", "lang", "share").toArrow()
+        column = own.column("word").combine_chunks().dictionary_encode()
+        place, lang = np.asarray(column.indices), pc.index_in(own.column("lang"), pa.array(languages, pa.string())).to_numpy()
+        share = np.zeros((len(column.dictionary), len(languages)))
+        share[place, lang] = own.column("share").to_numpy()
+        places.append({word: k for k, word in enumerate(column.dictionary.to_pylist())})
         least = share[share > 0].min(initial=1.0)
         logs = np.where(share > 0, np.log10(np.where(share > 0, share, 1.0)), np.log10(least) - PENALTY)
         scores.append(logs.astype(np.float32))
+    release(counts, both, known)
     return Model(languages, places, scores)
 
 
