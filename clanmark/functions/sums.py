@@ -19,20 +19,24 @@ from pyspark.sql import functions as F
 HELD = 4_000_000
 
 
-def _codes(table: pa.Table, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The number of each row's group, and a row of each group; nulls are one group, numbers go by first rows."""
-    codes = np.zeros(table.num_rows, dtype=np.int64)
-    for key in keys:
-        encoded = table.column(key).combine_chunks().dictionary_encode(null_encoding="encode")
-        own = np.asarray(encoded.indices)
-        _, codes = np.unique(codes * (len(encoded.dictionary) + 1) + own, return_inverse=True)
+def group_codes(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each row's group, and a row of each group; nulls are one group, structs count by their fields."""
+    codes = np.zeros(len(columns[0]), dtype=np.int64)
+    for column in columns:
+        if pa.types.is_struct(column.type):
+            inner = [column.is_null(), *[column.field(i) for i in range(column.type.num_fields)]]
+            own, many = group_codes(inner)[0], len(column)
+        else:
+            encoded = column.dictionary_encode(null_encoding="encode")
+            own, many = np.asarray(encoded.indices), len(encoded.dictionary)
+        _, codes = np.unique(codes * (many + 1) + own, return_inverse=True)
     _, first, codes = np.unique(codes, return_index=True, return_inverse=True)
     return codes, first
 
 
 def _combined(table: pa.Table, keys: list[str], counts: list[str], dim: int) -> tuple[pa.Table, int]:
     """One row per key, with counts and vectors (null: none) added up, and the number of the last row's key."""
-    codes, first = _codes(table, keys)
+    codes, first = group_codes([table.column(k).combine_chunks() for k in keys])
     order = np.argsort(codes, kind="stable")
     starts = np.searchsorted(codes[order], np.arange(len(first)))
     column = table.column("_sum").combine_chunks()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clanmark.functions.vectors import is_finite, l2_normalize, norm, unit_centroids
 from clanmark.operators.numbering import first_per, rank_within
+from clanmark.operators.products import similarity_groups
 from clanmark.operators.similarity import argmax_match, similarity_cross_join
 
 STRATEGIES = ("centroid", "vote")
@@ -252,14 +253,18 @@ def identify_in_clusters(
     profiles: DataFrame, members: DataFrame, cluster: str, member: str, vector: str, threshold: float = 0.7,
     **layout_options,
 ) -> DataFrame:
-    """Per user and cluster with a match: best similarity, matches and cluster size."""
-    matches = threshold_match(profiles, members, member, vector, threshold, **layout_options)
+    """Per user and cluster with a match: best similarity, matches and cluster size.
+
+    Best and count are made inside the vector join, so what is shuffled grows with users and clusters.
+    """
+    found = similarity_groups(
+        members, profiles, cluster, member, vector, "user_id", "unit", threshold, strict=True, **layout_options
+    )
     sizes = members.groupBy(cluster).agg(F.count(F.lit(1)).alias("cluster_size"))
-    joined = matches.join(members.select(cluster, member), member)
-    found = joined.groupBy("user_id", cluster).agg(
-        F.max("similarity").alias("best_similarity"), F.count(F.lit(1)).alias("matches_count")
+    named = found.select(
+        F.col("b").alias("user_id"), F.col("a").alias(cluster), F.col("similarity").alias("best_similarity"), F.col("n").alias("matches_count")
     )
-    return found.join(sizes, cluster)
+    return named.join(sizes, cluster)
 
 
 def identification_outcome(

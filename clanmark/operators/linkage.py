@@ -31,9 +31,11 @@ from clanmark.functions.vectors import (
     is_finite,
     l2_normalize,
     norm,
+    scale_by,
 )
 from clanmark.operators.components import similarity_components
-from clanmark.operators.similarity import nearest_partners, unit_rows
+from clanmark.operators.products import best_products
+from clanmark.operators.similarity import unit_rows
 from clanmark.sources.workspace import materialize, release
 
 COMPONENT_ROWS = 2_000
@@ -103,32 +105,49 @@ def _small_components(df: DataFrame, key: str, limit: float) -> DataFrame:
 
 
 def _large_components(df: DataFrame, key: str, limit: float, layout_options: dict) -> DataFrame:
-    """Rounds of mutual-nearest-neighbour merging on (cluster, vector sum, size)."""
-    dim = dimension_of(df, "unit")
+    """Rounds of mutual-nearest-neighbour merging on (cluster, vector sum, size).
+
+    Every cluster's nearest partner is kept.  A merge brings no cluster nearer to a third one than its
+    parts were, so a round searches again only for clusters that have merged or whose partner has; a
+    cluster without a partner under the limit will never have one and leaves the table.
+    """
+    dim = dimension_of(df, "unit") if layout_options.get("dim") is None else layout_options["dim"]
+    options = {**layout_options, "dim": dim}
     members = df.select(key, F.col(key).alias("cluster"))
-    state = materialize(df.select(F.col(key).alias("cluster"), F.col("unit").alias("total"), F.lit(1.0).alias("n")), "linkage")
+    state = df.select(F.col(key).alias("cluster"), F.col("unit").alias("total"), F.lit(1.0).alias("n"))
+    state, kept = materialize(state, "linkage"), None
+    asked = state.select("cluster")
     while True:
-        # the mean vector of a cluster: its direction, and its length as a column
-        means = state.withColumn("length", norm("total") / F.col("n"))
-        found = nearest_partners(means, "cluster", "total", limit, "length", **layout_options)
-        # ties go to the lowest pair, in one order for both endpoints
-        rank = F.struct(
-            (-F.col("similarity")).alias("d"), F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")
-        )
-        nearest = found.groupBy("a").agg(F.min(rank).alias("r"))
-        mutual = nearest.groupBy("r.lo", "r.hi").agg(F.count(F.lit(1)).alias("c")).where("c = 2")
-        merges = materialize(mutual.select(F.col("hi").alias("cluster"), "lo"), "linkage")
+        partners = _nearest(state, asked, limit, options)
+        partners = materialize(partners if kept is None else kept.unionByName(partners), "linkage")
+        pairs = partners.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("cluster"))
+        mutual = pairs.groupBy("lo", "cluster").agg(F.count(F.lit(1)).alias("c")).where("c = 2")
+        merges = materialize(mutual.select("cluster", "lo"), "linkage")
         if merges.isEmpty():
+            release(state, partners, merges)
             return members
         target = F.coalesce("lo", "cluster").alias("cluster")
-        before = (members, state, merges)
+        before = (members, state, partners, merges, kept, asked)
         members = materialize(members.join(merges, "cluster", "left").select(key, target), "linkage")
-        moved = state.join(merges, "cluster", "left").select(target, "total", "n")
+        alive = partners.select(F.col("a").alias("cluster")).unionByName(partners.select(F.col("b").alias("cluster")))
+        moved = state.join(alive, "cluster", "left_semi").join(merges, "cluster", "left").select(target, "total", "n")
         sums = vector_sums(moved, ["cluster"], "total", dim, {"n": F.col("n")})
         state = materialize(sums.select("cluster", F.col("_sum").alias("total"), "n"), "linkage")
+        changed = merges.select("lo").unionByName(merges.select(F.col("cluster").alias("lo")))
+        calm = partners.join(changed, F.col("a") == F.col("lo"), "left_anti").join(changed, F.col("b") == F.col("lo"), "left_anti")
+        kept = materialize(calm, "linkage")
+        asked = materialize(state.select("cluster").join(kept.select(F.col("a").alias("cluster")), "cluster", "left_anti"), "linkage")
         release(*before)
 
 
+def _nearest(state: DataFrame, asked: DataFrame, limit: float, options: dict) -> DataFrame:
+    """(a, b, similarity): the nearest partner under the limit of every cluster of ``asked``."""
+    means = state.select("cluster", scale_by("total", F.col("n")).alias("mean"))
+    searched = means.join(asked, "cluster", "left_semi")
+    found = best_products(searched, means, "cluster", "mean", "cluster", "mean", 1.0 - limit - 1e-9, other=True, **options)
+    return found.where(1.0 - F.col("similarity") < limit)
+
+
 def agglomerative_average(
     df: DataFrame,
     key: str,

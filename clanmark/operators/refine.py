@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clanmark.functions.vectors import dot, mean_vectors
+from clanmark.functions.vectors import dimension_of, dot, mean_vectors
 from clanmark.operators.components import similarity_components
 from clanmark.operators.linkage import agglomerative_average
 from clanmark.operators.numbering import number_rows
-from clanmark.operators.similarity import similarity_cross_join, top_matches
+from clanmark.operators.products import best_products
+from clanmark.operators.similarity import top_matches
 from clanmark.sources.workspace import materialize
 
 
@@ -41,11 +42,12 @@ def absorb_small(
     """
     kept = members.select(key, label)
     labelled = members.where(F.col(label).isNotNull())
-    centroids = materialize(mean_vectors(labelled, [label], vector), "centroids")
+    dim = dimension_of(labelled, vector)
+    centroids = materialize(mean_vectors(labelled, [label], vector, dim), "centroids")
     small = centroids.where(F.col("size") < min_size)
     large = centroids.where(F.col("size") >= min_size)
     best = top_matches(
-        small, large, label, "centroid", label, "centroid", threshold=threshold, strict=True, **options
+        small, large, label, "centroid", label, "centroid", threshold=threshold, strict=True, dim=dim, **options
     )
     return _relabel(kept, label, best.select(F.col("a").alias("old"), F.col("b").alias("new")))
 
@@ -70,24 +72,21 @@ def absorb_small_quality(
     """Like ``absorb_small`` on the plain dot product plus a bonus for good targets.
 
     Score = dot of the centroids + min(0.1 * average quality of the target, 0.05),
-    accepted if strictly over ``threshold``.  Centroids of unit vectors are at most 1
-    long, so dot <= cosine and a cosine join at ``threshold`` - 0.05 misses nothing.
+    accepted if strictly over ``threshold``; ties go to the lower label.  The best target of
+    every small cluster comes out of the vector join itself.
     """
     kept = members.select(key, label)
     labelled = members.where(F.col(label).isNotNull())
+    dim = dimension_of(labelled, vector)
     scores = labelled.groupBy(label).agg(F.avg(F.coalesce(F.col(quality), F.lit(0.0))).alias("q"))
-    centroids = mean_vectors(labelled, [label], vector).join(scores, label)
+    centroids = mean_vectors(labelled, [label], vector, dim).join(scores, label)
     centroids = materialize(centroids, "centroids")
-    small = centroids.where(F.col("size") < min_size).select(F.col(label).alias("a"), F.col("centroid").alias("ca"))
-    bonus = F.least(F.col("q") * 0.1, F.lit(0.05))
-    large = centroids.where(F.col("size") >= min_size).select(
-        F.col(label).alias("b"), F.col("centroid").alias("cb"), bonus.alias("bonus")
+    small = centroids.where(F.col("size") < min_size)
+    large = centroids.where(F.col("size") >= min_size)
+    best = best_products(
+        small, large, label, "centroid", label, "centroid", threshold, F.least(F.col("q") * 0.1, F.lit(0.05)), dim=dim, **layout_options
     )
-    near = similarity_cross_join(small, large, "a", "ca", "b", "cb", threshold - 0.05, **layout_options)
-    scored = near.drop("similarity").join(small, "a").join(large, "b")
-    scored = scored.withColumn("score", dot("ca", "cb") + F.col("bonus")).where(F.col("score") > threshold)
-    best = scored.groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("s"), "b")).alias("m"))
-    return _relabel(kept, label, best.select(F.col("a").alias("old"), F.col("m.b").alias("new")))
+    return _relabel(kept, label, best.select(F.col("a").alias("old"), F.col("b").alias("new")))
 
 
 def merge_components(
@@ -95,8 +94,9 @@ def merge_components(
 ) -> DataFrame:
     """Clusters whose centroids are connected at cosine >= ``threshold`` become one."""
     labelled = members.where(F.col(label).isNotNull())
-    centroids = materialize(mean_vectors(labelled, [label], vector), "centroids")
-    joined = similarity_components(centroids, label, "centroid", threshold, **layout_options)
+    dim = dimension_of(labelled, vector)
+    centroids = materialize(mean_vectors(labelled, [label], vector, dim), "centroids")
+    joined = similarity_components(centroids, label, "centroid", threshold, dim=dim, **layout_options)
     moves = joined.select(F.col(label).alias("old"), F.col("component").alias("new"))
     return _relabel(members.select(key, label), label, moves)
 
@@ -106,8 +106,9 @@ def force_merge(
 ) -> DataFrame:
     """Average linkage over the cluster centroids, by cosine distance."""
     labelled = members.where(F.col(label).isNotNull())
-    centroids = materialize(mean_vectors(labelled, [label], vector), "centroids")
-    merged = agglomerative_average(centroids, label, "centroid", distance_threshold, **layout_options)
+    dim = dimension_of(labelled, vector)
+    centroids = materialize(mean_vectors(labelled, [label], vector, dim), "centroids")
+    merged = agglomerative_average(centroids, label, "centroid", distance_threshold, dim=dim, **layout_options)
     moves = merged.select(F.col(label).alias("old"), F.col("cluster").alias("new"))
     return _relabel(members.select(key, label), label, moves)
 

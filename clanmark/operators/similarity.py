@@ -37,6 +37,10 @@ from clanmark.sources.workspace import materialize
 MIN_UNIT_ROWS = 2048
 MAX_UNIT_ROWS = 32768
 MAX_PIVOTS = 2048
+#: A pivot with more than so many units of rows gets pivots of its own, so many at most, all of them together in so many bytes.
+FEW_UNITS = 4
+MAX_CHILDREN = 1024
+PIVOT_BYTES = 64 * 1024 * 1024
 BROADCAST_BYTES = 64 * 1024 * 1024
 BROADCAST_QUERIES = 1024
 SLACK = 1e-9  # of similarities
@@ -101,6 +105,8 @@ class Layout:
     high: np.ndarray | None = None
     forest: bool = False
     own_pivot_only: bool = False
+    parents: np.ndarray | None = None
+    first: np.ndarray | None = None
 
     @cached_property
     def ring_edges(self) -> np.ndarray:
@@ -113,8 +119,13 @@ class Layout:
 
     @cached_property
     def gaps(self) -> np.ndarray:
-        """Distance of every two pivots."""
-        return np.sqrt(np.maximum(2 - 2 * (self.pivots @ self.pivots.T), 0))
+        """Distance of every two pivots of the upper level."""
+        return _gaps(self.pivots if self.parents is None else self.parents)
+
+    @cached_property
+    def widest(self) -> int:
+        """Pivots that a row is compared with at a time, at most."""
+        return len(self.pivots) if self.parents is None else max(len(self.parents), int(np.diff(self.first).max()))
 
     @property
     def rings(self) -> int:
@@ -130,18 +141,55 @@ class Layout:
     def is_core(self, sims: np.ndarray) -> np.ndarray:
         return np.round(sims, 12) >= self.threshold
 
-    def homes(self, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
-        """Home cell of every row, and its similarity to every pivot."""
+    def near(self, matrix: np.ndarray, bounds: np.ndarray | None = None, visits: bool = True) -> Near:
+        """Home cell of every row, and the pivots whose cells may hold a partner by the bisector bounds.
+
+        A pivot of the upper level with many rows has pivots of its own: its rows live with the nearest of
+        those, and only rows that reach the upper pivot's rows are compared with them.
+        """
+        n = len(matrix)
         if self.pivots is None:
-            return np.zeros(len(matrix), dtype=np.int64), None
-        sims = matrix @ self.pivots.T
+            none = np.zeros(0, np.int64)
+            return Near(np.zeros(n, dtype=np.int64), np.ones(n), none, none, np.zeros(0))
+        bound = np.full(n, self.threshold) if bounds is None else np.maximum(bounds, self.threshold)
+        theta = _angles(bound)
+        reach = np.where(theta < math.pi / 2, np.sin(theta), 1.0)
+        wanted = visits and not self.own_pivot_only
+        sims = matrix @ (self.pivots if self.parents is None else self.parents).T
         nearest = sims.argmax(axis=1)
-        best = sims[np.arange(len(matrix)), nearest]
+        best = sims[np.arange(n), nearest]
+        if wanted:
+            rows, pivots = np.nonzero(best[:, None] - sims <= self.gaps[nearest] * reach[:, None] + SLACK)
+        else:
+            rows, pivots = np.arange(n), nearest
+        near = sims[rows, pivots]
+        if self.parents is not None:
+            nearest, best, rows, pivots, near = self._below(matrix, nearest, rows, pivots, reach, wanted)
         ring = np.searchsorted(self.ring_edges, _angles(best), "right") - 1
         if self.threshold > 0:
             # rings 0 and 1 hold exactly the rows within the threshold of their pivot
             ring = np.where(self.is_core(best), np.minimum(ring, 1), np.maximum(ring, 2))
-        return nearest * self.rings + self.group(nearest, ring), sims
+        return Near(nearest * self.rings + self.group(nearest, ring), best, rows, pivots, near)
+
+    def _below(self, matrix, nearest, rows, parents, reach, wanted):
+        """The same one level down, an upper pivot at a time; siblings bound each other's rows."""
+        home, best, found = np.empty(len(matrix), np.int64), np.empty(len(matrix)), []
+        order = np.argsort(parents, kind="stable")
+        rows, parents = rows[order], parents[order]
+        for parent in np.unique(parents):
+            own = rows[np.searchsorted(parents, parent) : np.searchsorted(parents, parent, "right")]
+            begin, end = self.first[parent], self.first[parent + 1]
+            sims = matrix[own] @ self.pivots[begin:end].T
+            top, place = sims.argmax(axis=1), np.arange(len(own))
+            at_home = nearest[own] == parent
+            home[own[at_home]], best[own[at_home]] = begin + top[at_home], sims[place, top][at_home]
+            if wanted:
+                margin = sims[place, top][:, None] - sims
+                i, j = np.nonzero(margin <= _gaps(self.pivots[begin:end])[top] * reach[own][:, None] + SLACK)
+                found.append((own[i], begin + j, sims[i, j]))
+        if not wanted:
+            return home, best, np.arange(len(matrix)), home, best
+        return home, best, *_joined(found)
 
     def group(self, pivots: np.ndarray, rings: np.ndarray) -> np.ndarray:
         """Neighbouring rings of one pivot with few rows share a cell."""
@@ -179,31 +227,21 @@ class Layout:
         rank[np.argsort(self.high, kind="stable")] = np.arange(self.cells)
         return rank
 
-    def visits(
-        self, homes: np.ndarray, sims: np.ndarray, one_table: bool, bounds: np.ndarray | None = None
-    ) -> tuple[np.ndarray, np.ndarray]:
+    def visits(self, near: Near, one_table: bool, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(row, cell) of every visit; each pair of one table meets exactly once.
 
         ``bounds`` raises the similarity that a partner of a row must have.
         """
-        n = len(sims)
-        bound = np.full(n, self.threshold) if bounds is None else np.maximum(bounds, self.threshold)
-        theta, nearest = _angles(bound), homes // self.rings
-        if self.own_pivot_only:
-            rows, pivots = np.arange(n), nearest
-        else:
-            margin = sims[np.arange(n), nearest][:, None] - sims
-            reach = np.where(theta < math.pi / 2, np.sin(theta), 1.0)[:, None]
-            rows, pivots = np.nonzero(margin <= self.gaps[nearest] * reach + SLACK)
-        sim = sims[rows, pivots]
-        angle, width = _angles(sim), theta[rows] + ANGLE_SLACK
+        bound = np.full(len(near.homes), self.threshold) if bounds is None else np.maximum(bounds, self.threshold)
+        rows, pivots, sim = near.rows, near.pivots, near.sims
+        angle, width = _angles(sim), _angles(bound)[rows] + ANGLE_SLACK
         tied = self.is_core(sim) if self.forest else None
         found = []
         for group in range(int(self.groups.max()) + 1):
             cells = pivots * self.rings + group
             keep = (angle <= self.high[cells] + width) & (angle >= self.low[cells] - width)
             if one_table:
-                own = homes[rows]
+                own = near.homes[rows]
                 keep &= self.tightness[cells] < self.tightness[own]
             if self.forest:
                 # a row within the threshold of a pivot is tied to it, so its core is reached
@@ -212,6 +250,21 @@ class Layout:
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
+@dataclass(frozen=True)
+class Near:
+    """Home cell and home similarity per row; (row, pivot, similarity) of the pivots a row may visit."""
+
+    homes: np.ndarray
+    best: np.ndarray
+    rows: np.ndarray
+    pivots: np.ndarray
+    sims: np.ndarray
+
+
+def _gaps(pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2 - 2 * (pivots @ pivots.T), 0))
+
+
 def _angles(sims: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(sims, -1, 1))
 
@@ -223,6 +276,12 @@ def _sample_pivots(df: DataFrame, key: str, vector: str, rows: int, count: int)
     table = sample.limit(2 * wanted).toArrow()
     matrix, kept = unit_rows(table.column(vector))
     ids = table.column(key).take(pa.array(kept)).to_pylist()
+    chosen = _apart(matrix, count)
+    return matrix[chosen], tuple(ids[i] for i in chosen)
+
+
+def _apart(matrix: np.ndarray, count: int) -> list[int]:
+    """The first ``count`` rows that are well apart from those before."""
     chosen: list[int] = []
     for i in range(len(matrix)):
         if len(chosen) == count:
@@ -230,7 +289,7 @@ def _sample_pivots(df: DataFrame, key: str, vector: str, rows: int, count: int)
         # near copies share one pivot, so a tight hot group stays in one core cell
         if not chosen or (matrix[chosen] @ matrix[i]).max() < 0.95:
             chosen.append(i)
-    return matrix[chosen], tuple(ids[i] for i in chosen)
+    return chosen
 
 
 def _ring_stats(df: DataFrame, vector: str, layout: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -244,8 +303,8 @@ def _ring_stats(df: DataFrame, vector: str, layout: Layout) -> tuple[np.ndarray,
         for batch in batches:
             matrix, _ = unit_rows(batch.column(0))
             for span in _slices(len(matrix), plan):
-                rings, sims = plan.homes(matrix[span])
-                angle = _angles(sims.max(axis=1))
+                near = plan.near(matrix[span], visits=False)
+                rings, angle = near.homes, _angles(near.best)
                 rows += np.bincount(rings, minlength=plan.cells)
                 np.minimum.at(low, rings, angle)
                 np.maximum.at(high, rings, angle)
@@ -274,8 +333,8 @@ def _visit_counts(
             matrix, kept = unit_rows(batch.column(0))
             bounds = np.asarray(batch.column(1))[kept] if bound else None
             for span in _slices(len(matrix), plan):
-                homes, sims = plan.homes(matrix[span])
-                cells = plan.visits(homes, sims, one_table, bounds[span] if bound else None)[1]
+                own = bounds[span] if bound else None
+                cells = plan.visits(plan.near(matrix[span], own), one_table, own)[1]
                 totals += np.bincount(cells, minlength=plan.cells)
         used = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(totals[used])], ["cell", "n"])
@@ -288,19 +347,75 @@ def _visit_counts(
 
 
 def _slices(rows: int, layout: Layout) -> Iterator[slice]:
-    step = rows if layout.pivots is None else SCRATCH_ELEMENTS // len(layout.pivots)
+    step = rows if layout.pivots is None else SCRATCH_ELEMENTS // layout.widest
     for start in range(0, rows, max(step, 1)):
         yield slice(start, start + max(step, 1))
 
 
+def _finer(df: DataFrame, key: str, vector: str, layout: Layout) -> Layout | None:
+    """The layout with pivots of their own below those of many rows; None if there are none.
+
+    A pivot of more than ``FEW_UNITS`` units gets two for each unit, from a sample of its rows: a group of
+    rows without a pivot near it makes its cell wide, and a wide cell is visited by many.  All
+    pivots together take ``PIVOT_BYTES`` at most, with what is sampled twice that in the driver.
+    """
+    count, dim = layout.pivots.shape
+    rows = layout.home_rows.reshape(count, -1).sum(axis=1)
+    wanted = np.where(rows > FEW_UNITS * layout.unit_rows, np.minimum(2 * rows // layout.unit_rows, MAX_CHILDREN), 0)
+    room = max(0, PIVOT_BYTES // (8 * dim) - count)
+    if wanted.sum() > room:
+        wanted = wanted * room // wanted.sum()
+    wanted[wanted < 2] = 0
+    if not wanted.any():
+        return None
+    shares = np.minimum(2.0 * wanted / np.maximum(rows, 1), 1.0)
+    shared = df.sparkSession.sparkContext.broadcast((layout, shares))
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan, part = shared.value
+        for batch in batches:
+            matrix, kept = unit_rows(batch.column(1))
+            chance = np.asarray(batch.column(2))[kept] / float(1 << 40)
+            for span in _slices(len(matrix), plan):
+                own = plan.near(matrix[span], visits=False).homes // plan.rings
+                some = np.flatnonzero(chance[span] < part[own])
+                ids = batch.column(0).take(pa.array(kept[some + span.start]))
+                yield pa.RecordBatch.from_arrays([pa.array(own[some]), ids, list_array(matrix[span][some])], ["pivot", "id", "unit"])
+
+    kind = T.StructType([T.StructField("pivot", T.LongType()), T.StructField("id", df.schema[key].dataType), T.StructField("unit", T.ArrayType(T.DoubleType()))])
+    chance = F.pmod(F.xxhash64(F.lit("pivots"), key), F.lit(1 << 40))
+    found = df.select(key, vector, chance.alias("_h")).mapInArrow(sample, kind).toArrow().combine_chunks()
+    own = np.asarray(found.column("pivot"))
+    vectors = np.asarray(found.column("unit").combine_chunks().flatten()).reshape(-1, dim)
+    pivots, ids, first = [], [], [0]
+    for pivot in range(count):
+        at = np.flatnonzero(own == pivot) if wanted[pivot] else own[:0]
+        chosen = _apart(vectors[at], int(wanted[pivot]))
+        if len(chosen) > 1:
+            pivots.append(vectors[at[chosen]])
+            ids += found.column("id").take(pa.array(at[chosen])).to_pylist()
+        else:
+            pivots.append(layout.pivots[pivot : pivot + 1])
+            ids.append(layout.pivot_ids[pivot])
+        first.append(len(ids))
+    if len(ids) == count:
+        return None
+    return Layout(
+        layout.threshold, np.concatenate(pivots), tuple(ids), unit_rows=layout.unit_rows, forest=layout.forest,
+        parents=layout.pivots, first=np.array(first),
+    )
+
+
 def _place(
-    homes: DataFrame, key: str, vector: str, threshold: float, unit_rows_limit: int | None, pivots: int | None, forest: bool
+    homes: DataFrame, key: str, vector: str, threshold: float, unit_rows_limit: int | None, pivots: int | None, forest: bool,
+    more: tuple[str, ...] = (),
 ) -> tuple[DataFrame, Layout]:
     """The home table and its layout: pivots from a sample, rows per cell from one pass.
 
-    All driver state is bounded by pivots x rings.  A table that needs pivots is read
-    several times, so it is written once with the two columns in use.
+    All driver state is bounded by pivots x rings.  The table is written once, with the columns in
+    use, and read for its size, its pivots and its cells.
     """
+    homes = materialize(homes.select(key, vector, *more), "vectors")
     rows = homes.count()
     if unit_rows_limit is None:
         share = rows // (2 * homes.sparkSession.sparkContext.defaultParallelism)
@@ -308,11 +423,12 @@ def _place(
     layout = Layout(threshold, unit_rows=unit_rows_limit, forest=forest)
     count = min(rows // unit_rows_limit, MAX_PIVOTS) if pivots is None else pivots
     if count > 1:
-        homes = materialize(homes.select(key, vector), "vectors")
         matrix, ids = _sample_pivots(homes, key, vector, rows, count)
         if len(matrix) > 1:
             layout = replace(layout, pivots=matrix, pivot_ids=ids)
-            return homes, layout.with_rows(*_ring_stats(homes, vector, layout))
+            layout = layout.with_rows(*_ring_stats(homes, vector, layout))
+            finer = _finer(homes, key, vector, layout)
+            return homes, layout if finer is None else finer.with_rows(*_ring_stats(homes, vector, finer))
     return homes, replace(layout, home_rows=np.array([rows]))
 
 
@@ -353,13 +469,17 @@ def _spread(
     one_table: bool,
     bound: str | None = None,
     length: str | None = None,
+    term: str | None = None,
+    salt: str | None = None,
 ) -> DataFrame:
     """One row per (row, work unit it takes part in), with its unit vector.
 
     ``bound`` names a column with the similarity a partner must reach, ``length`` one
-    with the length that the vector is shipped with instead of 1.
+    with the length that the vector is shipped with instead of 1, ``term`` one that is shipped as
+    one more component, ``salt`` the column that spreads rows over chunks if ``key`` is not unique.
     """
     spark = df.sparkSession
+    more = [c for c in (bound, length, term) if c]
     shared = spark.sparkContext.broadcast(layout)
     names = ["cell", "left", "right", "side", "id", "unit"]
     schema = T.StructType(
@@ -381,22 +501,27 @@ def _spread(
             matrix, kept = unit_rows(batch.column(1))
             ids = batch.column(0).take(pa.array(kept))
             salt = np.asarray(batch.column(2))[kept]
-            bounds = np.asarray(batch.column(3))[kept] if bound else None
-            lengths = np.asarray(batch.column(3))[kept] if length else None
+            bounds, lengths, terms = (
+                np.asarray(batch.column(3 + more.index(c)))[kept] if c else None for c in (bound, length, term)
+            )
             for span in _slices(len(matrix), plan):
                 part = matrix[span]
-                homes, sims = plan.homes(part)
-                blocks = []
+                own = bounds[span] if bound else None
+                visiting = not as_home or (one_table and plan.pivots is not None)
+                near = plan.near(part, own, visiting)
+                homes, blocks = near.homes, []
                 if as_home:
                     blocks += _home_units(plan, homes, salt[span], home_chunks, visit_chunks, one_table)
-                if not as_home or (one_table and plan.pivots is not None):
+                if visiting:
                     if plan.pivots is None:
                         rows, cells = np.arange(len(part)), homes
                     else:
-                        rows, cells = plan.visits(homes, sims, one_table, bounds[span] if bound else None)
+                        rows, cells = plan.visits(near, one_table, own)
                     blocks.append(_visit_units(rows, cells, salt[span], home_chunks, visit_chunks))
                 if length:
                     part = part * lengths[span][:, None]
+                if term:
+                    part = np.column_stack([part, terms[span]])
                 for rows, cell, left, right, side in blocks:
                     for start in range(0, len(rows), 8192):
                         cut = slice(start, start + 8192)
@@ -413,8 +538,8 @@ def _spread(
                             names,
                         )
 
-    salt = F.pmod(F.xxhash64(key), F.lit(1 << 40)).alias("_h")
-    hashed = df.select(key, vector, salt, *[c for c in (bound, length) if c])
+    salted = F.pmod(F.xxhash64(salt or key), F.lit(1 << 40)).alias("_h")
+    hashed = df.select(key, vector, salted, *more)
     return hashed.mapInArrow(spread, schema)
 
 
@@ -539,38 +664,6 @@ def _forest_kernel(threshold: float) -> Kernel:
     return kernel
 
 
-def _nearest_kernel(limit: float) -> Kernel:
-    """The best partner of every row of the unit, on both sides, under the distance limit."""
-
-    def kernel(table: pa.Table) -> pa.Table:
-        ids, l_matrix, r_matrix, left, right, own = _sides(table)
-        l_order, r_order = (np.asarray(pc.sort_indices(ids.take(pa.array(x)))) for x in (left, right))
-        left, l_matrix, right, r_matrix = left[l_order], l_matrix[l_order], right[r_order], r_matrix[r_order]
-        best_l, sim_l = np.zeros(len(left), dtype=np.int64), np.full(len(left), -np.inf)
-        best_r, sim_r = np.zeros(len(right), dtype=np.int64), np.full(len(right), -np.inf)
-        step = max(1, SCRATCH_ELEMENTS // max(len(right), 1))
-        for start in range(0, len(left) if len(right) else 0, step):
-            block = np.round(l_matrix[start : start + step] @ r_matrix.T, 12)
-            if own:
-                inside = np.arange(len(block))
-                block[inside, start + inside] = -np.inf
-            best_l[start : start + step], sim_l[start : start + step] = block.argmax(axis=1), block.max(axis=1)
-            top = block.max(axis=0)
-            better = top > sim_r
-            best_r[better], sim_r[better] = start + block.argmax(axis=0)[better], top[better]
-        parts = [(left, right[best_l] if len(right) else left, sim_l)]
-        if not own:
-            parts.append((right, left[best_r] if len(left) else right, sim_r))
-        a, b, sims = (np.concatenate(column) for column in zip(*parts))
-        ok = 1.0 - sims < limit
-        return pa.table(
-            [ids.take(pa.array(a[ok])), ids.take(pa.array(b[ok])), pa.array(sims[ok])],
-            names=["a", "b", "similarity"],
-        )
-
-    return kernel
-
-
 def merge_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Join the sets of ``a[k]`` and ``b[k]``; a label is the lowest position of its set."""
     labels = labels.copy()
@@ -652,29 +745,6 @@ def neighbour_counts(
     return counted.groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def nearest_partners(
-    df: DataFrame, key: str, vector: str, limit: float, length: str, **layout_options
-) -> DataFrame:
-    """(a, b, similarity): per row and unit the best partner by dot product at ``length`` <= 1.
-
-    Only partners with 1 - product < ``limit`` count; the product is at most the cosine,
-    so the cosine bounds of the layout miss none.  The output grows with rows and units,
-    not with pairs; the best partner of a row is the best of its rows here.
-    """
-    # below 0 a short mean has a larger product than cosine, so nothing can be left out
-    threshold = 1.0 - limit if limit < 1 else -1.0
-    df = df.select(key, vector, length)
-    placed, layout = _place(df, key, vector, threshold, **_placing(layout_options))
-    layout = _visited(placed, vector, layout, True)
-    spread = _spread(df, key, vector, layout, as_home=True, one_table=True, length=length)
-    kind = df.schema[key].dataType
-    return _run_units(spread, _nearest_kernel(limit), _pair_schema(kind, kind, ("a", "b")))
-
-
-def _placing(options: dict) -> dict:
-    return {"unit_rows_limit": None, "pivots": None, "forest": False, **options}
-
-
 def similarity_forest(
     df: DataFrame, key: str, vector: str, threshold: float, **layout_options
 ) -> DataFrame:
@@ -702,11 +772,12 @@ def similarity_forest(
             centres = pa.array(list(plan.pivot_ids), ids.type)
             together = none
             for span in _slices(len(matrix), plan):
-                sims = matrix[span] @ plan.pivots.T
-                core = plan.is_core(sims)
-                rows = np.flatnonzero(core.any(axis=1))
-                nearest = sims.argmax(axis=1)
-                tie, other = np.nonzero(core)
+                near = plan.near(matrix[span])
+                core = plan.is_core(near.sims)
+                tie, other = near.rows[core], near.pivots[core]
+                rows, at = np.unique(tie, return_index=True)
+                nearest = np.zeros(len(near.homes), dtype=np.int64)
+                nearest[rows] = other[at]
                 together = merge_labels(together, nearest[tie], other)
                 a, b = ids.take(pa.array(rows + span.start)), centres.take(pa.array(nearest[rows]))
                 yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
@@ -730,6 +801,7 @@ def similarity_cross_join(
     broadcast_bytes: int = BROADCAST_BYTES,
     unit_rows_limit: int | None = None,
     pivots: int | None = None,
+    dim: int | None = None,
 ) -> DataFrame:
     """All (a, b, similarity) of two tables with cosine over the threshold.
 
@@ -740,7 +812,7 @@ def similarity_cross_join(
     schema = _pair_schema(
         left.schema[left_key].dataType, right.schema[right_key].dataType, ("a", "b")
     )
-    dim = dimension_of(right, right_vector)
+    dim = dimension_of(right, right_vector) if dim is None else dim
     left, right = _one_length(left, left_vector, dim), _one_length(right, right_vector, dim)
     if _fits_broadcast(right, right_key, right_vector, broadcast_bytes):
 
@@ -867,6 +939,7 @@ def top_matches(
     broadcast_bytes: int = BROADCAST_BYTES,
     unit_rows_limit: int | None = None,
     pivots: int | None = None,
+    dim: int | None = None,
 ) -> DataFrame:
     """(a, b, similarity, rank): the k most similar right rows of every left row.
 
@@ -879,7 +952,7 @@ def top_matches(
     schema = _pair_schema(
         left.schema[left_key].dataType, right.schema[right_key].dataType, ("a", "b")
     )
-    dim = dimension_of(right, right_vector)
+    dim = dimension_of(right, right_vector) if dim is None else dim
     left, right = _one_length(left, left_vector, dim), _one_length(right, right_vector, dim)
     names = (left_key, left_vector, right_key, right_vector)
     if _fits_broadcast(right, right_key, right_vector, broadcast_bytes):
@@ -971,6 +1044,7 @@ def knn_search(
     broadcast_bytes: int = BROADCAST_BYTES,
     unit_rows_limit: int | None = None,
     pivots: int | None = None,
+    dim: int | None = None,
 ) -> DataFrame:
     """(query, neighbour, similarity, rank): the k nearest rows of ``vectors``.
 
@@ -983,14 +1057,14 @@ def knn_search(
         schema = _pair_schema(
             queries.schema[query_key].dataType, vectors.schema[key].dataType, ("a", "b")
         )
-        dim = dimension_of(vectors, vector)
+        dim = dimension_of(vectors, vector) if dim is None else dim
         queries, vectors = _one_length(queries, query_vector, dim), _one_length(vectors, vector, dim)
         best = _knn_by_broadcast(queries, vectors, query_key, query_vector, key, vector, k, schema)
         ranked = _ranked(best, k)
     else:
         ranked = top_matches(
             queries, vectors, query_key, query_vector, key, vector, k, broadcast_bytes=broadcast_bytes,
-            unit_rows_limit=unit_rows_limit, pivots=pivots,
+            unit_rows_limit=unit_rows_limit, pivots=pivots, dim=dim,
         )
     return ranked.withColumnsRenamed({"a": "query", "b": "neighbour"})
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-PARTS = ("vector", "source", "filter", "similarity", "cluster", "summary", "assign", "maintain")
+PARTS = ("vector", "source", "filter", "similarity", "cluster", "summary", "assign", "maintain", "layout")
 
 
 def load() -> ModuleType:

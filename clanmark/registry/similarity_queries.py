@@ -89,12 +89,12 @@ define(
  (sum(m) OVER (PARTITION BY user_id))::BIGINT AS total_matches, count(*) OVER (PARTITION BY user_id) AS matching_clusters
 FROM found_in JOIN clusters USING (run_id, cluster_id)""",
 )
-def search_profile_all_clusters(spark, d):
+def search_profile_all_clusters(spark, d, **layout):
     newest = latest_run(I.runs(spark, d)).select("run_id")
     members = I.members(spark, d).where(F.col("cluster_id").isNotNull()).join(newest, "run_id", "left_semi")
     members = members.select(F.struct("run_id", "cluster_id").alias("place"), "detection_id", "unit")
     known = A.load_profiles(I.profiles(spark, d))
-    found = A.identify_in_clusters(known, members, "place", "detection_id", "unit", 0.7)
+    found = A.identify_in_clusters(known, members, "place", "detection_id", "unit", 0.7, **layout)
     ranked = A.search_profile_all_clusters(found, "place")
     return ranked.select("user_id", "place.*", "best_similarity", "matches_count", "cluster_size", "rank",
                          "total_matches", "matching_clusters")

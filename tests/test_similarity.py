@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from clanmark.operators import similarity as S
 from tests import samples as X
@@ -63,6 +64,35 @@ def test_hot_group_costs_one_edge_per_row(spark):
     assert edges.count() < 3 * len(matrix)
 
 
+def test_a_second_level_of_pivots(spark, monkeypatch):
+    """A few pivots for many groups: copies of a row stay as few when rows and groups grow 4 and 16 times."""
+    monkeypatch.setattr(S, "MAX_PIVOTS", 6)
+    copies = {True: [], False: []}
+    for groups in (8, 32, 128):
+        rng = np.random.default_rng(groups)
+        base = X.unit(rng.normal(size=(groups, 24)))
+        matrix = np.repeat(base, 80, axis=0) + rng.normal(scale=0.03, size=(80 * groups, 24))
+        df = X.frame(spark, matrix).repartition(4)
+        for finer in (True, False):
+            monkeypatch.setattr(S, "FEW_UNITS", 4 if finer else 1 << 40)
+            _, layout, spread = S._one_table(df, "id", "v", 0.75, unit_rows_limit=40)
+            assert (layout.parents is not None) == (finer and groups > 8)
+            copies[finer].append(spread.count() / len(matrix))
+            print(groups, finer, copies[finer][-1], None if layout.pivots is None else len(layout.pivots))
+        if groups == 80:
+            monkeypatch.setattr(S, "FEW_UNITS", 4)
+            found = {(r.a, r.b) for r in S.similarity_self_join(df, "id", "v", 0.75, unit_rows_limit=40).collect()}
+            assert found == {(int(i), int(j)) for i, j in X.pairs_over(X.cosines(matrix), 0.75)}
+            edges = [(r.a, r.b) for r in S.similarity_forest(df, "id", "v", 0.75, unit_rows_limit=40).collect()]
+            assert X.components(len(matrix), edges) == X.components(len(matrix), found)
+            half = df.where("id % 2 = 0").select(F.col("id").alias("i"), F.col("v").alias("w"))
+            top = S.top_matches(half, df, "i", "w", "id", "v", 2, broadcast_bytes=0, unit_rows_limit=40).collect()
+            sims = np.round(X.cosines(matrix), 12)
+            want = {(i, int(j)) for i in range(0, len(matrix), 2) for j in np.argsort(-sims[i], kind="stable")[:2]}
+            assert {(r.a, r.b) for r in top} == want
+    assert copies[True][2] < 2 * copies[True][1] and copies[True][2] < copies[False][2] / 2
+
+
 @pytest.mark.parametrize("strict", [False, True])
 @pytest.mark.parametrize(
     "options", [{}, *[dict(broadcast_bytes=0, **layout) for layout in LAYOUTS[1:]], dict(broadcast_bytes=0)]
@@ -131,13 +161,6 @@ def test_kernels_work_slice_by_slice(monkeypatch, two_sides):
     counts = S._degree_kernel(0.8, False)(table).to_pydict()
     degree = np.bincount(np.array(list(expected)).ravel(), minlength=n)
     assert dict(zip(counts["id"], counts["n"])) == {i: d for i, d in enumerate(degree) if d}
-    near = S._nearest_kernel(0.2)(table).to_pydict()
-    masked = sims.copy()
-    np.fill_diagonal(masked, -2)
-    if two_sides:
-        masked[sides[:, None] == sides[None, :]] = -2
-    masked = np.round(masked, 12)
-    assert dict(zip(near["a"], near["b"])) == {i: masked[i].argmax() for i in range(n) if 1 - masked[i].max() < 0.2}
 
 
 @pytest.mark.parametrize("k", [1, 3, 50])
