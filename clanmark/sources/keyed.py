@@ -246,7 +246,7 @@ def counted(spark: SparkSession, table: KeyedTable, **where: str) -> DataFrame:
     df = _whole(footers(spark), table)
     for name, value in where.items():
         df = df.where(F.col(name) == value)
-    return df.agg(F.count(F.lit(1)).alias("rows")).select(F.coalesce("rows", F.lit(0)).alias("rows"))  # no file, no footer
+    return df.agg(F.count(F.lit(1)).alias("rows")).select(F.greatest("rows", F.lit(0)).alias("rows"))  # no file: no count
 
 
 def inspect(spark: SparkSession, table: KeyedTable, vector: str = "owner_embedding", length: str = "dims") -> DataFrame:
@@ -259,7 +259,7 @@ def inspect(spark: SparkSession, table: KeyedTable, vector: str = "owner_embeddi
     has = vector in names and length in df.columns
     facts = df.agg(F.count(F.lit(1)).alias("row_count"), *([F.max(length).alias("l")] if has else []))
     longest = F.col("l") if has else F.lit(None)
-    facts = facts.withColumn("row_count", F.coalesce("row_count", F.lit(0)))
+    facts = facts.withColumn("row_count", F.greatest("row_count", F.lit(0)))
     return facts.select(
         "row_count", F.lit(len(names)).cast("long").alias("n_fields"), F.lit(",".join(sorted(names))).alias("fields"),
         F.lit(vector in names).alias("has_owner_embedding"), longest.cast("long").alias("embedding_length"),

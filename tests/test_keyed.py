@@ -128,6 +128,8 @@ def test_runs_are_counted_and_dropped_without_reading_rows(spark, place):
     assert [(r.found, r.deleted) for r in report] == [(200, 0), (200, 0)] and K.counted(spark, table).first()["rows"] == 600
     assert K.drop_where(spark, table, run_id="01") == 200 and files(place) == others
     assert K.drop_where(spark, table, run_id="01") == 0 and K.counted(spark, table).first()["rows"] == 400
+    none = K.create(members(spark, 0), K.KeyedTable(place + "0", ("detection_id",), ("run_id",), 4))
+    assert K.counted(spark, none).first()["rows"] == 0 == K.inspect(spark, none).first()["row_count"] == K.rows(spark, none).count()
     with pytest.raises(ValueError):
         K.drop_where(spark, table, person_id="1")
 
