@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clanmark.functions import quality as Q
-from clanmark.functions.vectors import is_finite, norm
+from clanmark.functions.vectors import dimension_of, is_finite, norm
 from clanmark.operators.numbering import first_per
 
 
@@ -147,3 +147,23 @@ def sanitize_profile(profiles: DataFrame) -> DataFrame:
         F.get(box, F.lit(2)).alias("bbox_width"),
         F.get(box, F.lit(3)).alias("bbox_height"),
     )
+
+
+def left_out(df: DataFrame, vector: str, dim: int | None = None) -> DataFrame:
+    """(reason, rows): how many rows a vector operator can use, and why it leaves the others out.
+
+    Reasons in the order of their checks: null, empty, other_length (than ``dim``, by default the usual
+    length of the table), not_finite (a null element too), zero; the rest is usable.  A reason without rows
+    has no row.
+    """
+    dim = dimension_of(df, vector) if dim is None else dim
+    v = F.col(vector)
+    reason = (
+        F.when(v.isNull(), "null")
+        .when(F.size(v) == 0, "empty")
+        .when(F.size(v) != dim, "other_length")
+        .when(~is_finite(v), "not_finite")
+        .when(norm(v) == 0, "zero")
+        .otherwise("usable")
+    )
+    return df.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("rows"))

@@ -196,23 +196,28 @@ def assignment_overwrite(spark, d):
     return merged.withColumns({c: stamp(c) for c in ("created_at", "updated_at")})
 
 
-@query(
-    "album_split",
-    """SELECT CASE WHEN s >= 0.7 THEN 'matched' ELSE 'anonymous' END AS kind, cluster_key, CASE WHEN s >= 0.7 THEN user_id END AS user_id,
+ALBUMS = """SELECT CASE WHEN s >= {t} THEN 'matched' ELSE 'anonymous' END AS kind, cluster_key, CASE WHEN s >= {t} THEN user_id END AS user_id,
  round(s, 6) AS similarity FROM (SELECT run_id || '/' || cluster_id AS cluster_key, user_id, s,
   row_number() OVER (PARTITION BY run_id, cluster_id ORDER BY round(s, 12) DESC, user_id) AS n FROM scores) WHERE n = 1
 UNION ALL SELECT CASE WHEN s >= 0.5 THEN 'matched_noise' ELSE 'noise' END, 'noise/' || run_id || '/' || detection_id, CASE WHEN s >= 0.5 THEN user_id END,
  round(s, 6) FROM (SELECT run_id, detection_id, user_id, s, row_number() OVER (PARTITION BY run_id, detection_id ORDER BY round(s, 12) DESC, user_id) AS n
-  FROM members JOIN cross_pair USING (detection_id) WHERE cluster_id IS NULL) WHERE n = 1""",
-)
-def album_split(spark, d):
+  FROM members JOIN cross_pair USING (detection_id) WHERE cluster_id IS NULL) WHERE n = 1"""
+
+
+@query("album_split", ALBUMS.format(t=0.7))
+def album_split(spark, d, threshold=0.7):
     owners = I.clusters(spark, d).select("cluster_key", "owner_unit")
     noise = I.members(spark, d).where(F.col("cluster_id").isNull()).select(
         F.concat_ws("/", F.lit("noise"), "run_id", F.col("detection_id").cast("string")).alias("cluster_key"),
         F.col("unit").alias("owner_unit"),
     )
     known = O.load_profiles(I.profiles(spark, d))
-    return O.album_split(owners, known, noise, "cluster_key", "owner_unit", threshold=0.7)
+    return O.album_split(owners, known, noise, "cluster_key", "owner_unit", threshold=threshold)
+
+
+@query("album_split_default", ALBUMS.format(t=0.6))
+def album_split_default(spark, d):
+    return album_split(spark, d, 0.6)
 
 
 @query(
@@ -262,6 +267,43 @@ def user_assignments_grouped(spark, d):
     return O.user_assignments_grouped(I.assignments(spark, d), bucket="photos")
 
 
+GROUPED = """SELECT '{name}' AS filter, user_id, run_id, bucket_path, count(*) AS cluster_count, sum(face_count)::BIGINT AS total_faces,
+ round(avg(similarity), 4) AS avg_similarity FROM assignments WHERE {rows} GROUP BY ALL"""
+
+
+@query(
+    "user_assignments_filtered",
+    " UNION ALL ".join([
+        GROUPED.format(name="none", rows="TRUE"),
+        GROUPED.format(name="run", rows="run_id = 'r1a'"),
+        GROUPED.format(name="run_sub", rows="run_id = 'r2b' AND bucket_path LIKE '%/b'"),
+        GROUPED.format(name="both", rows="bucket_path = 'photos/b'"),
+        GROUPED.format(name="sub", rows="bucket_path LIKE '%/a'"),
+    ]),
+)
+def user_assignments_filtered(spark, d):
+    """By run, run and sub-bucket, bucket with sub-bucket, and sub-bucket alone."""
+    table = I.assignments(spark, d)
+    calls = {
+        "none": {}, "run": {"run_id": "r1a"}, "run_sub": {"run_id": "r2b", "sub_bucket": "b"},
+        "both": {"bucket": "photos", "sub_bucket": "b"}, "sub": {"sub_bucket": "a"},
+    }
+    whole = None
+    for name, how in calls.items():
+        part = O.user_assignments_grouped(table, **how).select(F.lit(name).alias("filter"), "*")
+        whole = part if whole is None else whole.unionByName(part)
+    return whole
+
+
+@query(
+    "assignment_dry_run",
+    f"SELECT {FIELDS.format(t='')}, {TIMES.format(c='created_at', u='created_at')} FROM assignments",
+)
+def assignment_dry_run(spark, d):
+    same = O.assignment_upsert(I.assignments(spark, d), fresh(spark, d), at("2024-03-01 00:00:00"), dry_run=True)
+    return same.withColumns({c: stamp(c) for c in ("created_at", "updated_at")})
+
+
 @query(
     "run_assignment_info",
     """SELECT run_id, count(*) AS total_assigned, count(DISTINCT user_id) AS total_users, round(avg(similarity), 6) AS avg_similarity

@@ -206,6 +206,22 @@ def cluster_pages(spark, d):
     return pages.select("run_id", "cluster_id", F.size("members").alias("n_members"), ids.alias("ids"))
 
 
+@query(
+    "cluster_pages_small",
+    """SELECT run_id, cluster_id, count(*) AS n_members, sum(detection_id)::BIGINT AS id_sum, TRUE AS short, count(*) > 5 AS several
+FROM members GROUP BY run_id, cluster_id""",
+)
+def cluster_pages_small(spark, d):
+    """Pages of at most five members: together they hold every member once."""
+    members = I.members(spark, d).join(I.runs(spark, d).select("run_id"), "run_id")
+    pages = S.cluster_pages(members, page_rows=5)
+    ids = F.aggregate("members", F.lit(0).cast("long"), lambda total, m: total + m["detection_id"])
+    sized = pages.select("run_id", "cluster_id", F.size("members").alias("n"), ids.alias("ids"))
+    return sized.groupBy("run_id", "cluster_id").agg(
+        F.sum("n").alias("n_members"), F.sum("ids").alias("id_sum"), (F.max("n") <= 5).alias("short"), (F.count(F.lit(1)) > 1).alias("several")
+    )
+
+
 UUID5 = """(h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-'
  || '89ab'[(('0x' || h[17])::INTEGER % 4) + 1] || h[18:20] || '-' || h[21:32])"""
 DIGEST = "sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(detection_id || '_' || run_id))"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clanmark.functions import vectors as V
+from clanmark.operators.filters import left_out
 from clanmark.operators.similarity import similarity_self_join
 from clanmark.registry import inputs as I
 from clanmark.registry.base import checksum, checksum_sql, query
@@ -139,6 +140,20 @@ def vector_mean_ragged(spark, d):
     return exploded.select("label", "size", (F.col("p") + 1).alias("pos"), "value")
 
 
+@query(
+    "left_out",
+    """SELECT CASE WHEN i % 29 = 0 THEN 'null' WHEN i % 17 = 0 THEN 'empty' WHEN i % 17 IN (1, 2) THEN 'other_length'
+ WHEN i % 19 = 0 THEN 'not_finite' WHEN i % 23 = 0 THEN 'zero' ELSE 'usable' END AS reason, count(*) AS rows FROM e GROUP BY 1""",
+)
+def left_out_rows(spark, d):
+    """Ragged vectors, some of them null, zero or with an infinite element."""
+    i, v = F.col("vec_id"), F.col("vector")
+    odd = F.when(i % 19 == 0, F.transform(v, lambda x: x * F.lit(float("inf"))))
+    odd = odd.when(i % 23 == 0, F.transform(v, lambda x: x * 0.0)).otherwise(v)
+    spoiled = ragged(spark, d).withColumn("vector", F.when(i % 29 > 0, odd))
+    return left_out(spoiled, "vector")
+
+
 @query(
     "similarity_self_join_ragged",
     """SELECT a.i AS a, b.i AS b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity
