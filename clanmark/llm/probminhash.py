@@ -26,6 +26,8 @@ from clanmark.sources.workspace import materialize, release
 
 WORDS = 5
 SIMILARITY = 0.8
+#: What repetition adds to the weight of a shingle at most.
+REPEATED = 0.25
 #: At a similarity of 0.8 a pair shares a band with probability 1 - (1 - 0.8^5)^25 = 0.99995.
 BANDS, ROWS = 25, 5
 SLICE_BYTES, SLICE_DOCS = 2 << 20, 2048
@@ -85,6 +87,16 @@ def shingle_sets(
     return distinct & np.uint64((1 << 52) - 1), (distinct >> _DOC_SHIFT).astype(np.int64), times
 
 
+def shingle_weights(times: np.ndarray) -> np.ndarray:
+    """Weight of a shingle by how often it occurs: from 1 for once towards ``1 + REPEATED``.
+
+    Links are a matter of plain sets, so repetition must not move a pair far apart: two texts of
+    which one repeats shared shingles any number of times keep a probability Jaccard of 0.73 at
+    least where their sets have 0.8, and share a band with probability 0.997 at least.
+    """
+    return 1.0 + REPEATED * (1.0 - 1.0 / times)
+
+
 def prob_min_hash(elements: np.ndarray, doc: np.ndarray, weights: np.ndarray, docs: int, registers: int) -> np.ndarray:
     """The signatures of ``docs`` documents: per register the element of the first arrival.
 
@@ -133,7 +145,7 @@ def _sign(bands: int, rows: int, words: int):
                 hashes, offsets = word_hashes(texts)
                 f1, f2 = fingerprints(hashes, offsets)
                 elements, doc, times = shingle_sets(hashes, offsets, f1, words)
-                weights = 1.0 + np.log(times)
+                weights = shingle_weights(times)
                 keys = band_keys(prob_min_hash(elements, doc, weights, len(texts), bands * rows), bands, rows)
                 none = np.bincount(doc, minlength=len(texts)) == 0
                 ends = np.concatenate([[0], np.cumsum(np.where(none, 0, bands))])

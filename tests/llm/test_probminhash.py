@@ -89,6 +89,21 @@ def test_signatures_estimate_probability_jaccard():
     assert hits / (64 * n) == pytest.approx(want, abs=0.015)
 
 
+@pytest.mark.parametrize("times", [1, 10, 100, 1000])
+def test_repeated_blocks_lose_no_links(times):
+    """Sets of similarity 0.8, half of what they share ``times`` over in one text: nearly all share a band."""
+    shared, pairs = 80, 0
+    for seed in range(300):
+        names = P.mixed(np.arange(120).astype(np.uint64) + np.uint64(seed << 20)) >> np.uint64(12)
+        first, second = np.arange(90), np.concatenate([np.arange(shared), np.arange(100, 110)])
+        elements = np.concatenate([names[first], names[second]])
+        n = np.where(np.arange(180) < shared // 2, times, 1).astype(float)
+        doc = np.repeat([0, 1], 90)
+        keys = P.band_keys(P.prob_min_hash(elements, doc, P.shingle_weights(n), 2, P.BANDS * P.ROWS), P.BANDS, P.ROWS)
+        pairs += bool((keys[0] == keys[1]).any())
+    assert pairs >= 0.99 * 300
+
+
 def test_shingles_and_similarity():
     texts = ["a b c d e f a b c d e", "a b", "", "A b C d e", samples.words(3, 400)]
     hashes, at = word_hashes(pa.array(texts))
