@@ -115,11 +115,12 @@ def _large_components(df: DataFrame, key: str, limit: float, layout_options: dic
     options = {**layout_options, "dim": dim}
     members = df.select(key, F.col(key).alias("cluster"))
     state = df.select(F.col(key).alias("cluster"), F.col("unit").alias("total"), F.lit(1.0).alias("n"))
-    state, kept = materialize(state, "linkage"), None
+    state, kept, stale = materialize(state, "linkage"), None, ()
     asked = state.select("cluster")
     while True:
         partners = _nearest(state, asked, limit, options)
         partners = materialize(partners if kept is None else kept.unionByName(partners), "linkage")
+        release(*stale)
         pairs = partners.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("cluster"))
         mutual = pairs.groupBy("lo", "cluster").agg(F.count(F.lit(1)).alias("c")).where("c = 2")
         merges = materialize(mutual.select("cluster", "lo"), "linkage")
@@ -127,17 +128,17 @@ def _large_components(df: DataFrame, key: str, limit: float, layout_options: dic
             release(state, partners, merges)
             return members
         target = F.coalesce("lo", "cluster").alias("cluster")
-        before = (members, state, partners, merges, kept, asked)
+        before = (members, state)
         members = materialize(members.join(merges, "cluster", "left").select(key, target), "linkage")
         alive = partners.select(F.col("a").alias("cluster")).unionByName(partners.select(F.col("b").alias("cluster")))
         moved = state.join(alive, "cluster", "left_semi").join(merges, "cluster", "left").select(target, "total", "n")
         sums = vector_sums(moved, ["cluster"], "total", dim, {"n": F.col("n")})
         state = materialize(sums.select("cluster", F.col("_sum").alias("total"), "n"), "linkage")
-        changed = merges.select("lo").unionByName(merges.select(F.col("cluster").alias("lo")))
-        calm = partners.join(changed, F.col("a") == F.col("lo"), "left_anti").join(changed, F.col("b") == F.col("lo"), "left_anti")
-        kept = materialize(calm, "linkage")
-        asked = materialize(state.select("cluster").join(kept.select(F.col("a").alias("cluster")), "cluster", "left_anti"), "linkage")
         release(*before)
+        changed = merges.select("lo").unionByName(merges.select(F.col("cluster").alias("lo")))
+        kept = partners.join(changed, F.col("a") == F.col("lo"), "left_anti").join(changed, F.col("b") == F.col("lo"), "left_anti")
+        asked = state.select("cluster").join(kept.select(F.col("a").alias("cluster")), "cluster", "left_anti")
+        stale = (partners, merges)  # read until the next partners are written
 
 
 def _nearest(state: DataFrame, asked: DataFrame, limit: float, options: dict) -> DataFrame:

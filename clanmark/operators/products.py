@@ -159,10 +159,11 @@ def best_products(
     left = S._one_length(left, left_vector, dim).select(F.col(left_key).alias("_a"), F.col(left_vector).alias("_v"))
     right = S._one_length(right, right_vector, dim).select(F.col(right_key).alias("_b"), F.col(right_vector).alias("_v"), plain.alias("_t"))
     left = left.select("*", norm("_v").alias("_l"), F.lit(1.0).alias("_t"))
-    right = materialize(right.select("*", norm("_v").alias("_l")), "partners")
+    right = right.select("*", norm("_v").alias("_l"))
     kind = S._pair_schema(left.schema["_a"].dataType, right.schema["_b"].dataType, ("a", "b"))
     if S._fits_broadcast(right, "_b", "_v", broadcast_bytes):
         return _products_by_broadcast(left, right, over, other, kind)
+    right = materialize(right, "partners")
     most = right.agg(F.max(F.when(~F.isnan("_l"), F.col("_l"))).alias("l"), F.max("_t").alias("t")).first()
     longest, largest = most["l"] or 0.0, most["t"] or 0.0
 
