@@ -1,6 +1,7 @@
 """Every query of the package over the small tables, against its SQL or its plain counterparts."""
 
 import hashlib
+import re
 from collections import defaultdict
 
 import corpus_pipeline
@@ -10,7 +11,7 @@ import check
 from clanmark.llm import voting
 from clanmark.llm.base import load, table
 
-from . import test_grace, test_probminhash
+from . import samples, test_grace, test_probminhash
 
 FOLDER = "/root/testdata/sf0.001"
 BASE = load()
@@ -80,3 +81,18 @@ def test_pipeline_of_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, FOLDER)
         assert docs.count() == 0
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows and clashing columns go through every stage."""
+    docs = samples.documents(spark)
+    plain = [re.sub(r"[ \t-\r]", "", t or "") for _, t in samples.texts()]
+    good = corpus_pipeline.quality(spark, docs, FOLDER)
+    assert good.columns == docs.columns and good.count() <= len(plain)
+    once = corpus_pipeline.exact_dedup(spark, docs, FOLDER)
+    left = [re.sub(r"[ \t-\r]", "", r.text or "") for r in once.collect()]
+    assert once.columns == docs.columns and sorted(left) == sorted(set(plain))
+    apart = corpus_pipeline.near_dedup(spark, docs, FOLDER)
+    assert apart.columns == docs.columns and apart.count() == len(test_probminhash.brute(samples.texts()))
+    placed = corpus_pipeline.packing(spark, docs, FOLDER).collect()
+    assert sum(r.piece == 0 for r in placed) == len(plain)
