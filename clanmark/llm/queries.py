@@ -75,7 +75,7 @@ def op5_reply_trees(spark, folder):
     kind = "conv_id long, turn long, role string, text string"
     more = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], kind)
     messages = materialize(reply_trees.linear(turns.unionByName(more)), "messages")
-    return reply_trees.digests(messages)
+    return reply_trees.digests(messages, unique=True)  # numbered by turn
 
 
 @query("op6_residual_packing")

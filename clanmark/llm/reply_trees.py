@@ -83,8 +83,10 @@ def paths(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 
     Each round joins the table with itself: a jump over 2^i parents follows two over 2^(i-1).  Only
     nodes that have not reached their root go on, so a long path does not make others wait.  A parent
-    that is not in the tree makes its child a root.  A tree of depth d takes log2(d) + 1 rounds.  A
-    circle of parents has no root and raises an error after 64 rounds.
+    that is not in the tree makes its child a root.  A tree of depth d takes log2(d) + 1 rounds.
+
+    A circle of parents has no root: messages on one, or below one, are left out.  They are what goes
+    on after as many rounds as the largest tree could need.  Nodes must be unique in their tree.
     """
     known = nodes.select("tree", F.col("node").alias("parent"), F.lit(1).alias("_known")).distinct()
     state = materialize(
@@ -98,10 +100,9 @@ def paths(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         "jumps",
     )
     parents = state.where("up IS NOT NULL").select("tree", F.col("up").alias("node"), F.lit(1).alias("_parent")).distinct()
+    largest = state.groupBy("tree").count().agg(F.max("count").alias("n")).first()["n"] or 0
     ended, jumps = state.where("up IS NULL"), []
-    while not (going := state.where("up IS NOT NULL")).isEmpty():
-        if len(jumps) > 64:
-            raise ValueError("the parents of some messages form a circle")
+    while len(jumps) <= int(largest).bit_length() and not (going := state.where("up IS NOT NULL")).isEmpty():
         jumps.append(going)
         above = ended.unionByName(going).select(
             "tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_d"), F.col("total").alias("_t")
@@ -138,16 +139,23 @@ def branches(nodes: DataFrame, best: int | None = 1) -> DataFrame:
     return found
 
 
-def format_paths(messages: DataFrame, best: int | None = 1, template: Template = TEMPLATE) -> DataFrame:
+def format_paths(messages: DataFrame, best: int | None = 1, template: Template = TEMPLATE, unique: bool = False) -> DataFrame:
     """(tree, branch, formatted, loss): each chosen branch of (tree, node, parent, role, text, score)
     as one string, and the spans of code points that the loss is taken over.
 
     ``loss``: array of (start, length), start from 0: the assistants' texts as they are written.
     Null texts and roles are empty.  Texts may hold any string: what begins a control string is
     escaped reversibly.
+
+    Of messages with the same tree and node the least one (by parent, role, text and score) counts; ``unique`` says
+    that there are none and saves the look.  A message without a node number is left out; one whose parents lead
+    into a circle is on no branch.
     """
     # Inside a struct a null tree is a key like any other.
     own = messages.withColumn("tree", F.struct(F.col("tree").alias("key")))
+    if not unique:
+        least = F.min(F.struct("parent", "role", "text", "score")).alias("own")
+        own = materialize(own.where("node IS NOT NULL").groupBy("tree", "node").agg(least).select("tree", "node", "own.*"), "messages")
     turns = branches(own, best).join(own.select("tree", "node", "role", "text"), ["tree", "node"])
     written = escape(F.col("text"))
     role = F.coalesce("role", F.lit(""))
@@ -210,9 +218,9 @@ def read_loss(formatted: Column, loss: Column) -> Column:
     return F.array_join(texts, "")
 
 
-def digests(messages: DataFrame, template: Template = TEMPLATE) -> DataFrame:
-    """What can be read back of every conversation's best branch: counts and digests."""
-    lines = format_paths(messages, 1, template)
+def digests(messages: DataFrame, template: Template = TEMPLATE, unique: bool = False) -> DataFrame:
+    """What can be read back of every conversation's best branch: counts and digests.  ``unique``: see ``format_paths``."""
+    lines = format_paths(messages, 1, template, unique)
     turns, learned = read_turns(F.col("formatted"), template), read_loss(F.col("formatted"), F.col("loss"))
     read = lines.select("tree", "formatted", turns.alias("turns"), learned.alias("learned"))
     plain = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

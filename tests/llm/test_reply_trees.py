@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from clanmark.llm import reply_trees as R
 
@@ -53,9 +54,51 @@ def test_digests(spark):
     assert R.digests(R.linear(none)).count() == 0
 
 
-def test_long_chain_and_circle(spark):
+def test_long_chain(spark):
     chain = spark.range(1, 1001).selectExpr("7L AS tree", "id AS node", "CASE WHEN id > 1 THEN id - 1 END AS parent", "'user' AS role", "string(id) AS text", "1.0D AS score")
     turns = R.format_paths(chain).select(R.read_turns(R.F.col("formatted")).alias("t")).first().t
     assert [t.text for t in turns] == [str(i) for i in range(1, 1001)]
     repeated = spark.createDataFrame([(1, 0, "user", "a")] * 3, "conv_id long, turn long, role string, text string")
     assert R.digests(R.linear(repeated)).first().n_turns == 3
+
+
+def brute(rows, best):
+    """Branches of every tree, parent by parent; the least of repeated nodes, none that lead into a circle."""
+    trees = {}
+    for tree, node, *rest in rows:
+        own = trees.setdefault(tree, {})
+        key = tuple((x is not None, x) for x in rest)
+        if node is not None and (node not in own or key < own[node][0]):
+            own[node] = key, rest
+    out = {}
+    for tree, own in trees.items():
+        parents, found = {r[0] for _, r in own.values()}, []
+        for node in own:
+            path, at = [], node
+            while at in own and at not in path:
+                path.append(at)
+                at = own[at][1][0]
+            if at not in path and node not in parents:
+                score = sum(own[n][1][3] or 0.0 for n in path) / len(path)
+                found.append((-score, -len(path), node, "".join(own[n][1][2] for n in reversed(path))))
+        for k, (*_, text) in enumerate(sorted(found)[:best], 1):
+            out[tree, k] = text
+    return out
+
+
+def test_random_forests_with_repeated_nodes_and_circles(spark):
+    draw = random.Random(4)
+    rows = []
+    for tree in range(25):
+        n = draw.randint(1, 14)
+        nodes = [(tree, i, draw.choice([None, *range(1, i)]) if i > 1 else None, "user", f"m{i} ", float(draw.randint(0, 3))) for i in range(1, n + 1)]
+        if tree % 3 == 0:
+            a, b = 100, 101
+            nodes += [(tree, a, b, "user", "a ", 1.0), (tree, b, a, "user", "b ", 1.0), (tree, 102, a, "user", "c ", 9.0), (tree, 103, 103, "user", "d ", 9.0)]
+        rows += nodes + [(*r[:4], r[4] + "again ", r[5]) for r in draw.choices(nodes, k=3)] + nodes[:1] + [(tree, None, 1, "user", "none", 1.0)]
+    draw.shuffle(rows)
+    got = {(r.tree, r.branch): r.formatted for r in R.format_paths(spark.createDataFrame(rows, KIND), best=3).collect()}
+    plain = {k: "".join(t for t in v.replace("[INST] ", "").split("[/INST]")) for k, v in got.items()}
+    assert plain == brute(rows, 3) and len(plain) > 40
+    only = spark.createDataFrame([(1, 1, 2, "user", "a", 1.0), (1, 2, 1, "user", "b", 1.0)], KIND)
+    assert R.format_paths(only).count() == 0
