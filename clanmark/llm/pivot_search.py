@@ -29,8 +29,10 @@ BLOCK_ROWS = 4096
 BLOCK_CELLS = 1 << 21
 #: Candidates that a query evaluates at a time before it looks at its k-th score again.
 STEP = 64
-#: Added to the bounds: more than the rounding of distances below 2**24.
-SLACK = 1.0
+#: Added to the bounds: more than the rounding of distances below 2**24, and a share of the squares for longer ones.
+SLACK, ROUNDED = 1.0, 1e-9
+#: Sums of two squares up to which products are exact as doubles.
+EXACT = 2.0**53
 
 TABLE = "vec_id long, dim int, vec binary, pivots binary"
 HITS = "query_id long, vec_id long, score long"
@@ -108,6 +110,7 @@ class _Queries:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, k: int):
         self.ids, self.vectors, self.pivots, self.k = ids, vectors.astype(np.float64), pivots, k
+        self.whole = vectors.astype(np.int64)
         self.squares = (self.vectors**2).sum(1)
         self.best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids]
 
@@ -125,11 +128,15 @@ class _Queries:
             if pivots.shape[1] == self.pivots.shape[1] and len(self.ids):
                 for p in range(pivots.shape[1]):
                     np.maximum(far, np.abs(self.pivots[some, p][:, None] - pivots[None, :, p]), out=far)
-            bounds = (self.squares[some][:, None] + squares[None, :] - far * far) / 2.0 + SLACK
+            size = self.squares[some][:, None] + squares[None, :]
+            bounds = (size - far * far) / 2.0 + SLACK + ROUNDED * size
             for q in range(first, first + len(bounds)):
-                self._evaluate(q, ids, x, bounds[q - first])
+                # |q . x| is at most (|q|^2 + |x|^2) / 2, so beyond 2**53 products are made in whole numbers
+                large = size[q - first].max(initial=0.0) > EXACT
+                self._evaluate(q, ids, vectors if large else x, bounds[q - first])
 
     def _evaluate(self, q: int, ids: np.ndarray, x: np.ndarray, bounds: np.ndarray) -> None:
+        query = self.whole[q] if x.dtype == np.int64 else self.vectors[q]
         kth, last = self._kth(q)
         able = np.flatnonzero(bounds >= kth)
         order = able[np.argsort(-bounds[able], kind="stable")]
@@ -137,7 +144,9 @@ class _Queries:
             if bounds[order[at]] < kth:
                 break
             some = order[at : at + STEP]
-            scores = np.rint(x[some] @ self.vectors[q]).astype(np.int64)
+            scores = x[some] @ query
+            if x.dtype != np.int64:
+                scores = np.rint(scores).astype(np.int64)
             good = (ids[some] != self.ids[q]) & ((scores > kth) | ((scores == kth) & (ids[some] < last)))
             if good.any():
                 own_ids = np.concatenate([self.best[q][0], ids[some][good]])
@@ -208,7 +217,7 @@ def top_inner_products(
     are all rows but those with the query's own id; ties go to the smaller vec_id; a query has fewer
     rows if there are fewer candidates.  Rows with a null id or vector take no part; vectors of
     different lengths have no product.  Repeated rows of other ids than the query's count once each.
-    Scores must stay below 2**53.
+    Scores must fit in a LONG; beyond 2**53 they are made in whole numbers.
 
     One pass over the pivot table serves as many queries as fit in ``query_bytes``; each task keeps k
     rows per query of the pass, and ranks are made of those.

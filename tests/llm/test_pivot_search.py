@@ -54,3 +54,13 @@ def test_other_lengths_with_more_rows_than_k(spark):
         assert sorted(map(tuple, got.collect())) == brute(rows, 5, 20)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_scores_beyond_doubles(spark):
+    draw = random.Random(9)
+    rows = [(i, [draw.randint(-30_000 * 1024, 30_000 * 1024) | 1 for _ in range(64)]) for i in range(300)]
+    rows += [(1000 + i, [v + (i % 3) for v in rows[0][1]]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>").repartition(3)
+    got = top_inner_products(df, F.col("vec_id") % 50 == 0, 10, pivots=6)
+    want = brute(rows, 10, 50)
+    assert sorted(map(tuple, got.collect())) == want and max(r[3] for r in want) > 1 << 53
