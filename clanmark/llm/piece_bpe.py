@@ -27,7 +27,8 @@ from clanmark.llm.words import IS_BLANK, buffers, byte_slices, gathered
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Byte b is written as the character FIRST + b: none is white space or changed by sentencepiece.
 FIRST = 0x100
-CACHED_CHUNKS = 300_000
+#: Chunks that a Python worker keeps between batches, and characters of the longest of them.
+CACHED_CHUNKS, LONGEST_CACHED = 300_000, 64
 SLICE_BYTES = 4 << 20
 
 _TO_CHARS = {b: FIRST + b for b in range(256)}
@@ -150,6 +151,9 @@ class PieceCodec:
             missing = distinct
         self._learn(missing)
         parts = [self.known[x] for x in distinct]
+        for x in missing:  # a text without blanks is one chunk: the cache is for words
+            if len(x) > LONGEST_CACHED:
+                del self.known[x]
         lengths = np.array([len(x) for x in parts], dtype=np.int64) // 4
         flat = np.frombuffer(b"".join(parts), dtype=np.int32)
         codes = coded.indices.to_numpy(zero_copy_only=False)

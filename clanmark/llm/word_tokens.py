@@ -18,8 +18,8 @@ import public_tokenizers
 from clanmark.llm.words import IS_BLANK, buffers, gathered
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
-#: Kept between batches by a Python worker; beyond it, the cache starts anew.
-CACHED_CHUNKS = 150_000
+#: Chunks that a Python worker keeps between batches, and characters of the longest of them; beyond them, the cache starts anew.
+CACHED_CHUNKS, LONGEST_CACHED = 150_000, 64
 #: Stands between chunks that are encoded in one call; a chunk that holds it is encoded alone.
 MARK = "\x01"
 
@@ -118,6 +118,9 @@ class ChunkEncoder:
             missing = distinct
         self._learn(missing)
         parts = [self.known[x] for x in distinct]
+        for x in missing:  # a text without blanks is one chunk: the cache is for words
+            if len(x) > LONGEST_CACHED:
+                del self.known[x]
         lengths = np.array([len(x) for x in parts], dtype=np.int64) // 4
         flat = np.frombuffer(b"".join(parts), dtype=np.int32)
         codes = coded.indices.to_numpy(zero_copy_only=False)

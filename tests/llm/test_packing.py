@@ -82,3 +82,12 @@ def test_special_tokens_are_those_of_the_unmodified_library(spark):
     assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == want
     rows = packing.token_pieces(samples.documents(spark, list(enumerate(SPECIAL))), with_ids=True).collect()
     assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rows} == {i: [*want[i], 0] for i in range(len(SPECIAL))}
+
+
+def test_the_cache_keeps_no_long_chunks():
+    """Texts in a script without blanks are one chunk each."""
+    texts = ["日本語学校" * 400 + str(i) for i in range(20)] + ["short words stay", "日本"]
+    encoder = word_tokens.ChunkEncoder(word_tokens.WORD_BPE, False)
+    first = encoder.encode(pa.array(texts))
+    assert encoder.known and max(map(len, encoder.known)) <= word_tokens.LONGEST_CACHED
+    assert all((a == b).all() for a, b in zip(first, encoder.encode(pa.array(texts))))

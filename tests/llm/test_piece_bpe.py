@@ -37,3 +37,12 @@ def test_rows(spark, library):
     want = sorted(((i is None, i or 0, t or "", library.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows), key=str)
     assert got == want
     assert piece_bpe.digests(docs).count() == len(rows) and piece_bpe.digests(samples.empty(spark)).count() == 0
+
+
+def test_the_cache_keeps_no_long_chunks(library):
+    texts = ["日本語学校" * 400 + str(i) for i in range(20)] + ["short words stay", "日本"]
+    codec = piece_bpe.PieceCodec(piece_bpe.BYTE_BPE)
+    for _ in range(2):
+        ids, at = codec.encode(pa.array(texts))
+        assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == [library.encode_ordinary(t) for t in texts]
+    assert codec.known and max(map(len, codec.known)) <= piece_bpe.LONGEST_CACHED
