@@ -146,9 +146,8 @@ class PieceCodec:
         coded = found.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         missing = [x for x in distinct if x not in self.known]
-        if len(self.known) + len(missing) > CACHED_CHUNKS and len(missing) < len(distinct):
-            self.known.clear()
-            missing = distinct
+        if len(self.known) + len(missing) > CACHED_CHUNKS:  # what these texts use is kept
+            self.known = {x: self.known[x] for x in distinct if x in self.known}
         self._learn(missing)
         parts = [self.known[x] for x in distinct]
         for x in missing:  # a text without blanks is one chunk: the cache is for words

@@ -18,7 +18,7 @@ import public_tokenizers
 from clanmark.llm.words import IS_BLANK, buffers, gathered
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
-#: Chunks that a Python worker keeps between batches, and characters of the longest of them; beyond them, the cache starts anew.
+#: Chunks that a Python worker keeps between batches, and characters of the longest of them; beyond them, what the texts at hand use is kept.
 CACHED_CHUNKS, LONGEST_CACHED = 150_000, 64
 #: Stands between chunks that are encoded in one call; a chunk that holds it is encoded alone.
 MARK = "\x01"
@@ -113,9 +113,8 @@ class ChunkEncoder:
         coded = found.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         missing = [x for x in distinct if x not in self.known]
-        if len(self.known) + len(missing) > CACHED_CHUNKS and len(missing) < len(distinct):
-            self.known.clear()
-            missing = distinct
+        if len(self.known) + len(missing) > CACHED_CHUNKS:  # what these texts use is kept
+            self.known = {x: self.known[x] for x in distinct if x in self.known}
         self._learn(missing)
         parts = [self.known[x] for x in distinct]
         for x in missing:  # a text without blanks is one chunk: the cache is for words
