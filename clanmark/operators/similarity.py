@@ -37,6 +37,9 @@ from clanmark.sources.workspace import materialize
 MIN_UNIT_ROWS = 2048
 MAX_UNIT_ROWS = 32768
 MAX_PIVOTS = 2048
+#: A table cut into more units than so many makes copies of rows and not work for more tasks, while units may still grow.
+MOST_CHUNKS = 32
+SAMPLED_VISITORS = 1024
 #: A pivot with more than so many units of rows gets pivots of its own, so many at most, all of them together in so many bytes.
 FEW_UNITS = 4
 MAX_CHILDREN = 1024
@@ -100,6 +103,8 @@ class Layout:
     home_rows: np.ndarray | None = None
     visit_rows: np.ndarray | None = None
     unit_rows: int = MIN_UNIT_ROWS
+    home_chunk_rows: int = MIN_UNIT_ROWS
+    visit_chunk_rows: int = MIN_UNIT_ROWS
     groups: np.ndarray | None = None
     low: np.ndarray | None = None
     high: np.ndarray | None = None
@@ -135,8 +140,11 @@ class Layout:
     def cells(self) -> int:
         return self.rings * (1 if self.pivots is None else len(self.pivots))
 
-    def chunks(self, rows: np.ndarray) -> np.ndarray:
-        return np.ceil(rows / self.unit_rows).astype(np.int64)
+    def home_chunks(self) -> np.ndarray:
+        return np.ceil(self.home_rows / self.home_chunk_rows).astype(np.int64)
+
+    def visit_chunks(self) -> np.ndarray:
+        return np.ceil(self.visit_rows / self.visit_chunk_rows).astype(np.int64)
 
     def is_core(self, sims: np.ndarray) -> np.ndarray:
         return np.round(sims, 12) >= self.threshold
@@ -401,8 +409,32 @@ def _finer(df: DataFrame, key: str, vector: str, layout: Layout) -> Layout | Non
     if len(ids) == count:
         return None
     return Layout(
-        layout.threshold, np.concatenate(pivots), tuple(ids), unit_rows=layout.unit_rows, forest=layout.forest,
-        parents=layout.pivots, first=np.array(first),
+        layout.threshold, np.concatenate(pivots), tuple(ids), unit_rows=layout.unit_rows,
+        home_chunk_rows=layout.home_chunk_rows, forest=layout.forest, parents=layout.pivots, first=np.array(first),
+    )
+
+
+def _tells_apart(df: DataFrame, vector: str, layout: Layout, rows: int) -> bool:
+    """Whether a row visits no more cells than the table has chunks; a few sampled rows say so.
+
+    Many pivots pay where they tell groups apart.  Where they do not, nearly every row visits every cell, and
+    copies per row are the number of cells.  The sample only steers the placement.
+    """
+    count = -(-rows // layout.home_chunk_rows)
+    if len(layout.pivots) <= 2 * max(2, count):
+        return True
+    wanted = max(64, min(SAMPLED_VISITORS, 2 * SCRATCH_ELEMENTS // len(layout.pivots)))
+    visitors = materialize(df.select(vector).sample(min(1.0, wanted / max(rows, 1)), seed=7), "visitors")
+    return bool(_visit_counts(visitors, vector, layout, True).sum() <= count * visitors.count())
+
+
+def _coarser(layout: Layout, rows: int) -> Layout:
+    """The layout with a pivot per chunk of the table."""
+    count = max(2, -(-rows // layout.home_chunk_rows))
+    kept = np.linspace(0, len(layout.pivots) - 1, count).astype(np.int64)
+    return Layout(
+        layout.threshold, layout.pivots[kept], tuple(layout.pivot_ids[i] for i in kept),
+        unit_rows=layout.home_chunk_rows, home_chunk_rows=layout.home_chunk_rows, forest=layout.forest,
     )
 
 
@@ -420,15 +452,24 @@ def _place(
     if unit_rows_limit is None:
         share = rows // (2 * homes.sparkSession.sparkContext.defaultParallelism)
         unit_rows_limit = min(max(share, MIN_UNIT_ROWS), MAX_UNIT_ROWS)
-    layout = Layout(threshold, unit_rows=unit_rows_limit, forest=forest)
+    chunk_rows = _grown(unit_rows_limit, rows)
+    layout = Layout(threshold, unit_rows=unit_rows_limit, home_chunk_rows=chunk_rows, forest=forest)
     count = min(rows // unit_rows_limit, MAX_PIVOTS) if pivots is None else pivots
     if count > 1:
         matrix, ids = _sample_pivots(homes, key, vector, rows, count)
         if len(matrix) > 1:
             layout = replace(layout, pivots=matrix, pivot_ids=ids)
-            layout = layout.with_rows(*_ring_stats(homes, vector, layout))
+            stats = _ring_stats(homes, vector, layout)
+            layout = layout.with_rows(*stats)
+            if not _tells_apart(homes, vector, layout, rows):
+                layout = _coarser(layout, rows)
+                return homes, layout.with_rows(*_ring_stats(homes, vector, layout))
             finer = _finer(homes, key, vector, layout)
-            return homes, layout if finer is None else finer.with_rows(*_ring_stats(homes, vector, finer))
+            if finer is not None:
+                finer = finer.with_rows(*_ring_stats(homes, vector, finer))
+                if not _tells_apart(homes, vector, finer, rows):
+                    return homes, replace(layout, unit_rows=chunk_rows).with_rows(*stats)
+            return homes, layout if finer is None else finer
     return homes, replace(layout, home_rows=np.array([rows]))
 
 
@@ -437,8 +478,18 @@ def _visited(
 ) -> Layout:
     """The layout with the number of visits per cell."""
     if layout.pivots is None:
-        return replace(layout, visit_rows=np.array([0 if one_table else visitors.count()]))
-    return replace(layout, visit_rows=_visit_counts(visitors, vector, layout, one_table, bound))
+        rows = np.array([0 if one_table else visitors.count()])
+    else:
+        rows = _visit_counts(visitors, vector, layout, one_table, bound)
+    return replace(layout, visit_rows=rows, visit_chunk_rows=_grown(layout.home_chunk_rows, int(rows.sum())))
+
+
+def _grown(limit: int, rows: int) -> int:
+    """Rows of a chunk: ``limit``, or more where ``rows`` would make over ``MOST_CHUNKS`` of them.
+
+    With chunks of a fixed size every row meets a number of them that grows with the table, and copies with its square.
+    """
+    return max(limit, min(-(-rows // MOST_CHUNKS), MAX_UNIT_ROWS))
 
 
 def _one_length(df: DataFrame, vector: str, dim: int) -> DataFrame:
@@ -495,8 +546,7 @@ def _spread(
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shared.value
-        home_chunks = plan.chunks(plan.home_rows)
-        visit_chunks = plan.chunks(plan.visit_rows)
+        home_chunks, visit_chunks = plan.home_chunks(), plan.visit_chunks()
         for batch in batches:
             matrix, kept = unit_rows(batch.column(1))
             ids = batch.column(0).take(pa.array(kept))

@@ -217,3 +217,18 @@ def test_string_ids(spark):
     for options in LAYOUTS[:3]:
         found = S.similarity_self_join(df, "id", "v", 0.75, **options).collect()
         assert {(r.a, r.b) for r in found} == expected
+
+
+@pytest.mark.parametrize("options", [dict(unit_rows_limit=16, pivots=8), dict(unit_rows_limit=32)])
+def test_copies_of_a_row_do_not_grow_with_the_table(spark, options):
+    """Rows without structure, which no pivot prunes: small units given for a small table are few in a large one too."""
+    copies = []
+    for rows in (1000, 4000):
+        matrix = X.unit(np.random.default_rng(rows).normal(size=(rows, 32)))
+        matrix[rows // 2 :] = X.unit(matrix[: rows // 2] + np.random.default_rng(1).normal(scale=0.08, size=(rows // 2, 32)))
+        df = X.frame(spark, matrix)
+        copies.append(S._one_table(df, "id", "v", 0.75, **options)[2].count() / rows)
+        found = S.similarity_self_join(df, "id", "v", 0.75, **options).collect()
+        expected = X.pairs_over(X.cosines(matrix), 0.75)
+        assert len(expected) > rows / 4 and len(found) == len(expected) and {(r.a, r.b) for r in found} == expected
+    assert copies[1] < 1.5 * copies[0] and copies[1] < 3 * S.MOST_CHUNKS
