@@ -23,6 +23,10 @@ from clanmark.sources.workspace import materialize
 
 #: Added to what a partner must reach: more than the rounding of products.
 SLACK = 1e-9
+#: Products are looked through in single precision up to here.
+LARGEST = 1e30
+#: Rows with more partners than so many within the error of single precision are compared in double precision.
+NEAR_PARTNERS = 64
 
 
 # ---------------------------------------------------------------- groups
@@ -105,19 +109,66 @@ def _groups_by_broadcast(left, right, names, threshold, strict, kind) -> DataFra
 # ---------------------------------------------------------------- best products
 
 
-def _best_rows(l_ids: pa.Array, left: np.ndarray, r_ids: pa.Array, right: np.ndarray, over: float | None, other: bool) -> pa.RecordBatch:
-    """(a, b, similarity): the right row of the largest product per left row, the lower id of equals.
+def best_places(left: np.ndarray, right: np.ndarray, own: np.ndarray, over: float) -> tuple[np.ndarray, np.ndarray]:
+    """Place and value of the largest product per left row over ``over``, at 12 places; -inf if there is none.
 
-    ``other``: a row of the left row's own id is no partner.  ``right`` must be in the order of its ids.
+    The first of equals counts; ``own`` is the place that is left out (-1: none).  Single precision finds the rows
+    within its error of the largest product, double precision decides; rows with many of those take the whole block.
     """
     best, value = np.zeros(len(left), np.int64), np.full(len(left), -np.inf)
-    own = np.asarray(pc.fill_null(pc.index_in(l_ids, r_ids), -1)) if other and len(r_ids) else np.full(len(left), -1)
-    step = max(1, S.SCRATCH_ELEMENTS // max(1, len(right)))
-    for first in range(0, len(left) if len(right) else 0, step):
+    if not len(left) or not len(right):
+        return best, value
+    far = np.sqrt(np.einsum("ij,ij->i", left, left)), np.sqrt(np.einsum("ij,ij->i", right, right).max())
+    if not far[0].max() * far[1] < LARGEST or not max(far[0].max(), far[1]) < LARGEST:
+        return _best_in_double(left, right, own)
+    margin = (left.shape[1] + 4) * 1.2e-7 * far[0] * far[1] + 2e-12  # equal at 12 places is equal
+    single = right.astype(np.float32).T
+    step = max(1, S.SCRATCH_ELEMENTS // len(right))
+    for first in range(0, len(left), step):
+        rows = slice(first, min(first + step, len(left)))
+        rough = left[rows].astype(np.float32) @ single
+        same = own[rows]
+        rough[np.flatnonzero(same >= 0), same[same >= 0]] = -np.inf
+        top, error = rough.max(axis=1).astype(np.float64), margin[rows]
+        able = np.flatnonzero(top > over - error)
+        if not len(able):
+            continue
+        near = (rough if len(able) == len(rough) else rough[able]) >= (top - 2 * error)[able, None].astype(np.float32)
+        many = np.count_nonzero(near, axis=1) > NEAR_PARTNERS
+        if many.any():
+            dense = first + able[many]
+            best[dense], value[dense] = _best_in_double(left[dense], right, own[dense])
+            near[many] = False
+        i, j = np.nonzero(near)
+        if len(i):
+            at = first + able[i]
+            sims = np.round(np.einsum("ij,ij->i", left[at], right[j]), 12)
+            starts = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+            most = np.maximum.reduceat(sims, starts)
+            hits = np.flatnonzero(sims == np.repeat(most, np.diff(np.append(starts, len(i)))))
+            hits = hits[np.append(True, i[hits][1:] != i[hits][:-1])]
+            best[at[hits]], value[at[hits]] = j[hits], sims[hits]
+    return best, value
+
+
+def _best_in_double(left: np.ndarray, right: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    best, value = np.zeros(len(left), np.int64), np.full(len(left), -np.inf)
+    step = max(1, S.SCRATCH_ELEMENTS // len(right))
+    for first in range(0, len(left), step):
         block = np.round(left[first : first + step] @ right.T, 12)
         same = own[first : first + step]
         block[np.flatnonzero(same >= 0), same[same >= 0]] = -np.inf
         best[first : first + step], value[first : first + step] = block.argmax(1), block.max(1)
+    return best, value
+
+
+def _best_rows(l_ids: pa.Array, left: np.ndarray, r_ids: pa.Array, right: np.ndarray, over: float | None, other: bool) -> pa.RecordBatch:
+    """(a, b, similarity): the right row of the largest product per left row, the lower id of equals.
+
+    ``other``: a row of the left row's own id is no partner.  ``right`` must be in the order of its ids.
+    """
+    own = np.asarray(pc.fill_null(pc.index_in(l_ids, r_ids), -1)) if other and len(r_ids) else np.full(len(left), -1)
+    best, value = best_places(left, right, own, -np.inf if over is None else over)
     ok = np.flatnonzero(value > (-np.inf if over is None else over))
     columns = [l_ids.take(pa.array(ok)), r_ids.take(pa.array(best[ok])), pa.array(value[ok])]
     return pa.RecordBatch.from_arrays(columns, ["a", "b", "similarity"])

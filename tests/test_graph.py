@@ -5,6 +5,7 @@ import pytest
 
 from clanmark.operators import components as C
 from clanmark.operators.density import dbscan
+from clanmark.operators import linkage as L
 from clanmark.operators.linkage import agglomerative_average, average_merge
 from clanmark.operators import matching
 from clanmark.operators.matching import greedy_matching, merge_pairs_greedy
@@ -228,3 +229,29 @@ def test_any_distance_limit(spark):
     for limit in (1.0, 1.1):
         rows = agglomerative_average(df, "id", "v", limit, 5).collect()
         assert [c for _, c in sorted((r.id, r.cluster) for r in rows)] == textbook(matrix, limit)
+
+
+def snowball(rows=400):
+    """A cluster that takes in its neighbours one after the other, each at its own distance."""
+    angles = np.concatenate([[0.0], 0.2 + 0.0009 * np.arange(rows)])
+    side = np.random.default_rng(4).normal(size=(rows + 1, 30))
+    return np.column_stack([np.cos(angles), np.sin(angles)[:, None] * X.unit(side)])
+
+
+def test_last_clusters_are_finished_by_one_task(spark, monkeypatch):
+    matrix = snowball()
+    rounds = []
+    nearest = L._nearest
+    monkeypatch.setattr(L, "_nearest", lambda *a: rounds.append(1) or nearest(*a))
+    rows = agglomerative_average(X.frame(spark, matrix), "id", "v", 0.2, 200).collect()
+    assert [c for _, c in sorted((r.id, r.cluster) for r in rows)] == average_merge(X.unit(matrix), 0.2).tolist()
+    assert len(rounds) == 1
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_merged_clusters_as_by_the_matrix(seed):
+    rng = np.random.default_rng(seed)
+    matrix = X.unit(np.concatenate([rng.normal(size=(150, 5)), snowball(80)[:, :5], np.repeat(rng.normal(size=(4, 5)), 3, axis=0)]))
+    for limit in (0.05, 0.3, 0.6):
+        ones = np.ones(len(matrix))
+        assert L.merge_clusters(matrix, ones, limit).tolist() == average_merge(matrix, limit).tolist()

@@ -84,3 +84,20 @@ def test_linkage_searches_fewer_rows_round_by_round(spark, monkeypatch):
     rows = agglomerative_average(X.frame(spark, matrix), "id", "v", 0.4, 4).collect()
     assert [c for _, c in sorted((r.id, r.cluster) for r in rows)] == X.average_linkage(matrix, 0.4)
     assert len(asked) > 2 and asked[3] < asked[0] / 2 and sum(asked) < len(asked) * asked[0] / 3
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-25, 1e25, 1e160])
+def test_best_places_equal_those_in_double_precision(scale):
+    rng = np.random.default_rng(8)
+    right = rng.normal(size=(300, 6))
+    right = np.concatenate([right, right[:120], np.repeat(right[:1], 90, axis=0), right[:40] * (1 + 1e-9)]) * scale
+    left = np.concatenate([right[:200], rng.normal(size=(50, 6)), np.zeros((2, 6))])
+    own = np.concatenate([np.arange(200), np.full(52, -1)])
+    best, value = P.best_places(left, right, own, -np.inf)
+    want, most = P._best_in_double(left, right, own)
+    assert best.tolist() == want.tolist()
+    assert np.allclose(value, most, rtol=1e-12, atol=0)
+    over = float(np.median(value))
+    some = P.best_places(left, right, own, over)
+    ok = value > over
+    assert some[0][ok].tolist() == best[ok].tolist() and (some[1][ok] == value[ok]).all()
