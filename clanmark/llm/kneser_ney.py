@@ -131,8 +131,20 @@ def leading(shards: np.ndarray, bits: int) -> np.ndarray:
     return shards.astype(np.uint64) << np.uint64(64 - bits) if bits else shards.astype(np.uint64)
 
 
+def _packed(a: np.ndarray) -> bytes:
+    """The array's bytes compressed, the first of every row before the second ones: of sorted rows most are alike."""
+    rows = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1) if len(a) else np.zeros((0, 1), np.uint8)
+    return np.array(rows.shape, dtype="<i8").tobytes() + pa.compress(rows.T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes) -> bytes:
+    n, width = np.frombuffer(blob[:16], "<i8").tolist()
+    flat = pa.decompress(blob[16:], n * width, codec="zstd", asbytes=True)
+    return np.frombuffer(flat, np.uint8).reshape(width, n).T.tobytes()
+
+
 def _blobs(shard: list[int], *parts: list[np.ndarray]) -> pa.RecordBatch:
-    columns = [pa.array(shard, pa.int32()), *[pa.array([a.tobytes() for a in p], pa.binary()) for p in parts]]
+    columns = [pa.array(shard, pa.int32()), *[pa.array([_packed(a) for a in p], pa.binary()) for p in parts]]
     return pa.RecordBatch.from_arrays(columns, ["shard", *["keys", "counts"][: len(parts)]])
 
 
@@ -151,8 +163,8 @@ def _count_words(bits: int):
 
 
 def _joined(group: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.frombuffer(b"".join(group.column("keys").to_pylist()), kind)
-    return keys, np.frombuffer(b"".join(group.column("counts").to_pylist()), "<u4").astype(np.int64)
+    keys, counts = (np.frombuffer(b"".join(map(_unpacked, group.column(c).to_pylist())), k) for c, k in (("keys", kind), ("counts", "<u4")))
+    return keys, counts.astype(np.int64)
 
 
 def _keep_words(folder: str):
@@ -210,7 +222,7 @@ def _gram_blobs(words: Words, hot: np.ndarray, grams: list[np.ndarray], counts:
         home = _gram_keys(words, hot, grams)[2]
     else:
         home = _home(words, hot, grams[1], grams[1].astype(np.uint64) << np.uint64(32) | grams[0].astype(np.uint64))
-    order = np.argsort(home, kind="stable")
+    order = np.lexsort((*grams, home))  # in order, they take little room
     ids = np.stack([g[order].astype("<u4") for g in grams], 1)
     counts = counts[order].astype("<u4")
     edges = np.searchsorted(home[order], np.arange((1 << words.bits) + 1))
@@ -262,7 +274,9 @@ def _keep_grams(words: Words, hot: np.ndarray, order: int):
             large=large.astype("<i8"),
             large_counts=counts[large],
             known=known,
-            stats=stats.reshape(-1),
+            stats=np.minimum(stats, 255).astype(np.uint8).reshape(-1),
+            wide=(wide := np.flatnonzero((stats > 254).any(axis=1)).astype("<i8")),
+            wide_stats=stats[wide].reshape(-1),
         )
         shorter = _columns(ids[:, :-1])
         blobs = [_gram_blobs(words, hot, shorter, np.where(shorter[-1] >= words.size, counts, 1))]
@@ -465,16 +479,19 @@ def _raised(know: Model, grams: list[np.ndarray], lower: np.ndarray) -> np.ndarr
     known = np.logical_and.reduce([g >= 0 for g in grams[1:]])
     total, counts, mass = np.zeros(len(keys)), np.zeros(len(keys), np.int64), np.zeros(len(keys))
 
-    def contexts(at: np.ndarray, held: np.ndarray, stats: np.ndarray) -> None:
+    def contexts(at: np.ndarray, held: np.ndarray, stats: np.ndarray, wide: np.ndarray | None = None, wide_stats: np.ndarray | None = None) -> None:
         place = np.minimum(np.searchsorted(held, heads[at]), len(held) - 1)
         hit = held[place] == heads[at]
-        rows = stats.reshape(-1, 4)[place[hit]]
+        rows = stats.reshape(-1, 4)[place[hit]].astype(np.int64)
+        if wide is not None:
+            over = np.flatnonzero((rows == 255).any(axis=1))
+            rows[over] = wide_stats.reshape(-1, 4)[np.searchsorted(wide, place[hit][over])]
         total[at[hit]], mass[at[hit]] = rows[:, 0], rows[:, 1:] @ kinds[1:]
 
     for s, at in know._by_shard(home, known):
-        if (held := know.file(f"grams{order}-{s}", "<u8", "u1", "<i8", "<i8", "<u8", "<u4")) is None:
+        if (held := know.file(f"grams{order}-{s}", "<u8", "u1", "<i8", "<i8", "<u8", "u1", "<i8", "<u4")) is None:
             continue
-        found, small, large, large_counts, firsts, stats = held
+        found, small, large, large_counts, firsts, *stats = held
         place = np.minimum(np.searchsorted(found, keys[at]), len(found) - 1)
         times = np.where((found[place] == keys[at]) & (grams[0][at] >= 0), small[place], 0).astype(np.int64)
         over = np.flatnonzero(times == 255)
@@ -482,7 +499,7 @@ def _raised(know: Model, grams: list[np.ndarray], lower: np.ndarray) -> np.ndarr
         counts[at] = times
         plain = at[~dealt[at]]
         if len(firsts) and len(plain):
-            contexts(plain, firsts, stats)
+            contexts(plain, firsts, *stats)
     for s, at in know._by_shard((heads % np.uint64(1 << words.bits)).astype(np.int64), known & dealt):
         if (held := know.file(f"hot{order}-{s}", "<u8", "<i8")) is not None:
             contexts(at, *held)
@@ -554,7 +571,7 @@ def train(texts: DataFrame, order: int = 2) -> Model:
         kept = spark.read.schema(blobs).parquet(path)
         seen = np.zeros(4, dtype=np.int64)
         for row in kept.where((F.col("shard") < 0) & (F.col("shard") >= -(1 << bits))).select("keys").collect():
-            seen += np.frombuffer(row["keys"], "<i8")
+            seen += np.frombuffer(_unpacked(row["keys"]), "<i8")
         gram_discounts[n] = discounts(*seen.tolist())
         hot_contexts = kept.where(F.col("shard") < -(1 << bits)).groupBy("shard")
         hot_contexts.applyInArrow(_keep_hot_contexts(words, n), "shard int").count()
@@ -565,7 +582,7 @@ def train(texts: DataFrame, order: int = 2) -> Model:
     told = spark.read.schema(blobs).parquet(path)
     found, spread = np.zeros(5, dtype=np.int64), {}
     for row in told.where("shard < 0").select("keys").collect():
-        numbers = np.frombuffer(row["keys"], "<i8")
+        numbers = np.frombuffer(_unpacked(row["keys"]), "<i8")
         found += numbers[:5]
         for c, *stats in numbers[5:].reshape(-1, 5).tolist():
             spread[c] = tuple(a + b for a, b in zip(spread.get(c, (0, 0, 0, 0)), stats, strict=True))

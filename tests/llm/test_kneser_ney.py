@@ -143,3 +143,21 @@ def test_higher_orders_against_brute_force(spark):
         for a, b in zip(want, have):
             assert a[:2] == b[:2] and b[2] == pytest.approx(a[2], rel=1e-9)
     assert K.ORDER >= 3 and K.corpus_scores(samples.empty(spark), order=K.ORDER).count() == 0
+
+
+def test_packed_arrays_come_back_and_take_little_room():
+    draw = K.np.random.default_rng(1)
+    ids = K.np.sort(draw.integers(0, 3000, (20000, 1)), axis=0)
+    ids = K.np.hstack([ids, ids]).astype("<u4")
+    for a in (ids, ids[:0], K.np.arange(5, dtype="<i8"), K.np.ones(7, "<u4")):
+        assert K._unpacked(K._packed(a)) == a.tobytes()
+    assert len(K._packed(ids)) < ids.nbytes / 4
+
+
+def test_contexts_of_more_than_a_byte_holds(spark):
+    rows = [(i, " ".join(f"a b w{(i * 7 + j) % 600}" for j in range(90)) + " a b c" * 40) for i in range(60)]
+    brute = BruteOrder([t for i, t in rows if not held(i)], 3)
+    got = K.corpus_scores(samples.documents(spark, rows).repartition(3), order=3).collect()
+    assert max(c for g, c in brute.grams[3].items()) > 255 and len(brute.after[(b"a", b"b")]) > 255
+    want = {i: brute.score(t) for i, t in rows}
+    assert {r.doc_id: r.score for r in got} == {i: pytest.approx(x, rel=1e-9) for i, x in want.items()}
