@@ -14,7 +14,8 @@ the unit sphere where the angle is a metric:
 
 Every pair is compared in one place only.  A cell with more rows than a unit may hold
 is cut into chunks, and its chunk pairs become separate units, so a cell with a third
-of all rows spreads over many tasks and nothing is capped or dropped.
+of all rows spreads over many tasks and nothing is capped or dropped.  A table whose rows
+would visit most cells has no pivots: its chunks meet in pairs.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clanmark.functions.vectors import dimension_of, of_length
-from clanmark.sources.workspace import materialize
+from clanmark.sources.workspace import materialize, release
 
 MIN_UNIT_ROWS = 2048
 MAX_UNIT_ROWS = 32768
@@ -40,6 +41,8 @@ MAX_PIVOTS = 2048
 #: A table cut into more units than so many makes copies of rows and not work for more tasks, while units may still grow.
 MOST_CHUNKS = 32
 SAMPLED_VISITORS = 1024
+#: Rows of one side of a unit, where all rows of a table meet in chunks, take so many bytes at most.
+CHUNK_BYTES = 32 * 1024 * 1024
 #: A pivot with more than so many units of rows gets pivots of its own, so many at most, all of them together in so many bytes.
 FEW_UNITS = 4
 MAX_CHILDREN = 1024
@@ -423,9 +426,26 @@ def _tells_apart(df: DataFrame, vector: str, layout: Layout, rows: int) -> bool:
     count = -(-rows // layout.home_chunk_rows)
     if len(layout.pivots) <= 2 * max(2, count):
         return True
+    return _sampled_visits(df, vector, layout, rows) <= count
+
+
+def _sampled_visits(df: DataFrame, vector: str, layout: Layout, rows: int) -> float:
+    """Cells that a row of one table visits besides its own, by a few sampled rows."""
     wanted = max(64, min(SAMPLED_VISITORS, 2 * SCRATCH_ELEMENTS // len(layout.pivots)))
     visitors = materialize(df.select(vector).sample(min(1.0, wanted / max(rows, 1)), seed=7), "visitors")
-    return bool(_visit_counts(visitors, vector, layout, True).sum() <= count * visitors.count())
+    visits = int(_visit_counts(visitors, vector, layout, True).sum()) / max(visitors.count(), 1)
+    release(visitors)
+    return visits
+
+
+def _chunked(df: DataFrame, layout: Layout, rows: int) -> Layout:
+    """The layout without pivots, whose every two chunks are a unit: two units or more per core, and a row in each
+    of a number of chunks that does not grow with the table until chunks have ``CHUNK_BYTES``."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    chunks = math.ceil((math.sqrt(1 + 16 * cores) - 1) / 2)
+    most = max(MIN_UNIT_ROWS, CHUNK_BYTES // (8 * layout.pivots.shape[1]))
+    chunk_rows = min(max(MIN_UNIT_ROWS, -(-rows // chunks)), most)
+    return Layout(layout.threshold, unit_rows=chunk_rows, home_chunk_rows=chunk_rows, forest=layout.forest, home_rows=np.array([rows]))
 
 
 def _coarser(layout: Layout, rows: int) -> Layout:
@@ -440,15 +460,17 @@ def _coarser(layout: Layout, rows: int) -> Layout:
 
 def _place(
     homes: DataFrame, key: str, vector: str, threshold: float, unit_rows_limit: int | None, pivots: int | None, forest: bool,
-    more: tuple[str, ...] = (),
+    more: tuple[str, ...] = (), one_table: bool = False,
 ) -> tuple[DataFrame, Layout]:
     """The home table and its layout: pivots from a sample, rows per cell from one pass.
 
+    Where the rows of one table would visit more cells than it has chunks, there are no pivots but chunks.
     All driver state is bounded by pivots x rings.  The table is written once, with the columns in
     use, and read for its size, its pivots and its cells.
     """
     homes = materialize(homes.select(key, vector, *more), "vectors")
     rows = homes.count()
+    free = one_table and unit_rows_limit is None and pivots is None
     if unit_rows_limit is None:
         share = rows // (2 * homes.sparkSession.sparkContext.defaultParallelism)
         unit_rows_limit = min(max(share, MIN_UNIT_ROWS), MAX_UNIT_ROWS)
@@ -461,6 +483,10 @@ def _place(
             layout = replace(layout, pivots=matrix, pivot_ids=ids)
             stats = _ring_stats(homes, vector, layout)
             layout = layout.with_rows(*stats)
+            if free:
+                plain = _chunked(homes, layout, rows)
+                if _sampled_visits(homes, vector, layout, rows) + 1 > plain.home_chunks()[0]:
+                    return homes, plain
             if not _tells_apart(homes, vector, layout, rows):
                 layout = _coarser(layout, rows)
                 return homes, layout.with_rows(*_ring_stats(homes, vector, layout))
@@ -503,7 +529,7 @@ def _one_table(
 ) -> tuple[DataFrame, Layout, DataFrame]:
     """(table, layout, rows spread over the units) of a self-join; ``dim`` saves a look at all lengths."""
     df = _one_length(df, vector, dimension_of(df, vector) if dim is None else dim)
-    df, layout = _place(df, key, vector, threshold, unit_rows_limit, pivots, forest)
+    df, layout = _place(df, key, vector, threshold, unit_rows_limit, pivots, forest, one_table=True)
     layout = _visited(df, vector, layout, True)
     return df, layout, _spread(df, key, vector, layout, as_home=True, one_table=True)
 

@@ -232,3 +232,23 @@ def test_copies_of_a_row_do_not_grow_with_the_table(spark, options):
         expected = X.pairs_over(X.cosines(matrix), 0.75)
         assert len(expected) > rows / 4 and len(found) == len(expected) and {(r.a, r.b) for r in found} == expected
     assert copies[1] < 1.5 * copies[0] and copies[1] < 3 * S.MOST_CHUNKS
+
+
+def test_rows_that_would_visit_most_cells_meet_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(S, "MIN_UNIT_ROWS", 32)
+    noise = X.unit(np.random.default_rng(5).normal(size=(1200, 32)))
+    noise[600:] = X.unit(noise[:600] + np.random.default_rng(1).normal(scale=0.08, size=(600, 32)))
+    df = X.frame(spark, noise)
+    _, layout, spread = S._one_table(df, "id", "v", 0.75)
+    assert layout.pivots is None and spread.count() <= 6 * len(noise)  # 21 units for 8 cores
+    expected = X.pairs_over(X.cosines(noise), 0.75)
+    found = S.similarity_self_join(df, "id", "v", 0.75).collect()
+    assert len(expected) > 300 and len(found) == len(expected) and {(r.a, r.b) for r in found} == expected
+    edges = [(r.a, r.b) for r in S.similarity_forest(df, "id", "v", 0.75).collect()]
+    assert X.components(len(noise), edges) == X.components(len(noise), expected)
+    groups = np.repeat(X.unit(np.random.default_rng(6).normal(size=(12, 32))), 100, axis=0)
+    apart = X.frame(spark, groups + np.random.default_rng(7).normal(scale=0.03, size=groups.shape))
+    layout = S._one_table(apart, "id", "v", 0.75)[1]
+    assert layout.pivots is not None
+    monkeypatch.setattr(S, "CHUNK_BYTES", 100 * 8 * 32)
+    assert S._chunked(df, layout, 1200).home_chunks().tolist() == [12]
