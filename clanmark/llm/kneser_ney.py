@@ -14,6 +14,7 @@ import math
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from urllib.parse import urlparse
 
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 
 from clanmark.llm.base import col, strings
 from clanmark.llm.words import byte_slices, mixed, word_hashes
-from clanmark.sources.workspace import fresh_path
+from clanmark.sources.workspace import fresh_path, materialize, release
 
 #: Words of the longest n-grams of the registered query.
 ORDER = 3
@@ -36,6 +37,8 @@ SLICE_BYTES = 12 << 20
 GRAM_BYTES = 4 << 20
 #: A context with more than this part of a shard's tokens is hot: its bigrams are dealt over all shards.
 HOT = 0.25
+#: Spark's setting for shuffle files that go when the execution that made them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -539,14 +542,33 @@ def _score(model):
     return run
 
 
+@contextmanager
+def _without_old_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go with their execution: none of those within is run twice."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def train(texts: DataFrame, order: int = 2) -> Model:
     """The model of all rows of (text), of n-grams of up to ``order`` words (2 at least).
 
-    Two passes over the rows; each shorter n-gram is counted from the n-grams a word longer.
+    Two passes over the rows; each shorter n-gram is counted from the n-grams a word longer.  Shuffles and
+    tables of counts go as soon as what was counted from them is written; the model's files stay.
 
     Shards grow in number with the partitions of the input.  The driver gets a row per shard, and a row
     per shard and hot context; contexts are hot by their share, so their number is bounded by shards.
     """
+    if order < 2:
+        raise ValueError("the order must be 2 at least")
+    with _without_old_shuffles(texts.sparkSession):
+        return _train(texts, order)
+
+
+def _train(texts: DataFrame, order: int) -> Model:
     spark: SparkSession = texts.sparkSession
     folder = mounted(fresh_path(spark, "kneser-ney"))
     bits = max(0, math.ceil(math.log2(max(1, texts.rdd.getNumPartitions()))))
@@ -561,25 +583,20 @@ def train(texts: DataFrame, order: int = 2) -> Model:
         raise ValueError("more than 2**32 words")
     hot = _hot_words(words, [r.shard for r in kept if r.most > HOT * words.total / (1 << bits)])
 
-    if order < 2:
-        raise ValueError("the order must be 2 at least")
-    gram_discounts = {}
+    gram_discounts, longer = {}, None
     grams = texts.mapInArrow(_count_grams(words, hot, order) if order > 2 else _count_pairs(words, hot), blobs)
     for n in range(order, 2, -1):
-        path = fresh_path(spark, f"grams{n}")
-        grams.groupBy("shard").applyInArrow(_keep_grams(words, hot, n), blobs).write.parquet(path)
-        kept = spark.read.schema(blobs).parquet(path)
+        kept = materialize(grams.groupBy("shard").applyInArrow(_keep_grams(words, hot, n), blobs), f"grams{n}")
+        release(longer)
         seen = np.zeros(4, dtype=np.int64)
         for row in kept.where((F.col("shard") < 0) & (F.col("shard") >= -(1 << bits))).select("keys").collect():
             seen += np.frombuffer(_unpacked(row["keys"]), "<i8")
         gram_discounts[n] = discounts(*seen.tolist())
         hot_contexts = kept.where(F.col("shard") < -(1 << bits)).groupBy("shard")
         hot_contexts.applyInArrow(_keep_hot_contexts(words, n), "shard int").count()
-        grams = kept.where("shard >= 0")
-    told = grams.groupBy("shard").applyInArrow(_keep_pairs(words, hot), blobs)
-    path = fresh_path(spark, "lefts")
-    told.write.parquet(path)
-    told = spark.read.schema(blobs).parquet(path)
+        grams, longer = kept.where("shard >= 0"), kept
+    told = materialize(grams.groupBy("shard").applyInArrow(_keep_pairs(words, hot), blobs), "lefts")
+    release(longer)
     found, spread = np.zeros(5, dtype=np.int64), {}
     for row in told.where("shard < 0").select("keys").collect():
         numbers = np.frombuffer(_unpacked(row["keys"]), "<i8")
@@ -590,6 +607,7 @@ def train(texts: DataFrame, order: int = 2) -> Model:
         _keep_continuations(words), "shard int, n1 long, n2 long, n3 long, n4 long, more long"
     )
     rows = lefts.collect()
+    release(told)
     n = [sum(r[f"n{k}"] for r in rows) for k in (1, 2, 3, 4)]
     more, pairs = sum(r.more for r in rows), int(found[4])
     own = discounts(*n)

@@ -1,8 +1,10 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 
@@ -161,3 +163,22 @@ def test_contexts_of_more_than_a_byte_holds(spark):
     assert max(c for g, c in brute.grams[3].items()) > 255 and len(brute.after[(b"a", b"b")]) > 255
     want = {i: brute.score(t) for i, t in rows}
     assert {r.doc_id: r.score for r in got} == {i: pytest.approx(x, rel=1e-9) for i, x in want.items()}
+
+
+def test_counts_go_once_they_are_counted(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return set(re.findall(r"shuffle_\d+_\d+_\d+\.data", files.getAllFiles().mkString(" ")))
+
+    def tables():
+        return {p.name for p in Path(K.mounted(K.fresh_path(spark, "x"))).parent.glob("*") if re.match(r"(grams\d|lefts)-", p.name)}
+
+    texts = spark.range(200).selectExpr("concat('a b w', id % 7, ' x', id) AS text")
+    before, setting, stored = shuffles(), spark.conf.get(K.CLEANUP), tables()
+    K.train(texts, 4)
+    for _ in range(100):  # Spark deletes them at its leisure
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before and tables() == stored and spark.conf.get(K.CLEANUP) == setting
