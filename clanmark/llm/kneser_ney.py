@@ -1,9 +1,11 @@
 """Interpolated modified Kneser-Ney model: counted by Spark, kept as sorted arrays, memory-mapped.
 
 Words are 64-bit hashes.  A word's id is its place in the sorted array of all hashes, which is cut
-into shards by leading bits; a bigram is the pair of ids as one 64-bit number, kept in the shard of
-its context.  Longer n-grams, up to the model's order, are hashes of their ids in the shard of their
-context's hash; below the highest order, an n-gram counts the words that stand before it, or keeps its
+into shards by leading bits; n-grams lie in the shard of their context, sorted by context and last word:
+each context stands there once, and an n-gram takes the id of its last word and a byte of count.  The
+context of a bigram is an id, that of longer n-grams, up to the model's order, a hash of ids.  What is
+known of a context is summed up from its n-grams, and kept only where these are many.  Below the highest
+order, an n-gram counts the words that stand before it, or keeps its
 count if it starts with a beginning of a text.  Tasks write the shards as files into the shared folder of ``spark.checkpoint.dir``, and
 the tasks that score documents map those files: no model is copied to executors or the driver.
 """
@@ -37,6 +39,14 @@ SLICE_BYTES = 12 << 20
 GRAM_BYTES = 4 << 20
 #: A context with more than this part of a shard's tokens is hot: its bigrams are dealt over all shards.
 HOT = 0.25
+#: N-grams that a task sorts or packs at once.
+PART = 1 << 18
+#: Contexts with more n-grams than this keep their statistics beside them.
+WIDE = 16
+#: Contexts whose places in the array of n-grams are told from one common place.
+BLOCK = 64
+#: A file with so many contexts or more keeps 6 of the 8 bytes of a hash; where the first two change is in an index.
+CUT = 1 << 19
 #: Spark's setting for shuffle files that go when the execution that made them ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOW = np.uint64(0xFFFFFFFF)
@@ -58,19 +68,19 @@ def write_arrays(path: str, **arrays: np.ndarray) -> None:
     with open(part, "wb") as out:
         out.write(head.tobytes())
         for a in arrays.values():
-            out.write(a.tobytes())
+            a.tofile(out)
             out.write(b"\0" * (-a.nbytes % 8))
     os.replace(part, path)
 
 
 def map_arrays(path: str, *kinds: str) -> list[np.ndarray]:
-    """The arrays of a file of ``write_arrays``, memory-mapped."""
-    data = np.memmap(path, dtype=np.uint8, mode="r")
+    """The arrays of a file of ``write_arrays``, memory-mapped; of kind "u": unsigned, as wide as they are."""
+    data = np.memmap(path, dtype=np.uint8, mode="r").view(np.ndarray)
     head = data[: 16 * len(kinds)].view("<i8")
     out, at = [], 16 * len(kinds)
     for i, kind in enumerate(kinds):
         size = int(head[2 * i]) * int(head[2 * i + 1])
-        out.append(data[at : at + size].view(kind))
+        out.append(data[at : at + size].view(f"<u{int(head[2 * i + 1])}" if kind == "u" else kind))
         at += size + -size % 8
     return out
 
@@ -83,6 +93,108 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def _run_stats(counts: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Of each run of n-grams: the sum of counts, and how many are 1, 2, and 3 or more."""
+    edges = np.stack([begin, end], 1).reshape(-1)
+    if not len(edges):
+        return np.zeros((0, 4), np.int64)
+    parts = counts, counts == 1, counts == 2, counts > 2
+    return np.stack([np.add.reduceat(np.append(x, x.dtype.type(0)), edges, dtype=np.int64)[::2] for x in parts], 1)
+
+
+def write_runs(path: str, heads: np.ndarray, first: np.ndarray, own: np.ndarray, counts: np.ndarray) -> None:
+    """A file of n-grams sorted by context and last word: the distinct contexts, and where the n-grams of each begin."""
+    starts = np.append(first, len(own))
+    blocks = starts[::BLOCK]
+    places = starts - np.repeat(blocks, BLOCK)[: len(starts)]
+    index, high = np.zeros(0, "<u4"), np.zeros(0, "<u2")
+    if heads.dtype.itemsize == 8 and len(heads) >= CUT:
+        index = np.searchsorted(heads, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48))
+        index = np.append(index, len(heads)).astype("<u4")
+        heads, high = (heads & _LOW).astype("<u4"), (heads >> np.uint64(32) & np.uint64(0xFFFF)).astype("<u2")
+    large, wide = np.flatnonzero(counts > 254), np.flatnonzero(np.diff(starts) > WIDE)
+    write_arrays(
+        path,
+        index=index,
+        high=high,
+        heads=heads,
+        blocks=blocks.astype("<i8"),
+        places=places.astype("<u2" if places.max() < 1 << 16 else "<u4"),
+        own=own.astype("<u4"),
+        counts=np.minimum(counts, 255).astype(np.uint8),
+        large=large.astype("<i8"),
+        large_counts=counts[large].astype("<i8"),
+        wide=wide.astype("<i8"),
+        wide_stats=_run_stats(counts, starts[wide], starts[wide + 1]).astype("<i8").reshape(-1),
+    )
+
+
+def _lower(get, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The first place of each range whose entry isn't below what is wanted there (the range's end: none)."""
+    low, high = low.astype(np.int64), high.astype(np.int64)
+    left = np.flatnonzero(low < high)
+    while len(left):
+        middle = (low[left] + high[left]) >> 1
+        less = get(middle) < wanted[left]
+        low[left] = np.where(less, middle + 1, low[left])
+        high[left] = np.where(less, high[left], middle)
+        left = left[low[left] < high[left]]
+    return low
+
+
+class Runs:
+    """A file of ``write_runs``, memory-mapped."""
+
+    def __init__(self, path: str):
+        kinds = "<u4", "<u2", "u", "<i8", "u", "<u4", "u1", "<i8", "<i8", "<i8", "<i8"
+        self.index, self.high, self.heads, self.blocks, self.places, self.own, *rest = map_arrays(path, *kinds)
+        self.small, self.large, self.large_counts, self.wide, self.wide_stats = rest
+
+    def _contexts(self, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each context, and which are there."""
+        if not len(self.index):
+            at = np.searchsorted(self.heads, heads.astype(self.heads.dtype))
+            here = np.minimum(at, len(self.heads) - 1)
+            return at, self.heads[here] == heads
+        first = (heads >> np.uint64(48)).astype(np.int64)
+        rest, end = heads & np.uint64((1 << 48) - 1), self.index[first + 1]
+
+        def get(i: np.ndarray) -> np.ndarray:
+            return self.high[i].astype(np.uint64) << np.uint64(32) | self.heads[i]
+
+        at = _lower(get, self.index[first], end, rest)
+        return at, (at < end) & (get(np.minimum(at, len(self.heads) - 1)) == rest)
+
+    def _starts(self, contexts: np.ndarray) -> np.ndarray:
+        return self.blocks[contexts // BLOCK] + self.places[contexts]
+
+    def _counts(self, places: np.ndarray) -> np.ndarray:
+        counts = self.small[places].astype(np.int64)
+        over = np.flatnonzero(counts == 255)
+        counts[over] = self.large_counts[np.searchsorted(self.large, places[over])]
+        return counts
+
+    def look(self, heads: np.ndarray, own: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The count of each n-gram, and the statistics of its context where they are wanted (``plain``)."""
+        counts, stats = np.zeros(len(heads), np.int64), np.zeros((len(heads), 4), np.int64)
+        at, hit = self._contexts(heads)
+        found, at = np.flatnonzero(hit), at[hit]
+        begin, end = self._starts(at), self._starts(at + 1)
+        place = _lower(lambda i: self.own[i], begin, end, own[found])
+        there = (place < end) & (self.own[np.minimum(place, len(self.own) - 1)] == own[found])
+        counts[found[there]] = self._counts(place[there])
+        size = np.where(plain[found], end - begin, 0)
+        many = np.flatnonzero(size > WIDE)
+        stats[found[many]] = self.wide_stats.reshape(-1, 4)[np.searchsorted(self.wide, at[many])]
+        left = np.flatnonzero((size > 0) & (size <= WIDE))
+        for k in range(WIDE):
+            c = self._counts(begin[left] + k)
+            stats[found[left], 0] += c
+            stats[found[left], _classes(c)] += 1
+            left = left[size[left] > k + 1]
+        return counts, stats
+
+
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all tokens, an END after each text's words, and where each text's tokens begin."""
     hashes, offsets = word_hashes(texts)
@@ -165,9 +277,19 @@ def _count_words(bits: int):
     return run
 
 
+def _all_unpacked(blobs: pa.ChunkedArray, kind: str) -> np.ndarray:
+    blobs = [b.as_buffer() for b in blobs]
+    shapes = [np.frombuffer(b, "<i8", 2).tolist() for b in blobs]
+    out, at = np.empty(sum(n * width for n, width in shapes), np.uint8), 0
+    for b, (n, width) in zip(blobs, shapes, strict=True):
+        flat = pa.decompress(b.slice(16), n * width, codec="zstd")
+        out[at : at + n * width].reshape(n, width)[:] = np.frombuffer(flat, np.uint8).reshape(width, n).T
+        at += n * width
+    return out.view(kind)
+
+
 def _joined(group: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = (np.frombuffer(b"".join(map(_unpacked, group.column(c).to_pylist())), k) for c, k in (("keys", kind), ("counts", "<u4")))
-    return keys, counts.astype(np.int64)
+    return _all_unpacked(group.column("keys"), kind), _all_unpacked(group.column("counts"), "<u4").astype(np.int64)
 
 
 def _keep_words(folder: str):
@@ -219,12 +341,15 @@ def _columns(ids: np.ndarray) -> list[np.ndarray]:
     return [ids[:, i].astype(np.int64) for i in range(ids.shape[1])]
 
 
+def _gram_home(words: Words, hot: np.ndarray, grams: list[np.ndarray]) -> np.ndarray:
+    if len(grams) > 2:
+        return _gram_keys(words, hot, grams)[2]
+    return _home(words, hot, grams[1], grams[1].astype(np.uint64) << np.uint64(32) | grams[0].astype(np.uint64))
+
+
 def _gram_blobs(words: Words, hot: np.ndarray, grams: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
     """N-grams as ids of 32 bits, the last word first, by shard; two of them are the key of a bigram."""
-    if len(grams) > 2:
-        home = _gram_keys(words, hot, grams)[2]
-    else:
-        home = _home(words, hot, grams[1], grams[1].astype(np.uint64) << np.uint64(32) | grams[0].astype(np.uint64))
+    home = _gram_home(words, hot, grams)
     order = np.lexsort((*grams, home))  # in order, they take little room
     ids = np.stack([g[order].astype("<u4") for g in grams], 1)
     counts = counts[order].astype("<u4")
@@ -245,13 +370,25 @@ def _count_grams(words: Words, hot: np.ndarray, order: int):
     return run
 
 
-def _context_stats(heads: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct contexts, sorted, and of each: the sum of counts, and how many are 1, 2, and 3 or more."""
-    known, place = np.unique(heads, return_inverse=True)
-    kind = _classes(counts)
-    stats = [np.bincount(place, weights=counts, minlength=len(known))]
-    stats += [np.bincount(place, weights=kind == k, minlength=len(known)) for k in (1, 2, 3)]
-    return known, np.stack(stats, 1).astype("<u4")
+def _parts(n: int) -> list[slice]:
+    return [slice(first, first + PART) for first in range(0, n, PART)]
+
+
+def _merged(heads: np.ndarray, own: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct n-gram, in order of context and last word, and the sum of its counts."""
+    bits = np.uint64(max(0, math.ceil(math.log2(max(1, len(heads) / PART)))))
+    places, sums = [], []
+    for leads in range(1 << int(bits)):
+        some = np.flatnonzero(heads >> (np.uint64(64) - bits) == leads) if bits else np.arange(len(heads))
+        if not len(some):
+            continue
+        some = some[np.argsort(heads[some])]
+        place = np.cumsum(np.append(False, heads[some[1:]] != heads[some[:-1]])).astype(np.uint64) << np.uint64(32) | own[some]
+        by = np.argsort(place)
+        first = np.flatnonzero(np.append(True, np.diff(place[by]) != 0))
+        places.append(some[by[first]])
+        sums.append(np.add.reduceat(counts[some[by]], first))
+    return np.concatenate(places), np.concatenate(sums)
 
 
 def _keep_grams(words: Words, hot: np.ndarray, order: int):
@@ -262,32 +399,31 @@ def _keep_grams(words: Words, hot: np.ndarray, order: int):
         shard, shards = key[0].as_py(), 1 << words.bits
         ids, counts = _joined(group, "<u4")
         ids = ids.reshape(-1, order)
-        keys, heads, _, dealt = _gram_keys(words, hot, _columns(ids))
-        by = np.argsort(keys)
-        first = np.flatnonzero(np.append(True, np.diff(keys[by]) != 0))
-        counts = np.add.reduceat(counts[by], first)
-        at = by[first]
-        ids, keys, heads, dealt = ids[at], keys[at], heads[at], dealt[at]
-        known, stats = _context_stats(heads[~dealt], counts[~dealt])
-        large = np.flatnonzero(counts > 254)
-        write_arrays(
-            f"{words.folder}/grams{order}-{shard}",
-            keys=keys,
-            counts=np.minimum(counts, 255).astype(np.uint8),
-            large=large.astype("<i8"),
-            large_counts=counts[large],
-            known=known,
-            stats=np.minimum(stats, 255).astype(np.uint8).reshape(-1),
-            wide=(wide := np.flatnonzero((stats > 254).any(axis=1)).astype("<i8")),
-            wide_stats=stats[wide].reshape(-1),
-        )
-        shorter = _columns(ids[:, :-1])
-        blobs = [_gram_blobs(words, hot, shorter, np.where(shorter[-1] >= words.size, counts, 1))]
-        known, stats = _context_stats(heads[dealt], counts[dealt])
+        heads, dealt = np.empty(len(ids), np.uint64), np.empty(len(ids), bool)
+        for part in _parts(len(ids)):
+            _, heads[part], _, dealt[part] = _gram_keys(words, hot, _columns(ids[part]))
+        at, counts = _merged(heads, ids[:, 0], counts)
+        ids, heads, dealt = ids[at], heads[at], dealt[at]
+        first = np.flatnonzero(np.append(True, heads[1:] != heads[:-1]))
+        known = heads[first]
+        del at, heads
+        write_runs(f"{words.folder}/grams{order}-{shard}", known, first, ids[:, 0], counts)
+        spread = np.flatnonzero(dealt[first])
+        known, stats = known[spread], _run_stats(counts, first[spread], np.append(first, len(ids))[spread + 1]).astype("<u4")
+        told = np.array([int((counts == k).sum()) for k in (1, 2, 3, 4)], dtype="<i8")
+        ids = ids[:, :-1]
+        counts = np.where(ids[:, -1] >= words.size, counts, 1)
+        home = np.empty(len(ids), np.int32)
+        for part in _parts(len(ids)):
+            home[part] = _gram_home(words, hot, _columns(ids[part]))
+        step = max(1, shards * PART // max(1, len(ids)))
+        blobs = []
+        for s in range(0, shards, step):
+            some = np.flatnonzero((home >= s) & (home < s + step))
+            blobs.append(_gram_blobs(words, hot, _columns(ids[some]), counts[some]))
         home = (known % np.uint64(shards)).astype(np.int64)
         full = np.unique(home).tolist()
         blobs.append(_blobs([-1 - shards - s for s in full], [known[home == s] for s in full], [stats[home == s] for s in full]))
-        told = np.array([int((counts == k).sum()) for k in (1, 2, 3, 4)], dtype="<i8")
         blobs.append(_blobs([-1 - shard], [told], [np.zeros(0, "<u4")]))
         return pa.Table.from_batches(blobs)
 
@@ -341,31 +477,19 @@ def _keep_pairs(words: Words, hot: np.ndarray):
         shard = key[0].as_py()
         keys, counts = summed(*_joined(group, "<u8"))
         context, own = (keys >> np.uint64(32)).astype(np.int64), (keys & _LOW).astype(np.int64)
-        base, n = int(words.bases[shard]), int(words.bases[shard + 1] - words.bases[shard])
-        spread = (context >= words.size) | np.isin(context, hot)
-        at, kind = context[~spread] - base, _classes(counts[~spread])
-        stats = [np.bincount(at, weights=counts[~spread], minlength=n)]
-        stats += [np.bincount(at, weights=kind == k, minlength=n) for k in (1, 2, 3)]
-        large = np.flatnonzero(counts > 254)
-        write_arrays(
-            f"{words.folder}/pairs-{shard}",
-            keys=keys,
-            counts=np.minimum(counts, 255).astype(np.uint8),
-            large=large.astype("<i8"),
-            large_counts=counts[large],
-            contexts=np.stack(stats, 1).reshape(-1).astype("<i8"),
-        )
-        rows = []
-        for c in np.unique(context[spread]).tolist():
-            c_counts = counts[context == c]
-            rows.append((c, int(c_counts.sum()), *[int((_classes(c_counts) == k).sum()) for k in (1, 2, 3)]))
+        first = np.flatnonzero(np.append(True, np.diff(context) != 0))
+        known = context[first]
+        write_runs(f"{words.folder}/pairs-{shard}", known.astype("<u4"), first, own, counts)
+        spread = np.flatnonzero((known >= words.size) | np.isin(known, hot))
+        stats = _run_stats(counts, first[spread], np.append(first, len(own))[spread + 1])
+        rows = np.hstack([known[spread, None], stats])
         found = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
         seen, times = np.unique(own, return_counts=True)
         home = words.shard_of(seen)
         edges = np.searchsorted(home, np.arange((1 << words.bits) + 1))
         full = np.flatnonzero(np.diff(edges)).tolist()
         blobs = _blobs(full, [seen[edges[s] : edges[s + 1]].astype("<u4") for s in full], [times[edges[s] : edges[s + 1]].astype("<u4") for s in full])
-        told = np.array([*found, len(keys), *[x for row in rows for x in row]], dtype="<i8")
+        told = np.array([*found, len(keys), *rows.reshape(-1).tolist()], dtype="<i8")
         # Statistics for the driver stand in a row of their own, with a negative number.
         return pa.Table.from_batches([blobs, _blobs([-1 - shard], [told], [np.zeros(0, "<u4")])])
 
@@ -410,13 +534,11 @@ class Model:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"open": {}}
 
-    def _shard(self, s: int) -> tuple:
-        if s not in self.open:
-            folder = self.words.folder
-            pairs = map_arrays(f"{folder}/pairs-{s}", "<u8", "u1", "<i8", "<i8", "<i8") if os.path.exists(f"{folder}/pairs-{s}") else None
-            lefts = map_arrays(f"{folder}/lefts-{s}", "<i8")[0] if os.path.exists(f"{folder}/lefts-{s}") else None
-            self.open[s] = pairs, lefts
-        return self.open[s]
+    def runs(self, name: str) -> Runs | None:
+        if name not in self.open:
+            path = f"{self.words.folder}/{name}"
+            self.open[name] = Runs(path) if os.path.exists(path) else None
+        return self.open[name]
 
     def file(self, name: str, *kinds: str) -> list[np.ndarray] | None:
         if name not in self.open:
@@ -429,13 +551,14 @@ class Model:
         and for all unknown words together."""
         out = np.full(len(ids), self.left_mass / (self.words.size + 1))
         for s, at in self._by_shard(self.words.shard_of(ids), ids >= 0):
-            counts = self._shard(s)[1][ids[at] - self.words.bases[s]]
+            counts = self.file(f"lefts-{s}", "<i8")[0][ids[at] - self.words.bases[s]]
             out[at] += (counts - self.left_discounts[_classes(counts)]) / self.lefts
         return out
 
     @staticmethod
     def _by_shard(shard: np.ndarray, use: np.ndarray):
-        at = np.flatnonzero(use)
+        """Places of each shard: those that ``use`` is true for, or holds, in its order."""
+        at = np.flatnonzero(use) if use.dtype == bool else use
         at = at[np.argsort(shard[at], kind="stable")]
         edges = np.flatnonzero(np.diff(shard[at])) + 1
         for part in np.split(at, edges):
@@ -453,22 +576,12 @@ class Model:
             total[low:high], mass[low:high] = n, float(np.dot(kinds, classes))
         hot = np.array(sorted(self.hot), dtype=np.int64)
         plain = (context >= 0) & (context < self.words.size) & ~np.isin(context, hot)
-        for s, at in self._by_shard(self.words.shard_of(np.maximum(context, 0)), plain):
-            if self._shard(s)[0] is not None:
-                rows = self._shard(s)[0][4].reshape(-1, 4)[context[at] - self.words.bases[s]]
-                total[at], mass[at] = rows[:, 0], rows[:, 1:] @ kinds
-        able = (own >= 0) & (context >= 0)
         keys = np.maximum(context, 0).astype(np.uint64) << np.uint64(32) | np.maximum(own, 0).astype(np.uint64)
-        for s, at in self._by_shard(_home(self.words, hot, context, keys), able):
-            if self._shard(s)[0] is None or not len(self._shard(s)[0][0]):
-                continue
-            known, small, large, large_counts, _ = self._shard(s)[0]
-            place = np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)
-            hit = known[place] == keys[at]
-            found = np.where(hit, small[place], 0).astype(np.int64)
-            over = np.flatnonzero(found == 255)
-            found[over] = large_counts[np.searchsorted(large, place[over])]
-            counts[at] = found
+        for s, at in self._by_shard(_home(self.words, hot, context, keys), context >= 0):
+            if (held := self.runs(f"pairs-{s}")) is not None:
+                counts[at], rows = held.look(context[at], own[at], plain[at])
+                some = plain[at]
+                total[at[some]], mass[at[some]] = rows[some, 0], rows[some, 1:] @ kinds
         higher = np.maximum(counts - self.pair_discounts[_classes(counts)], 0.0)
         safe = np.where(total > 0, total, 1.0)
         return np.where(total > 0, (higher + mass * lower) / safe, lower)
@@ -482,30 +595,18 @@ def _raised(know: Model, grams: list[np.ndarray], lower: np.ndarray) -> np.ndarr
     known = np.logical_and.reduce([g >= 0 for g in grams[1:]])
     total, counts, mass = np.zeros(len(keys)), np.zeros(len(keys), np.int64), np.zeros(len(keys))
 
-    def contexts(at: np.ndarray, held: np.ndarray, stats: np.ndarray, wide: np.ndarray | None = None, wide_stats: np.ndarray | None = None) -> None:
-        place = np.minimum(np.searchsorted(held, heads[at]), len(held) - 1)
-        hit = held[place] == heads[at]
-        rows = stats.reshape(-1, 4)[place[hit]].astype(np.int64)
-        if wide is not None:
-            over = np.flatnonzero((rows == 255).any(axis=1))
-            rows[over] = wide_stats.reshape(-1, 4)[np.searchsorted(wide, place[hit][over])]
-        total[at[hit]], mass[at[hit]] = rows[:, 0], rows[:, 1:] @ kinds[1:]
-
-    for s, at in know._by_shard(home, known):
-        if (held := know.file(f"grams{order}-{s}", "<u8", "u1", "<i8", "<i8", "<u8", "u1", "<i8", "<u4")) is None:
-            continue
-        found, small, large, large_counts, firsts, *stats = held
-        place = np.minimum(np.searchsorted(found, keys[at]), len(found) - 1)
-        times = np.where((found[place] == keys[at]) & (grams[0][at] >= 0), small[place], 0).astype(np.int64)
-        over = np.flatnonzero(times == 255)
-        times[over] = large_counts[np.searchsorted(large, place[over])]
-        counts[at] = times
-        plain = at[~dealt[at]]
-        if len(firsts) and len(plain):
-            contexts(plain, firsts, *stats)
+    sought = np.flatnonzero(known)
+    for s, at in know._by_shard(home, sought[np.argsort(heads[sought])]):  # in the order of the file
+        if (held := know.runs(f"grams{order}-{s}")) is not None:
+            counts[at], rows = held.look(heads[at], grams[0][at], ~dealt[at])
+            total[at], mass[at] = rows[:, 0], rows[:, 1:] @ kinds[1:]
     for s, at in know._by_shard((heads % np.uint64(1 << words.bits)).astype(np.int64), known & dealt):
         if (held := know.file(f"hot{order}-{s}", "<u8", "<i8")) is not None:
-            contexts(at, *held)
+            held, stats = held
+            place = np.minimum(np.searchsorted(held, heads[at]), len(held) - 1)
+            hit = held[place] == heads[at]
+            rows = stats.reshape(-1, 4)[place[hit]]
+            total[at[hit]], mass[at[hit]] = rows[:, 0], rows[:, 1:] @ kinds[1:]
     higher = np.maximum(counts - kinds[_classes(counts)], 0.0)
     return np.where(total > 0, (higher + mass * lower) / np.where(total > 0, total, 1.0), lower)
 

@@ -182,3 +182,71 @@ def test_counts_go_once_they_are_counted(spark):
             break
         time.sleep(0.1)
     assert not shuffles() - before and tables() == stored and spark.conf.get(K.CLEANUP) == setting
+
+
+def test_runs_against_a_dictionary(tmp_path, monkeypatch):
+    draw = K.np.random.default_rng(3)
+    heads = K.np.unique(draw.integers(0, 1 << 63, 3000, dtype="u8") * K.np.uint64(2))
+    heads[:40] = K.np.arange(40)  # many in one place of the index
+    size = K.np.where(draw.random(len(heads)) < 0.1, draw.integers(1, 400, len(heads)), 1)
+    size[7] = 70_000  # more than two bytes tell
+    first = K.np.concatenate([[0], K.np.cumsum(size)[:-1]])
+    own = K.np.concatenate([K.np.sort(draw.choice(n * 2, n, replace=False)) for n in size])
+    counts = draw.choice([1, 2, 3, 9, 254, 255, 256, 10**10], len(own), p=[0.5, 0.2, 0.1, 0.1, 0.025, 0.025, 0.025, 0.025])
+    stats = K._run_stats(counts, first, first + size)
+    for cut, known in ((0, heads), (K.CUT, heads), (0, K.np.arange(len(heads)).astype("<u4"))):
+        monkeypatch.setattr(K, "CUT", cut)
+        path = str(tmp_path / f"runs-{cut}-{known.dtype.itemsize}")
+        K.write_runs(path, known, first, own, counts)
+        held = K.Runs(path)
+        assert bool(len(held.index)) == (cut == 0 and known.dtype.itemsize == 8)
+        table = {(h, w): c for h, w, c in zip(K.np.repeat(known, size).tolist(), own.tolist(), counts.tolist())}
+        place = {h: i for i, h in enumerate(known.tolist())}
+        at = draw.integers(0, len(own), 5000)
+        asked = [K.np.repeat(known, size)[at].astype(K.np.uint64), own[at] + draw.integers(-1, 2, len(at))]
+        asked[0][::9] += K.np.uint64(1)
+        plain = draw.random(len(at)) < 0.7
+        got, found = held.look(*asked, plain)
+        for h, w, p, c, row in zip(asked[0].tolist(), asked[1].tolist(), plain.tolist(), got.tolist(), found.tolist()):
+            assert c == table.get((h, w), 0)
+            assert row == (stats[place[h]].tolist() if p and h in place else [0, 0, 0, 0])
+
+
+def test_model_files_hold_each_context_once(spark):
+    draw = random.Random(5)
+    texts = [" ".join(f"w{draw.randrange(400)}" for _ in range(300)) for _ in range(100)]
+    model = K.train(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), 3)
+    brute = BruteOrder(texts, 3)
+    for order, name, context in ((3, "grams3", 8), (2, "pairs", 4)):
+        sizes = [p.stat().st_size for p in Path(model.words.folder).glob(f"{name}-*")]
+        contexts = {gram[:-1] for gram in brute.grams[order]}
+        wide = sum(len(brute.after[c]) > K.WIDE for c in contexts)
+        assert sum(sizes) < 5 * len(brute.grams[order]) + (context + 3) * len(contexts) + 40 * wide + 1000 * len(sizes)
+
+
+def test_parts_of_a_shard_make_the_same_files(tmp_path, monkeypatch):
+    draw = K.np.random.default_rng(4)
+    hot = K.np.array([3, 11])
+    results = []
+    for part in (K.PART, 50):
+        draw = K.np.random.default_rng(4)
+        words = K.Words(str(tmp_path / str(part)), 2, K.np.array([0, 10, 20, 25, 40]), 9000, 40)
+        grams = [draw.integers(0, 40, 9000), draw.integers(0, 41, 9000), draw.integers(0, 41, 9000)]
+        mine = K._gram_home(words, hot, grams) == 1
+        batch = K._gram_blobs(words, hot, [g[mine] for g in grams], draw.integers(1, 300, mine.sum()))
+        group = K.pa.Table.from_batches([batch, batch.slice(0, 1), batch])
+        monkeypatch.setattr(K, "PART", part)
+        kept = K._keep_grams(words, hot, 3)((K.pa.scalar(1),), group).to_pylist()
+        told = sorted((r["shard"], K._unpacked(r["keys"]), K._unpacked(r["counts"])) for r in kept)
+        results.append((told, (tmp_path / str(part) / "grams3-1").read_bytes()))
+    assert mine.sum() > 500 and results[0] == results[1]
+    runs = K.Runs(str(tmp_path / "50" / "grams3-1"))
+    want = Counter()
+    draw = K.np.random.default_rng(4)
+    grams = [draw.integers(0, 40, 9000), draw.integers(0, 41, 9000), draw.integers(0, 41, 9000)]
+    for gram, c in zip(K.np.stack(grams, 1)[mine].tolist(), draw.integers(1, 300, mine.sum()).tolist()):
+        want[tuple(gram)] += 3 * c
+    asked = K._columns(K.np.array(list(want)))
+    heads = K._gram_keys(words, hot, asked)[1]
+    assert runs.look(heads, asked[0], heads == heads)[0].tolist() == list(want.values())
+    assert len(runs.own) == len(want) and len(runs.heads) == len({g[1:] for g in want})
