@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clanmark.operators.numbering import first_per
+from clanmark.operators.numbering import first_per, rank_within
 
 UNASSIGNED = "unassigned"
 
@@ -65,25 +65,14 @@ def run_document(members: DataFrame, overlap: DataFrame) -> DataFrame:
 def cluster_pages(members: DataFrame, page_rows: int = 1000) -> DataFrame:
     """Nested output: (run, cluster, page, members) with at most ``page_rows`` per page.
 
-    The page of a member comes from a salted position, so that no cluster is ever
-    gathered whole; together the pages hold every member, those without a cluster too.
+    Pages follow each other in the order of the members.  A member's page comes from its rank, which many
+    tasks find, so that no cluster is ever gathered whole; together the pages hold every member, those
+    without a cluster too.
     """
-    sizes = members.groupBy(F.col("run_id").alias("_r"), F.col("cluster_id").alias("_c")).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    buckets = F.ceil(F.col("_n") * 2 / page_rows).cast("long")
-    same = members["run_id"].eqNullSafe(sizes["_r"]) & members["cluster_id"].eqNullSafe(sizes["_c"])
-    salted = members.join(sizes, same).withColumn(
-        "bucket_no", F.when(F.col("_n") <= page_rows, F.lit(0)).otherwise(F.pmod(F.xxhash64("detection_id"), buckets))
-    )
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("run_id", "cluster_id", "bucket_no").orderBy("detection_id")
-    placed = salted.withColumn("slice_no", ((F.row_number().over(order) - 1) / page_rows).cast("long"))
-    entry = F.struct("detection_id", "asset_id", "confidence", "quality")
-    return placed.groupBy("run_id", "cluster_id", "bucket_no", "slice_no").agg(
-        F.sort_array(F.collect_list(entry)).alias("members")
-    )
+    keys, entry = ["run_id", "cluster_id"], ["detection_id", "asset_id", "confidence", "quality"]
+    ranked = rank_within(members.select(*keys, *entry), keys, [F.asc(c) for c in entry], "_rank")
+    page = F.floor((F.col("_rank") - 1) / page_rows).alias("page_no")
+    return ranked.groupBy(*keys, page).agg(F.sort_array(F.collect_list(F.struct(*entry))).alias("members"))
 
 
 def catalog_runs(

@@ -1,14 +1,18 @@
 import json
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import check
 from clanmark.operators import assign as A
 from clanmark.operators import filters as O
 from clanmark.operators import maintain as M
 from clanmark.operators import summary as Y
 from clanmark.operators.numbering import number_rows, rank_within
 from clanmark.plans import entities as E
+from clanmark.registry import load
 from clanmark.sources import assets, tables
 from clanmark.sources.workspace import materialize, work_folder
 from tests import samples as X
@@ -57,6 +61,51 @@ def test_pages_hold_every_member_of_a_large_cluster(spark):
     assert len(held) == 2500 and set(held) == {(1 if i < 2300 else 2, i) for i in range(2500)}
 
 
+def test_pages_follow_each_other(spark):
+    df = spark.range(25_000).select(
+        F.lit("r").alias("run_id"), F.when(F.col("id") % 5 == 0, F.col("id") % 2).alias("cluster_id"),
+        (F.col("id") * 7919 % 25_000).alias("detection_id"), F.lit(1).alias("asset_id"),
+        F.lit(0.5).alias("confidence"), F.lit(1.0).alias("quality"),
+    ).repartition(5)
+    pages = {(p.cluster_id, p.page_no): [m.detection_id for m in p.members] for p in tables.cluster_pages(df, page_rows=100).collect()}
+    for cluster, count in ((None, 20_000), (0, 2_500), (1, 2_500)):
+        numbers = sorted(n for c, n in pages if c == cluster)
+        assert numbers == list(range(count // 100))
+        ids = [i for n in numbers for i in pages[cluster, n]]
+        assert ids == sorted(ids) and len(set(ids)) == count
+
+
+def embeddings_of(spark, folder, ids, matrix):
+    rows = [(int(i), [float(x) for x in v], 0) for i, v in zip(ids, matrix)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    return str(folder)
+
+
+def test_a_cluster_of_several_pages_is_one_row(spark, tmp_path):
+    """Both runs have a cluster of more than 1 000 members per sub-bucket."""
+    rng = np.random.default_rng(2)
+    ids = np.arange(2400)
+    folder = embeddings_of(spark, tmp_path, ids, rng.normal(size=6) + 0.01 * rng.normal(size=(2400, 6)))
+    asset = np.where(ids // 10 % 5 == 0, ids // 10 + 1000, ids * 7 % 60)
+    expected = set()
+    for kind, own in (("a", ids[asset % 2 == 0]), ("b", ids[asset % 2 == 1])):
+        assert len(own) > 1000
+        expected |= {(run + kind, 0, len(own), ",".join(map(str, own))) for run in ("r1", "r2")}
+    assert sorted(tuple(r) for r in load().QUERIES["cluster_pages"](spark, folder).collect()) == sorted(expected)
+
+
+@pytest.mark.parametrize("name", ["cluster_pages", "cluster_pages_small"])
+def test_pages_of_runs_without_clusters(spark, tmp_path, name):
+    """Single rows are unassigned in the second run, which then has no cluster at all."""
+    folder = embeddings_of(spark, tmp_path, range(0, 240, 10), np.eye(24))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+    want = con.execute(load().ORACLES[name]).df()
+    assert set(want.run_id) == {"r1a", "r1b", "r2a", "r2b"}
+    got = load().QUERIES[name](spark, folder).toPandas()
+    assert check.normal(got) == check.normal(want)
+
+
 def test_extract_clusters_of_every_layout(spark):
     a, b = {"person_id": "a", "size": 1}, {"person_id": "b", "owner_embedding": [0.5]}
     documents = [
