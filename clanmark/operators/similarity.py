@@ -472,8 +472,7 @@ def _place(
     rows = homes.count()
     free = one_table and unit_rows_limit is None and pivots is None
     if unit_rows_limit is None:
-        share = rows // (2 * homes.sparkSession.sparkContext.defaultParallelism)
-        unit_rows_limit = min(max(share, MIN_UNIT_ROWS), MAX_UNIT_ROWS)
+        unit_rows_limit = _fair_unit(homes, rows)
     chunk_rows = _grown(unit_rows_limit, rows)
     layout = Layout(threshold, unit_rows=unit_rows_limit, home_chunk_rows=chunk_rows, forest=forest)
     count = min(rows // unit_rows_limit, MAX_PIVOTS) if pivots is None else pivots
@@ -518,6 +517,17 @@ def _grown(limit: int, rows: int) -> int:
     return max(limit, min(-(-rows // MOST_CHUNKS), MAX_UNIT_ROWS))
 
 
+def _fair_unit(df: DataFrame, rows: int) -> int:
+    """Rows of a unit where none are given: two units per core, within bounds."""
+    share = rows // (2 * df.sparkSession.sparkContext.defaultParallelism)
+    return min(max(share, MIN_UNIT_ROWS), MAX_UNIT_ROWS)
+
+
+def unit_size(df: DataFrame, rows: int, unit_rows_limit: int | None) -> int:
+    """Rows of a unit of a table of so many rows."""
+    return _grown(_fair_unit(df, rows) if unit_rows_limit is None else unit_rows_limit, rows)
+
+
 def _one_length(df: DataFrame, vector: str, dim: int) -> DataFrame:
     """``df`` with vectors of any other length than ``dim`` as NULL: they have no direction."""
     return df.withColumn(vector, of_length(vector, dim))

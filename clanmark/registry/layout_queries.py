@@ -76,7 +76,7 @@ def similarity_components_units(spark, d):
 
 @same_as("agglomerative_average")
 def agglomerative_average_rounds(spark, d):
-    """Components of three rows or more go through the rounds of mutual nearest partners."""
+    """Components of three rows or more go through the rounds of mutual nearest partners, those of a unit in a task."""
     return agglomerative_average(I.detections(spark, d), "detection_id", "vector", 0.12, component_rows=2, **UNITS)
 
 
